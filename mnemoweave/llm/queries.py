@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoweave.llm import simhash_dedup
+from mnemoweave.llm import decontaminate, language_id, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": language_id.query,
+        "op4_decontaminate": decontaminate.query,
         "op9_simhash_near_dedup": simhash_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_decontaminate": decontaminate.ORACLE,
+    }
