@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoweave.llm import decontaminate, language_id, simhash_dedup
+from mnemoweave.llm import decontaminate, language_id, quality, simhash_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_language_id": language_id.query,
         "op4_decontaminate": decontaminate.query,
+        "op6_toxicity": toxicity.query,
+        "op7_exact_topk": topk.query,
         "op9_simhash_near_dedup": simhash_dedup.query,
     }
 
@@ -20,4 +22,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontaminate.ORACLE,
+        "op7_exact_topk": topk.ORACLE,
     }
