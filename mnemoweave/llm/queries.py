@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoweave.llm import decontaminate, language_id, quality, simhash_dedup, topk, toxicity
+from mnemoweave.llm import bpe, decontaminate, language_id, quality, simhash_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": decontaminate.query,
         "op6_toxicity": toxicity.query,
         "op7_exact_topk": topk.query,
+        "op8_bpe": bpe.query,
         "op9_simhash_near_dedup": simhash_dedup.query,
     }
 
