@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoweave.llm import bpe, decontaminate, language_id, quality, simhash_dedup, topk, toxicity
+from mnemoweave.llm import bpe, decontaminate, language_id, quality, simhash_dedup, substring_dedup, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": url_filter.query,
         "op3_language_id": language_id.query,
         "op4_decontaminate": decontaminate.query,
+        "op5_substring_dedup": substring_dedup.query,
         "op6_toxicity": toxicity.query,
         "op7_exact_topk": topk.query,
         "op8_bpe": bpe.query,
@@ -22,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.ORACLE,
         "op4_decontaminate": decontaminate.ORACLE,
         "op7_exact_topk": topk.ORACLE,
     }
