@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoweave.llm import bpe, decontaminate, language_id, quality, simhash_dedup, substring_dedup, topk, toxicity, url_filter
+from mnemoweave.llm import bpe, decontaminate, language_id, line_dedup, quality, simhash_dedup, substring_dedup, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.query,
+        "op2_line_dedup": line_dedup.query,
         "op3_language_id": language_id.query,
         "op4_decontaminate": decontaminate.query,
         "op5_substring_dedup": substring_dedup.query,
