@@ -1,12 +1,14 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
-A text is reduced to its distinct lower-cased words in order of first occurrence, then compressed once with each
-language's dictionary; the smallest frame names the language.  The margin between the two smallest frames, as a share
+A text is reduced to its distinct lower-cased words in order of first occurrence, padded so that even a text of a few
+words is worth compressing (else frames hold it as it is, all of one size), then compressed once with each language's
+dictionary; the smallest frame names the language.  The margin between the two smallest frames, as a share
 of the second, is the confidence; margins under ``NARROW`` are rejections.
 
 Dictionaries are cut from whole texts of labelled rows: at most ``SAMPLE_ROWS`` rows for each language, the first in a
-fixed pseudo-random order among those of ``SAMPLE_CHARS`` characters, until ``DICTIONARY_BYTES`` are full.  That sample
-is the only bound; every text is read whole.
+fixed pseudo-random order among those of ``SAMPLE_CHARS`` characters, until ``DICTIONARY_BYTES`` are full.  Rows are
+drawn by a hash threshold set from each language's count, so that what meets in one task stays bounded at any size.  That
+sample is the only bound; every text is read whole.
 
 A null text, or one without a letter, is ``und`` with score 0, as is every text when no language could be learned.
 Ties go to the language that sorts first, with score 0.  Repeated rows give repeated results.
@@ -25,8 +27,10 @@ from mnemoweave.llm.common import fold_of, sample_order, table
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = (200, 4000)
+DRAWN = 8  # times SAMPLE_ROWS, before texts of other lengths go
 DICTIONARY_BYTES = 65536
 LEVEL = 6
+PADDING = b"\n" * 64
 NARROW = 0.003
 #: A margin at which the score is one half.
 HALF_SCORE_MARGIN = 0.03
@@ -44,9 +48,13 @@ def distinct_words(text: str | None) -> bytes:
 def learn(docs: DataFrame, may_learn: Column) -> dict[str, bytes]:
     """language -> raw dictionary content, from the rows of (doc_id, text, lang) where ``may_learn`` holds."""
     low, high = SAMPLE_CHARS
-    rows = docs.where(may_learn & F.col("lang").isNotNull() & F.length("text").between(low, high))
+    labelled = docs.where(may_learn & F.col("lang").isNotNull())
+    share = F.least(F.lit(1.0), F.lit(float(DRAWN * SAMPLE_ROWS)) / F.count(F.lit(1)))
+    rates = labelled.groupBy("lang").agg(share.alias("_rate"))  # one row for each language
+    rows = labelled.where(F.length("text").between(low, high)).select("doc_id", "text", "lang").join(F.broadcast(rates), "lang")
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.col("_rate") * (1 << 20))
     order = Window.partitionBy("lang").orderBy(*sample_order("doc_id"), "text")
-    rows = rows.select("doc_id", "text", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
+    rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
     found: dict[str, bytes] = {}
     for r in rows.orderBy("lang", "_n").select("lang", "text").toLocalIterator():
         if len(have := found.get(r["lang"], b"")) < DICTIONARY_BYTES and (words := distinct_words(r["text"])):
@@ -67,7 +75,7 @@ class Classifier:
         """(language, margin)."""
         if not self.languages or not text or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
-        words = distinct_words(text)
+        words = distinct_words(text) + PADDING
         sizes = sorted((len(c.compress(words)), i) for i, c in enumerate(self.compressors))
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
         return self.languages[sizes[0][1]], margin
