@@ -29,6 +29,7 @@ SAMPLE_ROWS = 400
 SAMPLE_CHARS = (200, 4000)
 DRAWN = 8  # times SAMPLE_ROWS, before texts of other lengths go
 DICTIONARY_BYTES = 65536
+MOST_LANGUAGES = 500  # checked: DICTIONARY_BYTES for each are broadcast
 LEVEL = 6
 PADDING = b"\n" * 64
 NARROW = 0.003
@@ -49,10 +50,14 @@ def learn(docs: DataFrame, may_learn: Column) -> dict[str, bytes]:
     """language -> raw dictionary content, from the rows of (doc_id, text, lang) where ``may_learn`` holds."""
     low, high = SAMPLE_CHARS
     labelled = docs.where(may_learn & F.col("lang").isNotNull())
-    share = F.least(F.lit(1.0), F.lit(float(DRAWN * SAMPLE_ROWS)) / F.count(F.lit(1)))
-    rates = labelled.groupBy("lang").agg(share.alias("_rate"))  # one row for each language
-    rows = labelled.where(F.length("text").between(low, high)).select("doc_id", "text", "lang").join(F.broadcast(rates), "lang")
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.col("_rate") * (1 << 20))
+    counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages; their dictionaries would not fit a broadcast")
+    if not counts:
+        return {}
+    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, DRAWN * SAMPLE_ROWS / r["count"]))))[F.col("lang")]
+    rows = labelled.where(F.length("text").between(low, high)).select("doc_id", "text", "lang")
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < rate * (1 << 20))
     order = Window.partitionBy("lang").orderBy(*sample_order("doc_id"), "text")
     rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
     found: dict[str, bytes] = {}
