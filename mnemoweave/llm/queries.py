@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_topk": topk.query,
         "op8_bpe": bpe.query,
         "op9_simhash_near_dedup": simhash_dedup.query,
+        "op10_quality": quality.query,
     }
 
 
