@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoweave.llm.common import fold_of, table
+from mnemoweave.llm.common import fold_of, materialise, table
 
 THRESHOLD = 0.3
 TO_DIAGONAL = 0.1
@@ -112,17 +112,36 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(z[1] - z[0], -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Discriminant:
-    """From texts and labels.quality of all rows outside the held-out fold."""
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, x array<double>): the statistics of every text, written once to the shared folder.
+
+    Fitting and scoring read these instead of the texts, which are read in one pass and never shuffled.
+    """
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = pa.array([statistics(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), x], names=["doc_id", "x"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return materialise(rows.mapInArrow(reduce, "doc_id long, x array<double>"))
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(STATISTICS))
+
+
+def learn(rows: DataFrame, labels: DataFrame, modulus: int = 5) -> Discriminant:
+    """From described texts and labels.quality of all rows outside the held-out fold."""
     fold = fold_of("doc_id", modulus) != 0
     marks = labels.where(fold & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    rows = docs.where(fold).select("doc_id", F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "label")
+    known = rows.where(fold).join(marks, "doc_id").select("x", "label")
     d = len(STATISTICS)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            x = np.array([[1.0, *statistics(t.as_py())] for t in b.column(0)]).reshape(-1, d + 1)
+            x = np.hstack([np.ones((b.num_rows, 1)), _rows(b.column(0))])
             y = b.column(1).to_numpy()
             for k in np.unique(y):
                 sums[int(k)] = sums.get(int(k), 0) + x[y == k].T @ x[y == k]
@@ -132,27 +151,26 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Discriminant:
             cols = [pa.array(np.repeat(list(sums), size), pa.int32()), pa.array(np.tile(np.arange(size), len(sums)), pa.int32()), pa.array(np.concatenate(flat))]
             yield pa.RecordBatch.from_arrays(cols, names=["label", "cell", "v"])
 
-    total = rows.mapInArrow(reduce, "label int, cell int, v double").groupBy("label", "cell").agg(F.sum("v").alias("v"))
+    total = known.mapInArrow(reduce, "label int, cell int, v double").groupBy("label", "cell").agg(F.sum("v").alias("v"))
     grids: dict[int, np.ndarray] = {}
     for r in total.collect():  # two labels times (d + 1)^2 cells
         grids.setdefault(r["label"], np.zeros((d + 1) ** 2))[r["cell"]] = r["v"]
     return Discriminant({k: (g.reshape(d + 1, d + 1)[0, 0], g.reshape(d + 1, d + 1)[0, 1:], g.reshape(d + 1, d + 1)[1:, 1:]) for k, g in grids.items()})
 
 
-def scored(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """(doc_id, score) for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
+    """(doc_id, score) for each described text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # two means and factors
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(1)]).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(_rows(b.column(1))))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
+    return rows.mapInArrow(score, "doc_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = scored(docs, learn(docs, table(spark, sf_dir, "labels")))
+    rows = described(table(spark, sf_dir, "documents"))
+    found = scored(rows, learn(rows, table(spark, sf_dir, "labels")))
     held = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
