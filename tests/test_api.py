@@ -1,0 +1,66 @@
+"""The facade, tools of an agent, and what hooks deliver."""
+
+import json
+from pathlib import Path
+
+from graphs import core
+from pyspark.sql import functions as F
+
+from mnemoweave.api import Memory
+from mnemoweave.plans import tools
+from mnemoweave.sources import capture, files
+
+
+def test_memory_remembers_and_forgets(spark, tmp_path):
+    m = Memory(spark, str(tmp_path / "graph"))
+    assert m.status().first()["entity_count"] == 0 and m.recall("anything") == ""
+    m.remember("We decided that Ann Lee leads Falcon.", "remember://1", 100)
+    m.remember("Ann Lee met Bo Chan.", "remember://2", 200)
+    m.save()
+    again = Memory(spark, str(tmp_path / "graph"))
+    assert {r["canonical_name"] for r in again.search("ann").collect()} == {"Ann Lee"}
+    assert again.mentions("Ann Lee").count() == 2 and again.evidence("Ann Lee", "Falcon").count() == 1
+    assert "Falcon" in again.recall("Falcon", 5000) and "Ann Lee" in again.all_memories()
+    assert again.neighbourhood("Falcon", 1)[0].count() >= 2
+    again.remove_document("remember://2")
+    assert again.search("Bo Chan").count() == 0
+    again.forget("Falcon")
+    assert again.search("falcon").count() == 0
+    again.reflect(300)
+    assert again.entity("Ann Lee").count() == 1
+
+
+def test_answers_are_read():
+    known = ("timeline", "evidence")
+    a = tools.read_answer("< think >why</think>Text <action>timeline('Ann', 3)</action><action>evidence(a, 'b')", known)
+    assert (a.thoughts, a.text) == ("why", "Text") and a.calls == [("timeline", ["Ann", 3]), ("evidence", ["b"])]
+    assert tools.read_answer("I use timeline('x') now", known).calls == [("timeline", ["x"])]
+    assert tools.read_answer("<action>nonsense</action>", known).calls == [] and tools.call_of("graph_status()") == ("graph_status", [])
+    assert tools.context_budget("m-large-2", {"m": 10, "m-large": 1000}) == 600 and tools.context_budget("z", {}) == 60_000
+
+
+def test_an_agent_runs_tools(spark):
+    g = core(spark)
+    t = tools.Tools(g, g.entities.select("id", F.lit(0.25).alias("rank")))
+    assert "entity_count=4" in t.run(tools.Call("graph_status", [])) and t.run(tools.Call("nope", [])).startswith("unknown")
+    assert "c1" in t.run(tools.Call("evidence", ["John Doe", "Dashboard Redesign"])) and t.run(tools.Call("evidence", ["x"])).startswith("wrong")
+    replies = iter(["<action>entity_mentions('John Doe')</action>", "Done."])
+    seen = []
+    assert tools.converse(lambda m: seen.append(m[-1]["content"]) or next(replies), t, "?") == "Done." and "c1" in seen[1]
+
+
+def test_event_messages(spark):
+    shapes = [
+        {"conversation": {"messages": [{"role": "user", "text": "a"}, {"role": "x", "content": "b"}, {"role": "assistant", "content": ["c", {"text": "d"}]}]}},
+        {"messages": [{"type": "user", "body": "e"}, {"role": "user", "text": "  "}]}, {"transcript": [{"text": "f"}]}, {"output": "g"}, {}, {"output": " "},
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(shapes)], "i int, e string").select("i", capture.transcript(capture.messages(F.col("e"))).alias("t")).orderBy("i")
+    assert [r["t"] for r in rows.collect()] == ["User: a\n\nx: b\n\nAssistant: c\nd", "User: e", "unknown: f", "Assistant: g", "", ""]
+
+
+def test_overflow_and_archive(spark, tmp_path):
+    path = capture.write_overflow(str(tmp_path), "s", "t", 5)
+    assert capture.write_overflow(str(tmp_path), "s", "t", 5) == path and len(list(tmp_path.glob("*"))) == 1
+    assert [(r["source_id"], r["status"]) for r in capture.routed(files.overflow(spark, str(tmp_path))).collect()] == [("s", "processed")]
+    copy = capture.archive_transcript(path, str(tmp_path / "archive"), "one")
+    assert Path(copy).read_text() == Path(path).read_text()
