@@ -136,10 +136,10 @@ _add(
     "a14_precision_recall_f1", lambda g: evaluation.extraction_quality(g.entities.where("access_count % 2 = 0").select(F.col("id").alias("document"), F.col("canonical_name").alias("name")), g.entities.where("access_count % 3 = 0").select(F.col("id").alias("document"), F.upper("canonical_name").alias("name"))).select(*(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1"))),
     'SELECT round(tp / (tp + fp)::DOUBLE, 9) AS "precision", round(tp / (tp + fn)::DOUBLE, 9) AS recall, round(2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE), 9) AS f1 FROM (SELECT count_if(access_count % 6 = 0) AS tp, count_if(access_count % 3 = 0 AND access_count % 2 <> 0) AS fp, count_if(access_count % 2 = 0 AND access_count % 3 <> 0) AS fn FROM entities)',
 )
-_KW = F.array(F.lit("URGENT"), F.lit("order"), F.lit("37"))
+_KW = lambda: F.array(F.lit("URGENT"), F.lit("order"), F.lit("37"))
 _HITS = "(CAST(contains(lower(text), 'urgent') AS INT) + CAST(contains(lower(text), 'order') AS INT) + CAST(contains(lower(text), '37') AS INT))"
-_add("a15_keyword_score", lambda g: evaluation.keyword_score(g.chunks.select(F.col("id").alias("query_id"), F.col("text").alias("context"), _KW.alias("keywords"))), f"SELECT round(avg({_HITS} / 3.0::DOUBLE), 4) AS score FROM chunks")
-_add("a16_context_efficiency", lambda g: evaluation.context_efficiency(g.chunks.select(F.col("id").alias("query_id"), F.col("text").alias("context"), _KW.alias("keywords"))), f"SELECT round(avg(score), 4) AS score FROM (SELECT {_HITS} / (len(regexp_extract_all(text, '[^ ]+')) * 1.3::DOUBLE) * 1000 AS score FROM chunks ORDER BY id LIMIT 30)")
+_add("a15_keyword_score", lambda g: evaluation.keyword_score(g.chunks.select(F.col("id").alias("query_id"), F.col("text").alias("context"), _KW().alias("keywords"))), f"SELECT round(avg({_HITS} / 3.0::DOUBLE), 4) AS score FROM chunks")
+_add("a16_context_efficiency", lambda g: evaluation.context_efficiency(g.chunks.select(F.col("id").alias("query_id"), F.col("text").alias("context"), _KW().alias("keywords"))), f"SELECT round(avg(score), 4) AS score FROM (SELECT {_HITS} / (len(regexp_extract_all(text, '[^ ]+')) * 1.3::DOUBLE) * 1000 AS score FROM chunks ORDER BY id LIMIT 30)")
 _add("a17_resilience", lambda g: evaluation.resilience(g.chunks.select(F.col("id").alias("document")), g.mentions.where("entity_id like 'p1%'").select(F.col("chunk_id").alias("document"))), "SELECT avg(CASE WHEN id IN (SELECT chunk_id FROM mentions WHERE entity_id LIKE 'p1%') THEN 1.0::DOUBLE ELSE 0 END) AS score FROM chunks")
 _add("j25_expected_found", lambda g: evaluation.extraction_counts(g.entities.where("access_count % 2 = 0").select(F.col("entity_type").alias("document"), F.col("canonical_name").alias("name")), g.entities.where("access_count % 3 = 0").select(F.col("entity_type").alias("document"), F.col("canonical_name").alias("name"))), "SELECT entity_type AS document, count_if(access_count % 6 = 0) AS tp, count_if(access_count % 3 = 0 AND access_count % 2 <> 0) AS fp, count_if(access_count % 2 = 0 AND access_count % 3 <> 0) AS fn FROM entities WHERE access_count % 2 = 0 OR access_count % 3 = 0 GROUP BY ALL")
 

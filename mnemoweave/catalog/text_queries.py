@@ -14,30 +14,30 @@ QUERIES: dict = {}
 
 
 def _add(name, table, plan, sql):
-    QUERIES[name] = (lambda spark, sf_dir: plan(read(spark, sf_dir, table)), sql)
-
-
-text = F.col("text")
-_add("x2_token_estimate", "documents", lambda d: d.select("doc_id", X.token_estimate(text).alias("tokens")), r"SELECT doc_id, CAST(trunc(len(regexp_extract_all(text, '[^\s]+')) * 1.3) AS INT) AS tokens FROM documents")
-_add("x4_shortened", "documents", lambda d: d.select("doc_id", X.shortened(text).alias("short")), r"SELECT doc_id, CASE WHEN length(text) > 200 THEN rtrim(left(text, 197)) || '...' ELSE text END AS short FROM documents")
-_add("x6_quoted", "documents", lambda d: d.select("doc_id", X.quoted(text).alias("quoted")), r"SELECT doc_id, '> ' || replace(text, chr(10), chr(10) || '> ') AS quoted FROM documents")
-_add("x7_path_stem", "pages", lambda d: d.select("page_id", X.path_stem(F.regexp_replace("url", r"[?#].*$", "")).alias("stem"), X.basename(F.regexp_replace("url", r"[?#].*$", "")).alias("name")), r"SELECT page_id, regexp_replace(name, '^(.+)\.[^.]*$', '\1') AS stem, name FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS name FROM pages)")
-_add("x10_stars", "orders", lambda d: d.select("o_orderkey", X.stars(F.col("o_totalprice"), F.lit(400000.0)).alias("stars")), "SELECT o_orderkey, repeat('★', CAST(least(greatest(ceil(o_totalprice / 400000.0::DOUBLE * 5), 1), 5) AS INT)) AS stars FROM orders")
-_add("x12_day", "orders", lambda d: d.select("o_orderkey", X.day(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("day")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
-_add("x13_day_seconds", "orders", lambda d: d.select("o_orderkey", X.day_seconds(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("at")), "SELECT o_orderkey, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS at FROM orders")
-_add("x17_decay", "events", lambda d: d.select("event_id", X.decayed(F.col("event_id") % 100, F.col("user_id") * 1000, 2000000, 30).alias("left")), "SELECT event_id, CAST(round((event_id % 100) * exp(greatest(2000000 - user_id * 1000, 0) * (-0.6931471805599453 / (30 * 86400)))) AS BIGINT) AS \"left\" FROM events")
-_add("x21_content_hash", "documents", lambda d: d.select("doc_id", X.content_hash(text).alias("sha256")), "SELECT doc_id, sha256(text) AS sha256 FROM documents")
-_add("x39_signatures", "documents", lambda d: d.select("doc_id", X.signatures(F.concat(F.lit("def a():\n  x\nclass B:\n"), text)).alias("lines")), r"SELECT doc_id, array_to_string(list_filter(string_split('def a():' || chr(10) || '  x' || chr(10) || 'class B:' || chr(10) || text, chr(10)), lambda l: regexp_matches(ltrim(l), '^(def |class |async def |fn )')), chr(10)) AS lines FROM documents")
-_add("p2_document_type", "documents", lambda d: d.select("doc_id", P.document_type(text).alias("kind")), r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^\*\*([^*:]+?):\*\*\s*|^\*\*([^*]+?)\*\*:\s*|^(Speaker\s+\d+):\s*') THEN 'meeting_transcript' WHEN len(regexp_extract_all(text, '(?m)^(?:#+\s*)?(\d{4}-\d{2}-\d{2}|\w+\s+\d{1,2},?\s+\d{4})$')) >= 2 THEN 'date_structured' WHEN regexp_matches(text, '(?m)^(#{2,3})\s+(.+)$') THEN 'markdown' ELSE 'plain_text' END AS kind FROM documents")
-_add("p6_paragraphs", "documents", lambda d: d.select("doc_id", F.posexplode(P.paragraphs(text)).alias("n", "p")), r"SELECT doc_id, CAST(n - 1 AS INT) AS n, p FROM (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents))")
-_add("p7_sentences", "documents", lambda d: d.select("doc_id", F.posexplode(P.sentences(text)).alias("n", "sentence")), r"SELECT doc_id, CAST(n - 1 AS INT) AS n, sentence FROM (SELECT doc_id, unnest(l) AS sentence, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents))")
-_add("p8_word_windows", "documents", lambda d: d.select("doc_id", F.posexplode(P.word_windows(text)).alias("n", "w")).select("doc_id", "n", F.md5("w").alias("md5")), r"SELECT doc_id, CAST(k AS INT) AS n, md5(array_to_string(w[k * 539 + 1:k * 539 + 615], ' ')) AS md5 FROM (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 615) / 539.0), 0) AS INT) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS w FROM documents) WHERE len(w) > 0)")
-_add("p1_parse_plain", "documents", lambda d: P.parsed(d.select(F.concat(F.lit("doc-"), "doc_id").alias("source_document"), "text", F.lit("Episodic").alias("memory_category"))).groupBy("source_document").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars")), None)
-_add("p11_chat_document", "conversations", lambda d: C.chat_document(d), r"SELECT conv_id, string_agg('**' || upper(left(role, 1)) || lower(substr(role, 2)) || ':** ' || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE lower(role) <> 'system' AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' GROUP BY conv_id")
-_add("w1_exchanges", "conversations", lambda d: C.chat_exchanges(d), "SELECT conv_id, exchange, count(*) AS turns, string_agg(text, chr(10) ORDER BY turn) AS text FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS exchange FROM conversations) GROUP BY conv_id, exchange")
+    QUERIES[name] = (lambda spark, sf_dir: plan(read(spark, sf_dir, table), F.col("text")), sql)
+
+
+
+_add("x2_token_estimate", "documents", lambda d, text: d.select("doc_id", X.token_estimate(text).alias("tokens")), r"SELECT doc_id, CAST(trunc(len(regexp_extract_all(text, '[^\s]+')) * 1.3) AS INT) AS tokens FROM documents")
+_add("x4_shortened", "documents", lambda d, text: d.select("doc_id", X.shortened(text).alias("short")), r"SELECT doc_id, CASE WHEN length(text) > 200 THEN rtrim(left(text, 197)) || '...' ELSE text END AS short FROM documents")
+_add("x6_quoted", "documents", lambda d, text: d.select("doc_id", X.quoted(text).alias("quoted")), r"SELECT doc_id, '> ' || replace(text, chr(10), chr(10) || '> ') AS quoted FROM documents")
+_add("x7_path_stem", "pages", lambda d, text: d.select("page_id", X.path_stem(F.regexp_replace("url", r"[?#].*$", "")).alias("stem"), X.basename(F.regexp_replace("url", r"[?#].*$", "")).alias("name")), r"SELECT page_id, regexp_replace(name, '^(.+)\.[^.]*$', '\1') AS stem, name FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS name FROM pages)")
+_add("x10_stars", "orders", lambda d, text: d.select("o_orderkey", X.stars(F.col("o_totalprice"), F.lit(400000.0)).alias("stars")), "SELECT o_orderkey, repeat('★', CAST(least(greatest(ceil(o_totalprice / 400000.0::DOUBLE * 5), 1), 5) AS INT)) AS stars FROM orders")
+_add("x12_day", "orders", lambda d, text: d.select("o_orderkey", X.day(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("day")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+_add("x13_day_seconds", "orders", lambda d, text: d.select("o_orderkey", X.day_seconds(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("at")), "SELECT o_orderkey, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS at FROM orders")
+_add("x17_decay", "events", lambda d, text: d.select("event_id", X.decayed(F.col("event_id") % 100, F.col("user_id") * 1000, 2000000, 30).alias("left")), "SELECT event_id, CAST(round((event_id % 100) * exp(greatest(2000000 - user_id * 1000, 0) * (-0.6931471805599453 / (30 * 86400)))) AS BIGINT) AS \"left\" FROM events")
+_add("x21_content_hash", "documents", lambda d, text: d.select("doc_id", X.content_hash(text).alias("sha256")), "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+_add("x39_signatures", "documents", lambda d, text: d.select("doc_id", X.signatures(F.concat(F.lit("def a():\n  x\nclass B:\n"), text)).alias("lines")), r"SELECT doc_id, array_to_string(list_filter(string_split('def a():' || chr(10) || '  x' || chr(10) || 'class B:' || chr(10) || text, chr(10)), lambda l: regexp_matches(ltrim(l), '^(def |class |async def |fn )')), chr(10)) AS lines FROM documents")
+_add("p2_document_type", "documents", lambda d, text: d.select("doc_id", P.document_type(text).alias("kind")), r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^\*\*([^*:]+?):\*\*\s*|^\*\*([^*]+?)\*\*:\s*|^(Speaker\s+\d+):\s*') THEN 'meeting_transcript' WHEN len(regexp_extract_all(text, '(?m)^(?:#+\s*)?(\d{4}-\d{2}-\d{2}|\w+\s+\d{1,2},?\s+\d{4})$')) >= 2 THEN 'date_structured' WHEN regexp_matches(text, '(?m)^(#{2,3})\s+(.+)$') THEN 'markdown' ELSE 'plain_text' END AS kind FROM documents")
+_add("p6_paragraphs", "documents", lambda d, text: d.select("doc_id", F.posexplode(P.paragraphs(text)).alias("n", "p")), r"SELECT doc_id, CAST(n - 1 AS INT) AS n, p FROM (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents))")
+_add("p7_sentences", "documents", lambda d, text: d.select("doc_id", F.posexplode(P.sentences(text)).alias("n", "sentence")), r"SELECT doc_id, CAST(n - 1 AS INT) AS n, sentence FROM (SELECT doc_id, unnest(l) AS sentence, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents))")
+_add("p8_word_windows", "documents", lambda d, text: d.select("doc_id", F.posexplode(P.word_windows(text)).alias("n", "w")).select("doc_id", "n", F.md5("w").alias("md5")), r"SELECT doc_id, CAST(k AS INT) AS n, md5(array_to_string(w[k * 539 + 1:k * 539 + 615], ' ')) AS md5 FROM (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 615) / 539.0), 0) AS INT) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS w FROM documents) WHERE len(w) > 0)")
+_add("p1_parse_plain", "documents", lambda d, text: P.parsed(d.select(F.concat(F.lit("doc-"), "doc_id").alias("source_document"), "text", F.lit("Episodic").alias("memory_category"))).groupBy("source_document").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars")), None)
+_add("p11_chat_document", "conversations", lambda d, text: C.chat_document(d), r"SELECT conv_id, string_agg('**' || upper(left(role, 1)) || lower(substr(role, 2)) || ':** ' || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE lower(role) <> 'system' AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' GROUP BY conv_id")
+_add("w1_exchanges", "conversations", lambda d, text: C.chat_exchanges(d), "SELECT conv_id, exchange, count(*) AS turns, string_agg(text, chr(10) ORDER BY turn) AS text FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS exchange FROM conversations) GROUP BY conv_id, exchange")
 _VEC = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
 QUERIES["t3k_vector_topk"] = (
     lambda spark, sf_dir: E.top_similar(read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), "vec_id", read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"], 10).select("vec_id", F.round("similarity", 6).alias("similarity")),
     f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}) DESC, vec_id LIMIT 10",
 )
-_add("e3_file_pieces", "documents", lambda d: E.file_pieces(d.select(F.concat(F.lit("f"), "doc_id").alias("path"), F.concat(text, F.lit("\ndef a():\n pass")).alias("content"))).groupBy("path").agg(F.count(F.lit(1)).alias("pieces")), None)
+_add("e3_file_pieces", "documents", lambda d, text: E.file_pieces(d.select(F.concat(F.lit("f"), "doc_id").alias("path"), F.concat(text, F.lit("\ndef a():\n pass")).alias("content"))).groupBy("path").agg(F.count(F.lit(1)).alias("pieces")), None)
