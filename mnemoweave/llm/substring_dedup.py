@@ -1,10 +1,10 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-The gear hash of a position depends on the 32 bytes before it alone; a cut is made where its five top bits are zero and
+The gear hash of a position depends on the 16 bytes before it alone; a cut is made where its five top bits are zero and
 a character ends, so the cuts inside a passage come out the same wherever the passage stands, and an insertion moves
 only the cuts next to it.  Chunks between cuts are compared by 128-bit digests.  A chunk found in more than one document
 is a repeat; the copy in the smallest doc_id is the one that stays.  Repeats that follow each other are reported as one
-span if they cover ``LEAST_BYTES`` or more, which leaves out chance repeats of a few words.
+span if they cover ``LEAST_BYTES`` or more, which leaves out single boilerplate lines and chance repeats of a few words.
 
 Texts are compared by their UTF-8 bytes, whole.  Null texts, empty texts and null doc_ids take part in nothing; rows of
 the same doc_id are one document.  A document without a cut is one chunk.
@@ -23,17 +23,17 @@ from pyspark.sql import functions as F
 from mnemoweave.llm.common import table
 
 CUT_BITS = 5  # a cut at one position in 32
-LEAST_BYTES = 48
-_GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
+LEAST_BYTES = 80
+_GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
 _FLUSH_BYTES = 4_000_000
 
 
 def cut_after(octets: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash cuts."""
     h = _GEAR[octets]
-    for width in (1, 2, 4, 8, 16):  # the sum of shifted gears over 2 * width bytes
-        h[width:] = h[width:] + (h[:-width] << np.uint32(width))
-    at = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0)
+    for width in (1, 2, 4, 8):  # the sum of shifted gears over 2 * width bytes
+        h[width:] = h[width:] + (h[:-width] << np.uint16(width))
+    at = np.flatnonzero(h >> np.uint16(16 - CUT_BITS) == 0)
     return at[(octets[np.minimum(at + 1, len(octets) - 1)] & 0xC0) != 0x80] if len(octets) else at
 
 
