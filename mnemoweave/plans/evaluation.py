@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from mnemoweave.operators.aggregates import precision_recall_f1
 from mnemoweave.operators.lookups import keyword_hits
+from mnemoweave.plans.embedding import Embedder, embedded, hashing_embedder, top_similar
+from mnemoweave.plans.parsing import parsed
 
 WIN_MARGIN = 0.01
 QUERY_TYPES = ("retrieval", "temporal", "multi_hop", "filler_rejection", "cross_document_chain")
@@ -63,3 +65,15 @@ def run(metrics: dict[str, Callable[[], DataFrame]]) -> list[dict]:
         except Exception as e:  # noqa: BLE001  a metric's failure is part of the report
             out.append({"name": name, "error": str(e)[:500]})
     return out
+
+
+def baseline_index(docs: DataFrame, embed: Embedder = hashing_embedder) -> DataFrame:
+    """(id, source_document, text, vector): the chunks of documents with vectors, and no graph."""
+    chunks = parsed(docs).withColumn("id", F.concat_ws("#", "source_document", "position"))
+    return embedded(chunks.select("id", "source_document", "text"), "text", embed)
+
+
+def baseline_retrieve(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
+    """(id, similarity, source_document, text): the k nearest chunks."""
+    best = top_similar(index.select("id", "vector"), "id", query, k)
+    return best.join(index.select("id", "source_document", "text"), "id").orderBy(F.desc("similarity"), "id")

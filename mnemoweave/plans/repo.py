@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoweave.functions import distance_weight, language_of, stars
 from mnemoweave.operators.aggregates import greedy_packed
+from mnemoweave.operators.lookups import noise_file
 from mnemoweave.storage import materialise
 
 
@@ -134,3 +135,21 @@ def packed(candidates: DataFrame, budget: int) -> DataFrame:
     """(used, ids): of rows (id, tokens, place), a capped candidate list, those taken in order while they fit."""
     row = F.array_sort(F.collect_list(F.struct("place", "id", "tokens")))
     return candidates.agg(greedy_packed(row, budget).alias("x")).select("x.used", "x.ids")
+
+
+def context(repo: RepoState, ranks: DataFrame, similar: DataFrame, budget: int, explicit: DataFrame | None = None, hops: int = 2) -> str:
+    """A repository's context for a question: the ranked map, then files while they fit: those asked for, the most
+    similar of (path, similarity), and what is around them; noise and blank files are left out."""
+    p = adaptive(repo.files.count(), budget)
+    shown = map_text(ranked_map(repo.files, repo.edges, ranks, p["listed"]))[: p["map_tokens"] * 4]
+    asked = (explicit if explicit is not None else repo.files.limit(0)).select("path", F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
+    close = similar.orderBy(F.desc("similarity"), "path").limit(p["anchors"]).select("path", F.lit(1).alias("tier"), F.col("similarity").cast("double").alias("score"))
+    start = materialise(asked.unionByName(close))
+    near = neighbourhood(repo.edges, start, hops, start, p["neighbours"]).select("path", F.lit(2).alias("tier"), F.col("weight").alias("score"))
+    best = start.unionByName(near).groupBy("path").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("k"))
+    rows = best.join(repo.files, "path").where((F.trim("content") != "") & ~noise_file(F.col("path"), F.col("content")))
+    order = Window.orderBy("k.tier", "k.s", "path")
+    rows = materialise(rows.select(F.col("path").alias("id"), "content", F.ceil(F.length("content") / 4).cast("int").alias("tokens"), F.row_number().over(order).alias("place")))
+    taken = packed(rows, budget - p["map_tokens"]).first()["ids"]
+    texts = {r["id"]: r["content"] for r in rows.where(F.col("id").isin(taken)).collect()}
+    return "\n\n".join([shown, *(f"## {i}\n{texts[i]}" for i in taken)])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoweave.catalog import graph_queries, state_queries, text_queries
+from mnemoweave.catalog import graph_queries, scalar_queries, state_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (graph_queries, text_queries, state_queries)
+_MODULES = (graph_queries, text_queries, state_queries, scalar_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -4,7 +4,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HERE = Path(__file__).resolve().parent
+sys.path.insert(0, str(HERE.parent))
+os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), *filter(None, [os.environ.get("PYTHONPATH")])])  # for the workers
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
 

@@ -111,3 +111,11 @@ def test_repository_neighbourhood_and_updates(spark):
     text = repo.map_text(repo.ranked_map(back.files, back.edges, ranks, 5))
     assert text.index("c.rs") < text.index("a.py") and "(1 dependents)" in text
     assert repo.adaptive(1000, 1000)["listed"] == 75
+
+
+def test_repository_context_skips_what_does_not_fit(spark):
+    r = repo.built(spark.createDataFrame([("a.py", "a" * 400), ("b.py", "b" * 4000), ("c.py", "c" * 40), ("test_x.py", "t"), ("d.py", " ")], "path string, content string"))
+    r = r._replace(edges=spark.createDataFrame([("a.py", "b.py", "SymbolUsage"), ("a.py", "c.py", "SymbolUsage"), ("a.py", "test_x.py", "Import")], schemas.FILE_EDGES))
+    ranks = ranking.pagerank(r.files.select(F.col("path").alias("id")), ranking.file_edges_weighted(r.edges))
+    text = repo.context(r, ranks, spark.createDataFrame([("a.py", 0.9)], "path string, similarity double"), 400)
+    assert text.index("## a.py") < text.index("## c.py") and "## b.py" not in text and "## test_x.py" not in text

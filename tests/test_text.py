@@ -200,7 +200,7 @@ def test_sources(spark, tmp_path):
     for name in ("a.py", "b.log", "node_modules/c.py", "build/d.py"):
         (repo / name).write_text("pass")
     (repo / ".gitignore").write_text("*.log\nbuild/\n")
-    assert {r["path"] for r in files.repository(spark, str(repo)).collect()} == {"a.py", ".gitignore"}
+    assert {r["path"] for r in files.repository(spark, str(repo)).collect()} == {"a.py"}
     over = tmp_path / "over"
     over.mkdir()
     (over / "1.json").write_text(json.dumps({"version": 1, "source_id": "s", "text": "t"}))
@@ -218,3 +218,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p/one.jsonl").write_text("{}")
     assert files.sessions(spark, str(tmp_path), "p/one").count() == 1 and files.sessions(spark, str(tmp_path), "other").count() == 0
+
+
+def test_vector_baseline(spark):
+    from mnemoweave.plans.embedding import hashing_embedder
+
+    docs = spark.createDataFrame([("a", "red apples\n\nblue sky", "Episodic"), ("b", "green grass", "Episodic")], "source_document string, text string, memory_category string")
+    found = evaluation.baseline_retrieve(evaluation.baseline_index(docs), hashing_embedder(["blue sky"])[0], 1).first()
+    assert (found["source_document"], found["text"]) == ("a", "blue sky") and found["similarity"] == pytest.approx(1)
