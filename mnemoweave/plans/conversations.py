@@ -86,9 +86,9 @@ def session_chunks(lines: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     tools = F.when(F.size("tool_uses") > 0, F.concat(F.lit("[Tools: "), tool_counts(F.col("tool_uses")), F.lit("]")))
     text = F.concat_ws("\n\n", part("User: ", F.col("user_text")), part("Assistant: ", F.array_join("assistant_texts", "\n")), tools)
     source = F.concat(F.lit("claude-session://"), "project_name", F.lit("/"), "session_id")
-    # not deterministic, so that the split stays in its own projection and is not drawn into the generator
-    rows = e.select(source.alias("source_document"), "number", iso_seconds(F.col("timestamp")).alias("timestamp"), long_splitter(most).asNondeterministic()(text).alias("parts"))
-    rows = rows.select("source_document", "number", "timestamp", F.posexplode("parts").alias("part", "text"))
+    rows = e.select(source.alias("source_document"), "number", iso_seconds(F.col("timestamp")).alias("timestamp"), text.alias("text"))
+    parts = F.when(token_estimate(F.col("text")) <= most, F.array("text")).otherwise(long_splitter(most)("text"))
+    rows = rows.select("source_document", "number", "timestamp", F.posexplode(parts).alias("part", "text"))
     rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source_document", "number")))
     name = F.concat(F.lit("Exchange "), "number", F.when(F.col("n") > 1, F.concat(F.lit(" (part "), F.col("part") + 1, F.lit(")"))).otherwise(""))
     order = Window.partitionBy("source_document").orderBy("number", "part")
