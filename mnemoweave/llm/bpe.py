@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from mnemoweave.llm.common import materialise, table
 
 #: Characters of a block: bounds what one group of the last step holds (about 20 bytes of memory for each).
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 CHUNK_CHARS = 2_000_000
+WORD_BITS = 28  # of a place, the number of a word in its block
 _SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
 _TAILS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -98,36 +99,46 @@ def split_around(text: str, special: tuple[str, ...]) -> list[str]:
 
 
 class _Block:
-    def __init__(self, special: tuple[str, ...]):
-        self.special, self.words, self.docs, self.sizes, self.numbers, self.chars = special, {}, [], [], [], 0
+    """The distinct words of a run of texts, and unless ``words_only`` the numbers of each text's words, packed chunk by
+    chunk: (ids of the texts, words of each text, numbers of all their words)."""
+
+    def __init__(self, special: tuple[str, ...], words_only: bool = False):
+        self.special, self.words_only = special, words_only
+        self.words, self.parts, self.chars = {}, [], 0
+
+    def _meet(self, words: list[str]) -> None:
+        known = self.words
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new))))
 
     def add(self, ids: list, texts: list[str]) -> None:
-        number = self.words.setdefault
         pieces, piece_of = [], []
         for k, text in enumerate(texts):
             cut = split_around(text, self.special) if any(s in text for s in self.special) else [text]
             pieces += cut
             piece_of += [k] * len(cut)
-        plain = [p if p not in self.special else "" for p in pieces]
-        words, count = split_words(plain)
-        seq = np.array([number(w, len(self.words)) for w in words], dtype=np.uint32)
-        if len(pieces) > len(texts):
-            marks = [i for i, p in enumerate(pieces) if p in self.special]
+        words, count = split_words([p if p not in self.special else "" for p in pieces])
+        self._meet(words)
+        self.chars += sum(map(len, texts))
+        marks = [i for i, p in enumerate(pieces) if p in self.special]
+        self._meet([pieces[i] for i in marks])
+        if self.words_only:
+            self.parts.append(None)
+            return
+        seq = np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words))
+        if marks:
             before = np.concatenate([[0], np.cumsum(count)])
-            seq = np.insert(seq, before[marks], [number(pieces[i], len(self.words)) for i in marks])
+            seq = np.insert(seq, before[marks], [self.words[pieces[i]] for i in marks])
             count[marks] = 1
-        self.docs += ids
-        self.sizes.append(np.bincount(piece_of, weights=count, minlength=len(texts)).astype(np.uint32))
-        self.numbers.append(seq)
-        self.chars += sum(map(len, texts))
+        self.parts.append((ids, _packed(np.bincount(piece_of, weights=count, minlength=len(texts))), _packed(seq)))
 
     def check(self) -> int:
         return xxhash.xxh64_intdigest("\0".join(self.words).encode("utf-8", "surrogatepass")) >> 1
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], special: tuple[str, ...]) -> Iterator[tuple[int, _Block]]:
-    first = TaskContext.get().partitionId() << 24
-    block, n = _Block(special), 0
+def _blocks(batches: Iterator[pa.RecordBatch], special: tuple[str, ...], words_only: bool = False) -> Iterator[tuple[int, _Block]]:
+    first = TaskContext.get().partitionId() << 12  # 4096 blocks for each partition
+    block, n = _Block(special, words_only), 0
     ids, texts, waiting = [], [], 0
 
     for b in batches:
@@ -140,10 +151,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], special: tuple[str, ...]) -> Iter
                 ids, texts, waiting = [], [], 0
                 if block.chars >= BLOCK_CHARS:
                     yield first + n, block
-                    block, n = _Block(special), n + 1
+                    block, n = _Block(special, words_only), n + 1
     if texts:
         block.add(ids, texts)
-    if block.docs:
+    if block.parts:
         yield first + n, block
 
 
@@ -187,11 +198,13 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, *, ids: bool =
     if not from_files:
         rows = materialise(rows)
 
+    narrow = "<u2" if len(piece_table) <= 1 << 16 else "<u4"
+
     def rows_of(words: list[str], block: int, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.full(len(words), block)), pa.array(n.astype(np.int32))], names=["word", "block", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array((block << WORD_BITS) + 1 + n)], names=["word", "place"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, special):
+        for number, block in _blocks(batches, special, words_only=True):
             found = list(block.words)
             for at in range(0, len(found), 100_000):
                 part = found[at : at + 100_000]
@@ -200,11 +213,10 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, *, ids: bool =
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, special):
-            cols = [
-                pa.array([number]), pa.array([block.check()]), pa.array([block.docs], pa.list_(pa.int64())),
-                pa.array([_packed(np.concatenate(block.sizes))], pa.binary()), pa.array([_packed(np.concatenate(block.numbers))], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "check", "docs", "sizes", "numbers"])
+            check = block.check()
+            for docs, sizes, numbers in block.parts:  # a row each, of a few hundred kilobytes
+                cols = [pa.array([number]), pa.array([check]), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([numbers], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "check", "docs", "sizes", "numbers"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -219,45 +231,52 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, *, ids: bool =
             coded = [last_ids if w == last else None for w in distinct]
             new = [i for i, c in enumerate(coded) if c is None]
             for i, e in zip(new, model.encode_batch([distinct[i] for i in new], add_special_tokens=False)):
-                coded[i] = np.array(e.ids, dtype="<u4").tobytes()
+                coded[i] = np.array(e.ids, dtype=narrow).tobytes()
             if distinct:
                 last = b.column(0)[b.num_rows - 1].as_py()
                 last_ids = coded[column.indices[b.num_rows - 1].as_py()]
             got = pa.array(coded, pa.binary()).take(column.indices)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), got], names=["block", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(1), got], names=["place", "ids"])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         piece_of = shared.value[1]
-        order = np.argsort(left["n"].to_numpy())
-        coded = [np.frombuffer(x, "<u4").tolist() for x in left["ids"].take(pa.array(order)).to_pylist()]
-        size = np.array([len(c) for c in coded], dtype=np.int64)
-        listed = [",".join(map(str, c)).encode() for c in coded]
-        spelled = [b"".join([piece_of[i] for i in c]) for c in coded]
-        check, size, listed, spelled, coded = int(spelled[0] if spelled else 0), size[1:], listed[1:], spelled[1:], coded[1:]  # number -1 comes first
+        order = np.argsort(left["place"].to_numpy())  # number -1, the checksum, comes first
+        coded = left["ids"].take(pa.array(order)).to_pylist()
+        width = np.dtype(narrow).itemsize
+        size = np.array([len(c) // width for c in coded[1:]], dtype=np.int64)
+        of = lambda c: np.frombuffer(c, narrow).tolist()
+        check = int(b"".join([piece_of[i] for i in of(coded[0])]))
+        listed = [",".join(map(str, of(c))).encode() for c in coded[1:]]
+        spelled = [b"".join([piece_of[i] for i in of(c)]) for c in coded[1:]]
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"token_ids": []} if ids else {})
         for r in range(right.num_rows):
             if right["check"][r].as_py() != check:
                 raise RuntimeError("the words of a block and its texts come from different rows; give from_files=False")
             numbers = _unpacked(right["numbers"][r].as_py())
-            at = 0
+            at, spell, listing = 0, spelled.__getitem__, listed.__getitem__
             for doc, n in zip(right["docs"][r].as_py(), _unpacked(right["sizes"][r].as_py()).tolist()):
-                mine = numbers[at : at + n].tolist()
+                part = numbers[at : at + n]
+                mine = part.tolist()
                 at += n
-                raw = b"".join([spelled[i] for i in mine])
+                raw = b"".join(map(spell, mine))
+                try:
+                    raw.decode()
+                except UnicodeDecodeError:
+                    raw = raw.decode("utf-8", "replace").encode()
                 out["doc_id"].append(doc)
-                out["n_tokens"].append(int(size[mine].sum()) if mine else 0)
-                out["ids_sha256"].append(hashlib.sha256(b",".join([listed[i] for i in mine])).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
+                out["n_tokens"].append(int(size[part].sum()))
+                out["ids_sha256"].append(hashlib.sha256(b",".join(map(listing, mine))).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
                 if ids:
-                    out["token_ids"].append([x for i in mine for x in coded[i]])
+                    out["token_ids"].append(np.frombuffer(b"".join([coded[1 + i] for i in mine]), narrow).astype(np.int32))
         kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "token_ids": pa.list_(pa.int32())}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    table_of_words = rows.mapInArrow(words, "word string, block long, n int").repartition("word").sortWithinPartitions("word")
-    coded = table_of_words.mapInArrow(encode, "block long, n int, ids binary")
+    table_of_words = rows.mapInArrow(words, "word string, place long").repartition("word").sortWithinPartitions("word")
+    coded = table_of_words.mapInArrow(encode, "place long, ids binary")
     by_block = rows.mapInArrow(texts, "block long, check long, docs array<long>, sizes binary, numbers binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
-    return coded.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(join, schema)
+    return coded.groupBy(F.shiftright("place", WORD_BITS).alias("block")).cogroup(by_block.groupBy("block")).applyInArrow(join, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
