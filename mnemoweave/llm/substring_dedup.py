@@ -77,7 +77,7 @@ def repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Spans of chunks that stand in more than one document.
 
     (doc_id, start_byte, end_byte, n_chunks, first_doc_id, removable_bytes): first_doc_id is the smallest document that
-    holds one of the span's chunks; removable_bytes counts the chunks whose kept copy is in another document.
+    holds the span's largest chunk (of equal ones the first); removable_bytes counts the chunks whose kept copy is in another document.
     """
     found = chunks(docs)
     shared = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("d1", "d2", "low")
@@ -91,7 +91,7 @@ def repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
             F.min("start").alias("start_byte"),
             F.max(F.col("start") + F.col("size")).alias("end_byte"),
             F.count(F.lit(1)).alias("n_chunks"),
-            F.min("low").alias("first_doc_id"),
+            F.max_by("low", F.col("size").cast("long") * (1 << 32) - F.col("start")).alias("first_doc_id"),
             F.sum(F.when(F.col("low") < F.col("doc_id"), F.col("size")).otherwise(0)).alias("removable_bytes"),
         )
         .where(F.col("end_byte") - F.col("start_byte") >= least_bytes)
