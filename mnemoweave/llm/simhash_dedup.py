@@ -191,7 +191,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, one row for each such id."""
-    lead = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_mw_doc_id")).distinct()
-    kept = docs.join(lead, docs["doc_id"].eqNullSafe(lead["_mw_doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` whose doc_id is the smallest of its component, one row for each such id.
+
+    Rows with a null doc_id take no part and are kept.
+    """
+    named = docs.where("doc_id is not null")
+    lead = near_duplicates(named).where("doc_id = component_id").select(F.col("doc_id").alias("_mw_doc_id"))
+    kept = named.join(lead, named["doc_id"] == lead["_mw_doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
