@@ -27,7 +27,7 @@ def _graph(name, plan, sql):
 # filters
 _on("f16_noise_files", "customer", lambda d: d.select("c_custkey", L.noise_file(F.concat(F.lit("src/"), F.element_at(F.array(F.lit("test_a.py"), F.lit("__init__.py"), F.lit("conftest.py"), F.lit("a_test.go"), F.lit("main.py")), (F.col("c_custkey") % 5 + 1).cast("int"))), F.lit("# note\nx = 1\n")).alias("noise")), "SELECT c_custkey, c_custkey % 5 <> 4 AS noise FROM customer")
 _on("f18_filter_by_type", "events", lambda d: d.where(F.col("event_type") == "click").select("event_id"), "SELECT event_id FROM events WHERE event_type = 'click'")
-_on("f19_valid_mentions", "documents", lambda d: d.select("doc_id", L.valid_mention(F.upper(F.element_at(F.split("text", " "), 1)), F.col("lang"), F.col("text"), ["en", "de"]).alias("valid")), "SELECT doc_id, coalesce(trim(split_part(text, ' ', 1)) <> '' AND contains(lower(text), lower(upper(trim(split_part(text, ' ', 1))))) AND lang IN ('en', 'de'), false) AS valid FROM documents")
+_on("f19_valid_mentions", "documents", lambda d: d.select("doc_id", L.valid_mention(F.lower(F.element_at(F.split("text", " "), 1)), F.col("lang"), F.col("text"), ["en", "de"]).alias("valid")), "SELECT doc_id, coalesce(trim(split_part(text, ' ', 1)) <> '' AND contains(lower(text), lower(trim(split_part(text, ' ', 1)))) AND lang IN ('en', 'de'), false) AS valid FROM documents")
 _on("f20_not_filler", "conversations", lambda d: d.where(L.not_filler(F.when(F.col("role") == "system", "Filler").otherwise(F.col("role")))).select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE role <> 'system'")
 _graph(
     "f22_review_queue", lambda g: reflection.review_queue(g.entities.select(F.col("id").alias("keep_id"), F.col("entity_type").alias("merge_id"), (F.col("access_count") / 50).alias("confidence"), F.lit("m").alias("method"))).select("keep_id", "confidence"),
@@ -38,7 +38,7 @@ _on("f25_language", "nation", lambda d: d.select("n_nationkey", X.language_of(F.
 
 # joins and aggregations
 _graph(
-    "j13_exact_links", lambda g: ingestion.linked(g, g.entities.where("id in ('p1', 'p2', 'p3')").select("id", F.lit("d").alias("source_document"), F.concat("canonical_name", F.lit(" and Nobody")).alias("text"), F.lit(False).alias("failed"), F.array(F.struct(F.upper("canonical_name").alias("name"), F.lit("Project").alias("entity_type")), F.struct(F.lit("Nobody"), F.lit("person")), F.struct(F.lit("absent"), F.lit("person"))).alias("tags"))).tagged,
+    "j13_exact_links", lambda g: ingestion.linked(g, g.entities.where("id in ('p1', 'p2', 'p3')").select("id", F.lit("d").alias("source_document"), F.concat("canonical_name", F.lit(" and Nobody")).alias("text"), F.lit(False).alias("failed"), F.array(F.struct(F.upper("canonical_name").alias("name"), F.lit("Project").alias("entity_type")), F.struct(F.lit("Nobody").alias("name"), F.lit("person").alias("entity_type")), F.struct(F.lit("absent").alias("name"), F.lit("person").alias("entity_type"))).alias("tags"))).tagged,
     "SELECT id AS chunk_id, 0 AS pos, upper(canonical_name) AS name, 'Project' AS entity_type, id AS existing_id FROM entities WHERE id IN ('p1', 'p2', 'p3') UNION ALL SELECT id, 1, 'Nobody', 'Person', NULL FROM entities WHERE id IN ('p1', 'p2', 'p3')",
 )
 _on("a20_tool_usage", "events", lambda d: d.groupBy("user_id").agg(tool_counts(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: F.concat(s["event_type"], F.lit(": x")))).alias("tools")), "SELECT user_id, string_agg(CASE WHEN n > 1 THEN event_type || ' x' || n ELSE event_type END, ', ' ORDER BY n DESC, f) AS tools FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id")

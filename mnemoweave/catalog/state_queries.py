@@ -101,8 +101,8 @@ _add(
     "SELECT b.entity_type, b.id, CAST(b.access_count AS DOUBLE) AS rank, (SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT DISTINCT o.canonical_name AS x FROM edges d JOIN entities o ON o.id = d.dst WHERE d.src = b.id ORDER BY x LIMIT 5)) AS near FROM (SELECT * FROM entities ORDER BY access_count DESC, id LIMIT 20) b",
 )
 _add("g12_entity_profile", lambda g: agent.entity_profile(g, KEEP)[1].select("id", "count"), f"SELECT dst AS id, count(*) AS \"count\" FROM edges WHERE src = '{KEEP}' GROUP BY dst ORDER BY \"count\" DESC, id LIMIT 10")
-_add("g13_mentions", lambda g: agent.mentions(g, KEEP, 20).select("id", "at"), f"SELECT id, coalesce(\"timestamp\", created_at) AS at FROM chunks WHERE id IN (SELECT chunk_id FROM mentions WHERE entity_id = '{KEEP}') ORDER BY at DESC, id DESC LIMIT 20")
-_add("g14_timeline", lambda g: agent.timeline(g, KEEP, 10).select("id", "at"), f"SELECT id, coalesce(\"timestamp\", created_at) AS at FROM chunks WHERE id IN (SELECT chunk_id FROM mentions WHERE entity_id = '{KEEP}') ORDER BY at DESC, id DESC LIMIT 10")
+_add("g13_mentions", lambda g: agent.mentions(g, KEEP, 20).select("id", "at"), f"SELECT id, coalesce(\"timestamp\", created_at) AS at FROM chunks WHERE id IN (SELECT chunk_id FROM mentions WHERE entity_id = '{KEEP}') ORDER BY coalesce(\"timestamp\", created_at) DESC, id DESC LIMIT 20")
+_add("g14_timeline", lambda g: agent.timeline(g, KEEP, 10).select("id", "at"), f"SELECT id, coalesce(\"timestamp\", created_at) AS at FROM chunks WHERE id IN (SELECT chunk_id FROM mentions WHERE entity_id = '{KEEP}') ORDER BY coalesce(\"timestamp\", created_at) DESC, id DESC LIMIT 10")
 _add(
     "g15_summary", lambda g: agent.summary_line(g, KEEP),
     f"SELECT e.canonical_name || ' (' || e.entity_type || '): ' || (SELECT string_agg(canonical_name, ', ' ORDER BY n DESC, id) FROM (SELECT o.id, o.canonical_name, count(*) AS n FROM edges d JOIN entities o ON o.id = d.dst WHERE d.src = '{KEEP}' GROUP BY ALL ORDER BY n DESC, o.id LIMIT 3)) || ', ' || (SELECT count(*) FROM mentions WHERE entity_id = '{KEEP}') || ' chunks' AS line FROM entities e WHERE e.id = '{KEEP}'",
