@@ -136,6 +136,32 @@ def test_repeated_lines_match_brute_force(spark, monkeypatch, most):
     assert got == plain_lines(rows) and len(got) > 100
 
 
+def altered(line, kind, r):
+    w, c = line.split(), list(line)
+    if kind == "word":
+        w[r.randrange(len(w))] = "replaced"
+        return " ".join(w)
+    for i in r.sample(range(len(c)), {"letter": 1, "letters": max(1, len(c) // 25)}[kind]):
+        c[i] = r.choice("klmnopqrst")
+    return "".join(c)
+
+
+@pytest.mark.parametrize("most", [1024, 8])
+def test_similar_lines_meet_whatever_their_simhash(spark, monkeypatch, most):
+    """Recall against brute force on edit similarity alone, and no link that brute force has not."""
+    monkeypatch.setattr(line_dedup, "KEY_ROWS", most)
+    r, found = random.Random(11), []
+    for k in range(120):
+        line = " ".join(words(f"s{k}", (6, 10, 20, 60)[k % 4]))
+        found += [line, altered(line, ("word", "letter", "letters")[k % 3], r)]
+    rows = [(i, x) for i, x in enumerate(found)]
+    forms = [b" ".join(line_dedup.normal_words(x)).decode() for x in found]
+    links = [(i, j) for i in range(len(forms)) for j in range(i) if line_dedup.similar(forms[i], forms[j])]
+    want = {i for i, root in partition(links, range(len(forms))).items() if i != root}
+    got = {x["doc_id"] for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), sketched=True).collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_line_dedup_keeps_columns_and_odd_rows(spark):
     d = odd(spark)
     out = line_dedup.without_repeated_lines(d.unionByName(d.where("doc_id = 6").withColumn("doc_id", F.lit(8).cast("long"))))
