@@ -9,6 +9,9 @@ links is emitted instead of all pairs, which keeps every component whole.
 
 Nulls and texts without a word have fingerprint zero and are linked like any other.  Repeated rows come out repeated.
 A null doc_id belongs to the component of its fingerprint and is never its smallest id.
+
+The pipeline stage does not use these links: it takes five-word shingles, minima of whose hashes bring candidates
+together, and links those whose sets have a Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ THRESHOLD = 3
 CODE_BITS = 31
 #: Rows of an anchor compared in one task at once; larger anchors are cut into pieces and compared piece by piece.
 ANCHOR_ROWS = 1024
+#: The pipeline stage: words a shingle, least Jaccard similarity of the sets, keys of so many minima each.
+SHINGLE_WORDS, LEAST_JACCARD, BANDS, BAND_MINIMA = 5, 0.8, 24, 5
+_FACTORS = np.random.default_rng(20240302).integers(0, 1 << 31, BANDS * BAND_MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -190,12 +196,125 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, h1, size) sorted by key, those with another member of a size near enough, under one name for each set."""
+    for whole, (key, h1, size) in runs(batches, 1, ANCHOR_ROWS):
+        if not whole:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h1)], names=["key", "h1"])
+            continue
+        order = np.lexsort((h1, size, key))
+        key, h1, size = key[order], h1[order], size[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])])
+        key, h1, size = key[new], h1[new], size[new]
+        near = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= (1 - LEAST_JACCARD) * size[1:] + 1e-9)
+        hit = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+        key, h1 = key[hit], h1[hit]
+        if len(key):
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            h = h1.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+            name = np.repeat(np.add.reduceat(h ^ h >> np.uint64(29), at).view(np.int64), np.diff(np.append(at, len(key))))
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(h1)], names=["key", "h1"])
+
+
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; fewer words than a shingle make one."""
+    if len(words) <= SHINGLE_WORDS:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], np.uint64)
+    rolling = zip(*(words[i:] for i in range(SHINGLE_WORDS)))
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(x)) for x in rolling), np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of ``BAND_MINIMA`` minima each: two sets of Jaccard 0.8 share none in less than 1 of 10,000 cases."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    g = (shingles >> np.uint64(32)).astype(np.uint32)
+    low = np.empty(len(_FACTORS), np.uint64)
+    for k, factor in enumerate(_FACTORS):
+        mixed = (g ^ factor) * factor
+        low[k] = (mixed ^ mixed >> np.uint32(15)).min()
+    x = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_MINIMA):
+        x = (x ^ low[k::BAND_MINIMA]) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x.view(np.int64)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to (doc_id, h1, size, keys): a digest of the words, how many shingles, the band keys."""
+    for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+        h1, size, keys = [], [], []
+        for i in range(b.num_rows):
+            words = _words(b.column(1)[i].as_py())
+            found = shingle_set(words)
+            h1.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+            size.append(len(found))
+            keys.append(band_keys(found))
+        cols = [b.column(0), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h1", "size", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text) to (h1, shingles)."""
+    for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+        h1, found = [], []
+        for i in range(b.num_rows):
+            words = _words(b.column(0)[i].as_py())
+            h1.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+            found.append(shingle_set(words).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(found, pa.binary())], names=["h1", "shingles"])
+
+
+def _similar_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between rows (key, _i, _j, h1, shingles) sorted by the first three whose sets are similar enough."""
+    for _, (key, i, j, h1, raw) in runs(batches, 3, 1 << 62):
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        for s, e in zip(cut, np.append(cut[1:], len(key))):
+            sets = [np.frombuffer(x, np.uint64) for x in raw[s:e]]
+            size = np.array([len(x) for x in sets])
+
+            def may(k: int, others: np.ndarray, sets=sets, size=size) -> np.ndarray:
+                near = np.minimum(size[others], size[k]) >= LEAST_JACCARD * np.maximum(size[others], size[k])
+                for o in np.flatnonzero(near):
+                    both = len(np.intersect1d(sets[k], sets[others[o]], assume_unique=True))
+                    near[o] = both >= LEAST_JACCARD * (size[k] + size[others[o]] - both) - 1e-9
+                return near
+
+            if found := spanning_links(np.arange(e - s), may):
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(h1[s:e][a]), pa.array(h1[s:e][b])], names=["a", "b"])
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) for each row: texts linked by a Jaccard similarity of 0.8 or more of five-word shingles.
+
+    Sets that share a band key are compared in full before they are linked; texts without a word are alike.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = materialise(rows.mapInArrow(_sketches, "doc_id long, h1 long, size int, keys array<long>"))
+    per_text = materialise(marked.groupBy("h1").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    keys = per_text.select(F.explode("keys").alias("key"), "h1", "size").repartition("key").sortWithinPartitions("key")
+    shared = materialise(keys.mapInArrow(sharing, "key long, h1 long").distinct())
+    sets = rows.select("text").mapInArrow(_sets, "h1 long, shingles binary").join(shared.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(F.first("shingles").alias("shingles"))
+    groups = hot_keys_split(shared.join(sets, "h1"), "key", "h1", ANCHOR_ROWS).select("key", "_i", "_j", "h1", "shingles")
+    links = groups.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(_similar_sets, "a long, b long")
+    roots = connected_components(links).withColumnRenamed("node", "h1")
+    grouped = per_text.join(roots, "h1", "left").select("h1", "low", F.coalesce("root", "h1").alias("root"))
+    lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marked.select("doc_id", "h1").join(grouped.join(lows, "root").select("h1", "component_id"), "h1").select("doc_id", "component_id")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, one row for each such id.
 
     Rows with a null doc_id take no part and are kept.
     """
     named = docs.where("doc_id is not null")
-    lead = near_duplicates(named).where("doc_id = component_id").select(F.col("doc_id").alias("_mw_doc_id"))
+    lead = near_copies(named).where("doc_id = component_id").select(F.col("doc_id").alias("_mw_doc_id"))
     kept = named.join(lead, named["doc_id"] == lead["_mw_doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

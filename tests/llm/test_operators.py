@@ -472,6 +472,26 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash_dedup.keep_one_of_each(d.limit(0)).count() == 0
 
 
+def test_near_copies_are_verified_and_complete(spark):
+    """The stage against brute force on the Jaccard similarity of five-word shingles."""
+    r, texts = random.Random(21), []
+    for k in range(30):
+        base = words(f"n{k}", 300)
+        texts.append(" ".join(base))
+        for n in (1, 3, 5, 6, 9):  # a word takes five shingles with it
+            w = list(base)
+            for i in r.sample(range(300), n):
+                w[i] = "changed"
+            texts.append(" ".join(w))
+    texts += ["one two", "One two", "one three"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = partition(links, range(len(sets)))
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dedup.near_copies(docs(spark, texts)).collect()}
+    assert got == want and len(set(want.values())) < 100
+    assert {x["doc_id"] for x in simhash_dedup.keep_one_of_each(docs(spark, texts)).collect()} == set(want.values())
+
+
 # all
 def test_all_operators_are_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
