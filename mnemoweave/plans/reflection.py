@@ -12,9 +12,10 @@ from mnemoweave.operators.aggregates import low_access_count
 from mnemoweave.operators.relations import temporal_chain
 from mnemoweave.plans import mutations
 from mnemoweave.state import GraphState
+from mnemoweave.storage import materialise
 
 AUTO_APPROVE = 0.95
-#: Candidates beyond this many are left to the next run: the merge order is inherently serial.
+#: Candidates taken to the driver at once: the merge order is serial, but rows of ids that are gone drop out between batches.
 MERGES_PER_RUN = 100_000
 
 
@@ -81,13 +82,21 @@ def confirmed(candidates: DataFrame, says_yes: Callable[[DataFrame], DataFrame]
 
 def execute_merges(state: GraphState, chosen: DataFrame, now: int) -> GraphState:
     """Merges in falling confidence, without rows of an id that is gone by then; kept ids may be merged further on."""
-    rows = chosen.orderBy(F.desc("confidence"), "keep_id", "merge_id").limit(MERGES_PER_RUN).collect()
+    spark = state.entities.sparkSession
+    left = materialise(chosen.where("keep_id <> merge_id"))
     into: dict[str, str] = {}
     taken = []
-    for r in rows:
-        if r["keep_id"] not in into and r["merge_id"] not in into:
-            into[r["merge_id"]] = r["keep_id"]
-            taken.append(r)
+    while rows := left.orderBy(F.desc("confidence"), "keep_id", "merge_id").limit(MERGES_PER_RUN).collect():
+        gone = []
+        for r in rows:
+            if r["keep_id"] not in into and r["merge_id"] not in into:
+                into[r["merge_id"]] = r["keep_id"]
+                taken.append(r)
+                gone.append((r["merge_id"],))
+        if len(rows) < MERGES_PER_RUN:
+            break
+        gone = spark.createDataFrame(gone, "_gone string")  # every row of the batch has an id that is gone by now
+        left = materialise(left.join(gone, F.col("keep_id") == F.col("_gone"), "left_anti").join(gone, F.col("merge_id") == F.col("_gone"), "left_anti"))
     if not taken:
         return state
 
@@ -96,7 +105,7 @@ def execute_merges(state: GraphState, chosen: DataFrame, now: int) -> GraphState
             i = into[i]
         return i
 
-    pairs = state.entities.sparkSession.createDataFrame([(last(r["keep_id"]), r["merge_id"], float(r["confidence"]), r["method"]) for r in taken], "keep_id string, merge_id string, confidence double, method string")
+    pairs = spark.createDataFrame([(last(r["keep_id"]), r["merge_id"], float(r["confidence"]), r["method"]) for r in taken], "keep_id string, merge_id string, confidence double, method string")
     return mutations.dedup_edges(mutations.merge_entities(state, pairs, now))
 
 

@@ -130,6 +130,16 @@ def test_merges_follow_chains(spark):
     assert {h["merged_entity_id"] for h in after.entities.where("id = 'c'").first()["merge_history"]} == {"a", "b"}
 
 
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_merges_go_on_past_a_batch(spark, monkeypatch, most):
+    monkeypatch.setattr(reflection, "MERGES_PER_RUN", most)
+    g = graph(spark, [(x, x, "Concept", []) for x in "abcdefgh"], [])
+    pairs = [("a", "b", 1.0, "m"), ("a", "c", 1.0, "m"), ("b", "c", 1.0, "m"), ("e", "f", 0.99, "m"), ("d", "a", 0.98, "m"), ("c", "g", 0.97, "m"), ("h", "h", 0.96, "m")]
+    after = reflection.execute_merges(g, spark.createDataFrame(pairs, "keep_id string, merge_id string, confidence double, method string"), 5)
+    assert ids(after.entities) == {"d", "e", "g", "h"}
+    assert {h["merged_entity_id"] for h in after.entities.where("id = 'd'").first()["merge_history"]} == {"a", "b", "c"}
+
+
 def test_document_removal_keeps_entities_that_live_elsewhere(spark):
     g = core(spark)
     doc = spark.createDataFrame([("work/dashboard.md",)], "document string")
