@@ -7,7 +7,9 @@ is a repeat; the copy in the smallest doc_id is the one that stays.  Repeats tha
 span if they cover ``LEAST_BYTES`` or more, which leaves out single boilerplate lines and chance repeats of a few words.
 
 Texts are compared by their UTF-8 bytes, whole.  Null texts, empty texts and null doc_ids take part in nothing; rows of
-the same doc_id are one document.  A document without a cut is one chunk.
+the same doc_id are one document: a row that repeats counts once, and of rows whose texts differ each is cut and its
+spans reported by its own positions.  A document without a cut is one chunk.  Repeats inside one document alone are not
+reported.
 """
 
 from __future__ import annotations
@@ -47,16 +49,17 @@ def chunks_of(raw: bytes) -> list[tuple[int, int]]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, size, d1, d2): the chunks of every text and the halves of their digests."""
+    """(doc_id, version, start, size, d1, d2): the chunks of every text, a hash of it, and the halves of their digests."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest, whole = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
         for b in batches:
-            ids, starts, sizes, digests, waiting = [], [], [], [], 0
+            ids, versions, starts, sizes, digests, waiting = [], [], [], [], [], 0
             for i in range(b.num_rows):
                 raw = b.column(1)[i].as_py().encode("utf-8", "surrogatepass")
                 found = chunks_of(raw)
                 ids.append((b.column(0)[i].as_py(), len(found)))
+                versions.append(whole(raw))
                 starts += [s for s, _ in found]
                 sizes += [e - s for s, e in found]
                 digests += [digest(raw[s:e]) for s, e in found]
@@ -65,12 +68,13 @@ def chunks(docs: DataFrame) -> DataFrame:
                     if digests:
                         d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                         doc = np.repeat(np.array([x for x, _ in ids]), [n for _, n in ids])
-                        cols = [pa.array(doc), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())]
-                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "size", "d1", "d2"])
-                    ids, starts, sizes, digests, waiting = [], [], [], [], 0
+                        version = np.repeat(np.array(versions, np.uint64).view(np.int64), [n for _, n in ids])
+                        cols = [pa.array(doc), pa.array(version), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())]
+                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "version", "start", "size", "d1", "d2"])
+                    ids, versions, starts, sizes, digests, waiting = [], [], [], [], [], 0
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.where("doc_id is not null and text is not null and text <> ''").mapInArrow(cut, "doc_id long, start int, size int, d1 long, d2 long")
+    return rows.where("doc_id is not null and text is not null and text <> ''").mapInArrow(cut, "doc_id long, version long, start int, size int, d1 long, d2 long")
 
 
 def repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -81,12 +85,13 @@ def repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """
     found = chunks(docs)
     shared = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("d1", "d2", "low")
-    hit = found.join(shared, ["d1", "d2"]).select("doc_id", "start", "size", "low")
-    order = Window.partitionBy("doc_id").orderBy("start")
+    hit = found.join(shared, ["d1", "d2"]).select("doc_id", "version", "start", "size", "low")
+    hit = hit.repartition("doc_id", "version").dropDuplicates(["doc_id", "version", "start"])
+    order = Window.partitionBy("doc_id", "version").orderBy("start")
     follows = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) == F.col("start"), F.lit(False))
     spans = hit.withColumn("new", (~follows).cast("int")).withColumn("span", F.sum("new").over(order))
     return (
-        spans.groupBy("doc_id", "span")
+        spans.groupBy("doc_id", "version", "span")
         .agg(
             F.min("start").alias("start_byte"),
             F.max(F.col("start") + F.col("size")).alias("end_byte"),
@@ -95,7 +100,7 @@ def repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
             F.sum(F.when(F.col("low") < F.col("doc_id"), F.col("size")).otherwise(0)).alias("removable_bytes"),
         )
         .where(F.col("end_byte") - F.col("start_byte") >= least_bytes)
-        .drop("span")
+        .drop("version", "span")
     )
 
 

@@ -280,6 +280,18 @@ def test_repeats_match_a_plain_count(spark, data):
     assert {(r["doc_id"], r["start_byte"], r["end_byte"]) for r in substring_dedup.query(spark, data).collect()} == want
 
 
+def test_a_repeated_row_keeps_its_spans_whole(spark):
+    passage = " ".join(words("shared", 80))
+    texts = [" ".join(words(i, 60)) + " " + passage + " " + " ".join(words(i + 50, 60)) for i in range(3)]
+    d = docs(spark, texts)
+    spans = lambda x: sorted(tuple(r) for r in substring_dedup.repeats(x).collect())
+    want = spans(d)
+    assert {r[0] for r in want} == {0, 1, 2} and max(r[2] - r[1] for r in want) > 300
+    assert spans(d.unionByName(d.where("doc_id = 1")).unionByName(d.where("doc_id <> 0"))) == want
+    other = docs(spark, [" ".join(words("other", 300))], 1)  # doc 1 once more with another text
+    assert spans(d.unionByName(other)) == want
+
+
 def test_repeats_of_odd_rows(spark):
     assert substring_dedup.repeats(odd(spark)).count() == 0 and substring_dedup.repeats(odd(spark).limit(0)).count() == 0
 
