@@ -107,7 +107,7 @@ _add(
     "g15_summary", lambda g: agent.summary_line(g, KEEP),
     f"SELECT e.canonical_name || ' (' || e.entity_type || '): ' || (SELECT string_agg(canonical_name, ', ' ORDER BY n DESC, id) FROM (SELECT o.id, o.canonical_name, count(*) AS n FROM edges d JOIN entities o ON o.id = d.dst WHERE d.src = '{KEEP}' GROUP BY ALL ORDER BY n DESC, o.id LIMIT 3)) || ', ' || (SELECT count(*) FROM mentions WHERE entity_id = '{KEEP}') || ' chunks' AS line FROM entities e WHERE e.id = '{KEEP}'",
 )
-_add("j14_mentions_in_text", lambda g: agent.mentions_in(g._replace(entities=g.entities.where("id in ('p1', 'p2', 'p3', 'p4')")), g.entities.where("id in ('p1', 'p12', 'p2')").select(F.col("id").alias("text_id"), F.concat(F.lit("About "), "canonical_name", F.lit("5 and "), "canonical_name", F.lit(".")).alias("text"))), None)
+_add("j14_mentions_in_text", lambda g: agent.mentions_in(g, g.entities.select(F.col("id").alias("text_id"), F.concat(F.lit("About "), "canonical_name", F.lit("5 and "), "canonical_name", F.lit(".")).alias("text"))), None)
 _add(
     "j15_candidates", lambda g: agent.candidates(g.entities.where("access_count > 40").select("id", F.lit(1.0).alias("match")), _SIMILAR(g).where("similarity > 0.8"), 30).select("id", F.round("score", 9).alias("score")),
     "SELECT id, round(CASE WHEN s > 0.8 THEN s ELSE 0 END + CASE WHEN access_count > 40 THEN 0.3::DOUBLE ELSE 0 END, 9) AS score FROM (SELECT id, access_count, access_count % 7 / 7.0::DOUBLE AS s FROM entities) WHERE s > 0.8 OR access_count > 40 ORDER BY CASE WHEN s > 0.8 THEN s ELSE 0 END + CASE WHEN access_count > 40 THEN 0.3::DOUBLE ELSE 0 END DESC, id LIMIT 30",

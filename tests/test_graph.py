@@ -197,6 +197,25 @@ def test_name_mentions(spark):
     assert sorted((r["text_id"], r["id"], r["match"]) for r in agent.mentions_in(g, t).collect()) == [("1", "s", 1.0), ("2", "r", 0.7), ("3", "s", 0.6)]
 
 
+def test_mentions_query_searches_every_text_for_every_name(spark, data):
+    import re
+
+    from mnemoweave.catalog import state_queries
+    from mnemoweave.testviews import graph as tables
+
+    e = [(r["id"], r["canonical_name"], list(r["aliases"])) for r in tables(spark, data).entities.select("id", "canonical_name", "aliases").collect()]
+    want = {}
+    for text_id, own, _ in e:
+        text = f"About {own}5 and {own}.".lower()
+        for i, name, aliases in e:
+            for n, match in [(name.lower(), 0.7), *((a.lower(), 0.6) for a in aliases)]:
+                if len(n) >= 3 and n in text:
+                    whole = match == 0.7 and re.search(r"(?<!\w)" + re.escape(n) + r"(?!\w)", text)
+                    want[text_id, i] = max(want.get((text_id, i), 0), 1.0 if whole else match)
+    got = {(r["text_id"], r["id"]): r["match"] for r in state_queries.QUERIES["j14_mentions_in_text"][0](spark, data).collect()}
+    assert got == want and len({t for t, _ in got}) == len(e) > 4
+
+
 def test_prefix_budget_stops_and_greedy_packing_goes_on(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("b", 2, 10), ("c", 3, 4)], "id string, place int, tokens int")
     assert ids(aggregates.within_budget(rows, F.col("tokens"), 10, [F.col("place")])) == {"a"}
