@@ -75,12 +75,21 @@ def expanded(state: GraphState, start: DataFrame, hops: int, cap: int) -> Neighb
     return Neighbourhood(kept, inside, scored)
 
 
-def _budgeted(lines: DataFrame, order: list[Column], budget: int, count=None) -> str:
-    """The lines in order up to the budget, joined.  Lines are those of at most a cap of entities or their chunks."""
+def _fitting(lines: DataFrame, order: list[Column], budget: int, count=None) -> list:
+    """The first rows in order whose tokens stay within the budget in all, read piece by piece until one does not."""
     tokens = count(F.col("line")) if count else (F.length("line") / 4).cast("int")
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.orderBy(*order).limit(1000).withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= budget)
-    return "\n".join(r["line"] for r in rows.orderBy("used").select("line").collect())
+    kept, used = [], 0
+    for r in lines.withColumn("_tokens", tokens).orderBy(*order).toLocalIterator():
+        used += r["_tokens"] or 0
+        if used > budget:
+            break
+        kept.append(r)
+    return kept
+
+
+def _budgeted(lines: DataFrame, order: list[Column], budget: int, count=None) -> str:
+    """The lines in order up to the budget, joined."""
+    return "\n".join(r["line"] for r in _fitting(lines, order, budget, count))
 
 
 def neighbour_names(n: Neighbourhood, names: DataFrame, k: int) -> DataFrame:
@@ -125,10 +134,9 @@ def assembled(state: GraphState, vectors: DataFrame, ranks: DataFrame, query: li
     n = expanded(state, start, p.hops, p.entities)
     tier1 = _budgeted(knowledge_lines(state, n), [F.desc("weight"), F.col("id")], p.tier1, count)
     evidence = evidence_lines(n)
-    tier2 = _budgeted(evidence, [F.desc("score"), F.col("id")], p.tier2, count)
-    tokens = count(F.col("line")) if count else (F.length("line") / 4).cast("int")
-    w = Window.orderBy(F.desc("score"), F.col("id")).rowsBetween(Window.unboundedPreceding, 0)
-    told = evidence.orderBy(F.desc("score"), "id").limit(1000).withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= p.tier2).select(F.explode("tags").alias("id")).distinct()
+    shown = _fitting(evidence, [F.desc("score"), F.col("id")], p.tier2, count)
+    tier2 = "\n".join(r["line"] for r in shown)
+    told = state.chunks.sparkSession.createDataFrame([(t,) for t in {t for r in shown for t in r["tags"] or []}], "id string")
     tier3 = _budgeted(peripheral_lines(state, n, told), [F.desc("weight"), F.col("id")], p.tier3, count)
     parts = [("## Knowledge map", tier1), ("## Evidence", tier2), ("## Related", tier3)]
     return "\n\n".join(f"{title}\n{text}" for title, text in parts if text)

@@ -216,6 +216,13 @@ def test_mentions_query_searches_every_text_for_every_name(spark, data):
     assert got == want and len({t for t, _ in got}) == len(e) > 4
 
 
+def test_a_large_budget_takes_more_than_a_thousand_lines(spark):
+    lines = spark.createDataFrame([(i, "x" * 40) for i in range(1500)], "id int, line string")
+    order = [F.col("id")]
+    assert retrieval._budgeted(lines, order, 15_000).count("\n") == 1499
+    assert retrieval._budgeted(lines, order, 12_005).count("\n") == 1199 and retrieval._budgeted(lines, order, 5) == ""
+
+
 def test_prefix_budget_stops_and_greedy_packing_goes_on(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("b", 2, 10), ("c", 3, 4)], "id string, place int, tokens int")
     assert ids(aggregates.within_budget(rows, F.col("tokens"), 10, [F.col("place")])) == {"a"}
