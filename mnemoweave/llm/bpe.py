@@ -1,25 +1,29 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
 Texts are split into the words of the byte-level pre-tokenizer with numpy.  A task gathers its texts into blocks; a block
-keeps its distinct words and, for each text, the numbers of its words.  The distinct words of all blocks meet sorted by
-word, so each is encoded once by the tokenizer, and its ids go back to the blocks, where they are joined to the texts by
-position.  Decoding joins ids to their pieces (one row for each id of the vocabulary) and puts the pieces' bytes together.
-No occurrence of a word is ever shuffled on its own: a block sends each of its words once.
+keeps its distinct words and, for each text, the numbers of its words.  A block deals its distinct words to buckets by
+their hash, one packed row for each bucket; what all blocks have in one bucket meets, each word is encoded once by the
+tokenizer, and one packed row of ids for each block and bucket goes back to the block, where ids are joined to the texts
+by position.  Decoding joins ids to their pieces (one row for each id of the vocabulary) and puts the pieces' bytes
+together.  No occurrence of a word is ever shuffled on its own, and a block sends each of its words once.
 
 Blocks are cut from the scan twice, so the input must come in the same rows for each partition both times: documents read
 from files do, anything else is written to the checkpoint folder first (``from_files=False``).  A checksum of a block's
-words travels as a word of number -1 and is compared when its parts meet; a difference fails the job instead of giving wrong ids.
+words travels with them and is compared when its parts meet; a difference fails the job instead of giving wrong ids.
 
-A null text is an empty one: no ids, an empty decoded text.  Repeated rows give repeated results.
+A null text is an empty one: no ids, an empty decoded text.  Repeated rows give repeated results.  Columns other than
+doc_id and text are not read and not returned, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoweave.llm.common import materialise, table
+from mnemoweave.llm.common import materialise, released, table
 
 #: Characters of a block: bounds what one group of the last step holds (about 20 bytes of memory for each).
-BLOCK_CHARS = 32_000_000
-CHUNK_CHARS = 2_000_000
-WORD_BITS = 28  # of a place, the number of a word in its block
+BLOCK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
+#: Buckets of words for each shuffle partition, and words whose ids a task keeps at once; of more some are encoded again.
+BUCKETS_EACH = 4
+KEPT_WORDS = 1_000_000
+ENCODED_AT_ONCE = 2000
 _SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
+_SEPARATOR = b"\xff"  # in no UTF-8 text
 _TAILS = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
@@ -132,12 +140,15 @@ class _Block:
             count[marks] = 1
         self.parts.append((ids, _packed(np.bincount(piece_of, weights=count, minlength=len(texts))), _packed(seq)))
 
+    def octets(self) -> list[bytes]:
+        return [w.encode("utf-8", "surrogatepass") for w in self.words]
+
     def check(self) -> int:
         return xxhash.xxh64_intdigest("\0".join(self.words).encode("utf-8", "surrogatepass")) >> 1
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], special: tuple[str, ...], words_only: bool = False) -> Iterator[tuple[int, _Block]]:
-    first = TaskContext.get().partitionId() << 12  # 4096 blocks for each partition
+    first = TaskContext.get().partitionId() << 32  # more blocks than a partition can have
     block, n = _Block(special, words_only), 0
     ids, texts, waiting = [], [], 0
 
@@ -158,12 +169,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], special: tuple[str, ...], words_o
         yield first + n, block
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _spread(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _dealt(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket of each word, an order that brings them together, and where in it each bucket begins and the last ends."""
+    dealt = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
+    return dealt, np.argsort(dealt, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(dealt, minlength=buckets))])
+
+
 def _packed(numbers: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return _squeezed(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    flat = np.frombuffer(_spread(data), np.uint8)
     return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
 
 
@@ -199,61 +224,71 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, *, ids: bool =
         rows = materialise(rows)
 
     narrow = "<u2" if len(piece_table) <= 1 << 16 else "<u4"
-
-    def rows_of(words: list[str], block: int, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array((block << WORD_BITS) + 1 + n)], names=["word", "place"])
+    buckets = BUCKETS_EACH * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, special, words_only=True):
-            found = list(block.words)
-            for at in range(0, len(found), 100_000):
-                part = found[at : at + 100_000]
-                yield rows_of(part, number, np.arange(at, at + len(part)))
-            yield rows_of([str(block.check())], number, np.array([-1]))
+            found, check = block.octets(), block.check()
+            order, cuts = _dealt(found, buckets)[1:]
+            some = np.flatnonzero(np.diff(cuts))
+            blobs = [_squeezed(_SEPARATOR.join([found[i] for i in order[cuts[k] : cuts[k + 1]]])) for k in some.tolist()]
+            cols = [pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([check] * len(some), pa.int64()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "block", "check", "words"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, special):
             check = block.check()
-            for docs, sizes, numbers in block.parts:  # a row each, of a few hundred kilobytes
-                cols = [pa.array([number]), pa.array([check]), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([numbers], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["block", "check", "docs", "sizes", "numbers"])
+            dealt = _packed(_dealt(block.octets(), buckets)[0])
+            for k, (docs, sizes, numbers) in enumerate(block.parts):  # a row each, of a few hundred kilobytes
+                cols = [pa.array([number]), pa.array([check]), pa.array([docs], pa.list_(pa.int64()))]
+                cols += [pa.array([x], pa.binary()) for x in (sizes, numbers, None if k else dealt)]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "check", "docs", "sizes", "numbers", "buckets"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_str(shared.value[0])
         model.no_padding()
         model.no_truncation()
-        last, last_ids = None, b""
+        known: dict[bytes, bytes] = {}
+        bucket, width = None, np.dtype(narrow).itemsize
         for b in batches:
-            column = b.column(0).dictionary_encode()
-            distinct = column.dictionary.to_pylist()
-            coded = [last_ids if w == last else None for w in distinct]
-            new = [i for i, c in enumerate(coded) if c is None]
-            for i, e in zip(new, model.encode_batch([distinct[i] for i in new], add_special_tokens=False)):
-                coded[i] = np.array(e.ids, dtype=narrow).tobytes()
-            if distinct:
-                last = b.column(0)[b.num_rows - 1].as_py()
-                last_ids = coded[column.indices[b.num_rows - 1].as_py()]
-            got = pa.array(coded, pa.binary()).take(column.indices)
-            yield pa.RecordBatch.from_arrays([b.column(1), got], names=["place", "ids"])
+            sizes, ids = [], []
+            for k, blob in zip(b.column(0).to_pylist(), b.column(3)):
+                if k != bucket or len(known) > KEPT_WORDS:
+                    bucket, known = k, {}
+                found = _spread(blob.as_py()).split(_SEPARATOR)
+                new = [w for w in found if w not in known]
+                for at in range(0, len(new), ENCODED_AT_ONCE):
+                    part = new[at : at + ENCODED_AT_ONCE]
+                    for w, e in zip(part, model.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)):
+                        known[w] = np.array(e.ids, dtype=narrow).tobytes()
+                coded = [known[w] for w in found]
+                sizes.append(_packed(np.array([len(c) // width for c in coded])))
+                ids.append(_packed(np.frombuffer(b"".join(coded), narrow)))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "check", "bucket", "sizes", "ids"])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         piece_of = shared.value[1]
-        order = np.argsort(left["place"].to_numpy())  # number -1, the checksum, comes first
-        coded = left["ids"].take(pa.array(order)).to_pylist()
-        width = np.dtype(narrow).itemsize
-        size = np.array([len(c) // width for c in coded[1:]], dtype=np.int64)
-        of = lambda c: np.frombuffer(c, narrow).tolist()
-        check = int(b"".join([piece_of[i] for i in of(coded[0])]))
-        listed = [",".join(map(str, of(c))).encode() for c in coded[1:]]
-        spelled = [b"".join([piece_of[i] for i in of(c)]) for c in coded[1:]]
+        by = np.argsort(left["bucket"].to_numpy()).tolist()
+        size = np.concatenate([_unpacked(left["sizes"][i].as_py()) for i in by] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        flat = np.concatenate([_unpacked(left["ids"][i].as_py()) for i in by] or [np.zeros(0, np.uint32)])
+        ends = np.cumsum(size)
+        numbered, spans = flat.tolist(), list(zip((ends - size).tolist(), ends.tolist()))
+        listed = [",".join(map(str, numbered[s:e])).encode() for s, e in spans]
+        spelled = [b"".join([piece_of[i] for i in numbered[s:e]]) for s, e in spans]
+        coded = [flat[s:e].astype(narrow).tobytes() for s, e in spans] if ids else []
+        dealt = next(_unpacked(x.as_py()) for x in right["buckets"] if x.is_valid)
+        place = np.empty(len(dealt), np.int64)  # of a word of the block among those that come back
+        place[np.argsort(dealt, kind="stable")] = np.arange(len(dealt))
+        checks = {*left["check"].to_pylist(), *right["check"].to_pylist()}
+        if len(checks) > 1 or len(place) != len(size):
+            raise RuntimeError("the words of a block and its texts come from different rows; give from_files=False")
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"token_ids": []} if ids else {})
+        spell, listing = spelled.__getitem__, listed.__getitem__
         for r in range(right.num_rows):
-            if right["check"][r].as_py() != check:
-                raise RuntimeError("the words of a block and its texts come from different rows; give from_files=False")
-            numbers = _unpacked(right["numbers"][r].as_py())
-            at, spell, listing = 0, spelled.__getitem__, listed.__getitem__
+            numbers, at = place[_unpacked(right["numbers"][r].as_py())], 0
             for doc, n in zip(right["docs"][r].as_py(), _unpacked(right["sizes"][r].as_py()).tolist()):
                 part = numbers[at : at + n]
                 mine = part.tolist()
@@ -268,15 +303,15 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, *, ids: bool =
                 out["ids_sha256"].append(hashlib.sha256(b",".join(map(listing, mine))).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
                 if ids:
-                    out["token_ids"].append(np.frombuffer(b"".join([coded[1 + i] for i in mine]), narrow).astype(np.int32))
+                    out["token_ids"].append(np.frombuffer(b"".join([coded[i] for i in mine]), narrow).astype(np.int32))
         kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "token_ids": pa.list_(pa.int32())}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    table_of_words = rows.mapInArrow(words, "word string, place long").repartition("word").sortWithinPartitions("word")
-    coded = table_of_words.mapInArrow(encode, "place long, ids binary")
-    by_block = rows.mapInArrow(texts, "block long, check long, docs array<long>, sizes binary, numbers binary")
+    table_of_words = rows.mapInArrow(released(words), "bucket int, block long, check long, words binary").repartition("bucket").sortWithinPartitions("bucket")
+    coded = table_of_words.mapInArrow(released(encode), "block long, check long, bucket int, sizes binary, ids binary")
+    by_block = rows.mapInArrow(released(texts), "block long, check long, docs array<long>, sizes binary, numbers binary, buckets binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
-    return coded.groupBy(F.shiftright("place", WORD_BITS).alias("block")).cogroup(by_block.groupBy("block")).applyInArrow(join, schema)
+    return coded.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(join, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
