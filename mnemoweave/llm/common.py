@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one is set here only where there is none, as in local tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mw-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mw-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -31,6 +37,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written to a table in the shared folder and read again, which cuts the lineage and packs columns."""
+    path = f"{shared_folder(df.sparkSession)}/mw-{uuid4().hex}"
+    df.write.parquet(path)
+    _remove_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    def remove() -> None:
+        with suppress(Exception):  # the JVM may be gone
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+
+
 @cache
 def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -99,9 +99,10 @@ def plain_lines(rows):
             if w := line_dedup.normal_words(x):
                 occurs.setdefault(b" ".join(w), []).append((i, n))
     forms = list(occurs)
-    h = [[xxhash.xxh3_64_intdigest(w) for w in line_dedup.votes(f.split())] for f in forms]
-    fp = common.majority_bits(np.array([x for y in h for x in y], dtype=np.uint64), np.array([len(y) for y in h]))
-    links = [(i, j) for i in range(len(forms)) for j in range(i) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 3 and line_dedup.similar(forms[i].decode("utf-8", "replace"), forms[j].decode("utf-8", "replace"))]
+    keys = [set() for _ in forms]
+    for i, k in zip(*map(np.ndarray.tolist, line_dedup.block_keys([f.split() for f in forms]))):
+        keys[i].add(k)
+    links = [(i, j) for i in range(len(forms)) for j in range(i) if keys[i] & keys[j] and line_dedup.similar(forms[i].decode("utf-8", "replace"), forms[j].decode("utf-8", "replace"))]
     groups = {}
     for i, root in partition(links, range(len(forms))).items():
         groups.setdefault(root, []).extend(occurs[forms[i]])
@@ -147,7 +148,7 @@ def altered(line, kind, r):
 
 
 @pytest.mark.parametrize("most", [1024, 8])
-def test_similar_lines_meet_whatever_their_simhash(spark, monkeypatch, most):
+def test_similar_lines_meet(spark, monkeypatch, most):
     """Recall against brute force on edit similarity alone, and no link that brute force has not."""
     monkeypatch.setattr(line_dedup, "KEY_ROWS", most)
     r, found = random.Random(11), []
@@ -158,10 +159,28 @@ def test_similar_lines_meet_whatever_their_simhash(spark, monkeypatch, most):
     forms = [b" ".join(line_dedup.normal_words(x)).decode() for x in found]
     links = [(i, j) for i in range(len(forms)) for j in range(i) if line_dedup.similar(forms[i], forms[j])]
     want = {i for i, root in partition(links, range(len(forms))).items() if i != root}
-    got = {x["doc_id"] for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), sketched=True).collect()}
+    got = {x["doc_id"] for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(want) > 100 and got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_real_lines_with_a_change_share_a_block(data):
+    """Of lines of the tables, one word or one letter of which is replaced, and still similar; by their number of words."""
+    import pyarrow.parquet as pq
+
+    r, lines = random.Random(5), {}
+    for text in pq.read_table(f"{data}/documents.parquet")["text"].to_pylist():
+        lines |= {b" ".join(w): None for x in (text or "").split("\n") if len(w := line_dedup.normal_words(x)) >= 4}
+    lines = r.sample(sorted(lines), min(1500, len(lines)))
+    for kind, least in (("word", 0.95), ("letter", 0.97), ("letters", 0.8)):
+        pairs = [(x.decode(), " ".join(altered(x.decode(), kind, r).split())) for x in lines]
+        pairs = [p for p in pairs if line_dedup.similar(*p)]
+        keys = [[set() for _ in pairs] for _ in range(2)]
+        for side in range(2):
+            for i, k in zip(*map(np.ndarray.tolist, line_dedup.block_keys([p[side].encode().split() for p in pairs]))):
+                keys[side][i].add(k)
+        assert len(pairs) > 500 and sum(bool(a & b) for a, b in zip(*keys)) >= least * len(pairs), kind
+
+
 def test_line_dedup_keeps_columns_and_odd_rows(spark):
     d = odd(spark)
     out = line_dedup.without_repeated_lines(d.unionByName(d.where("doc_id = 6").withColumn("doc_id", F.lit(8).cast("long"))))
