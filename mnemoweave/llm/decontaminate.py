@@ -6,8 +6,9 @@ m is 1): the shift table tells how far the search may jump when a block ends at
 a window's last block select its candidates where the shift is zero, the hash of its first block and then a direct
 comparison of all words confirm.  The jumps of many positions are taken side by side with numpy.
 
-The tables are broadcast.  Their size is bounded: the benchmark's words are counted first, and beyond ``SLICE_WORDS``
-items are dealt by hash into slices, each searched in its own pass over the same row.
+The tables are broadcast.  Their size is bounded: the benchmark's characters are counted first, and beyond about
+``SLICE_WORDS`` words items are dealt by hash into slices.  Each slice is searched in a pass of its own, what it found is
+written to the shared folder, and its tables are given up before those of the next are built.
 
 A null text has no words.  An item of no word, or with a null item_id, takes part in nothing; equal item_ids count
 once.  Repeated documents give repeated rows.  An empty benchmark contaminates nothing.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoweave.llm.common import table
+from mnemoweave.llm.common import released, stored, table
 
 WINDOW = 10
 SLICE_WORDS = 2_000_000
@@ -132,7 +133,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *carry: str) -> DataFrame:
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-size // (5 * SLICE_WORDS)))
     names = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names)), F.col("text").cast("string").alias("_t"), F.lit(0).cast("long").alias("_w"), F.array().cast("array<int>").alias("_h"), F.array().cast("array<string>").alias("_i"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in carry), F.col("text").cast("string"), F.lit(0).cast("long"), F.array().cast("array<int>"), F.array().cast("array<string>")).toDF(*names, "_t", "_w", "_h", "_i")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     for k in range(slices):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
@@ -151,8 +152,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, *carry: str) -> DataFrame:
                     last = [pa.array([len(d) for d in docs], pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*b.columns[:-3], *last], names=b.schema.names)
 
-        rows = rows.mapInArrow(search, schema)
-    return rows.select(*(F.col(n).alias(c) for c, n in zip(carry, names)), F.col("_w").alias("n_words"), F.col("_h").alias("hit_words"), F.col("_i").alias("item_ids"))
+        rows = rows.mapInArrow(released(search), schema)
+        if k < slices - 1:  # one slice's tables at a time
+            rows = stored(rows)
+            shared.destroy()
+    return rows.drop("_t").toDF(*carry, "n_words", "hit_words", "item_ids")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,5 +198,6 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no test string occurs; columns as they are."""
-    found = mark(docs, benchmark, *docs.columns)
-    return found.where(F.size("hit_words") == 0).select(*found.columns[: len(docs.columns)])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = mark(docs, benchmark, *docs.columns).toDF(*names, "n_words", "hit_words", "item_ids")  # columns of docs may have these names
+    return found.where(F.size("hit_words") == 0).select(*names).toDF(*docs.columns)

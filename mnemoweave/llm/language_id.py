@@ -6,9 +6,10 @@ dictionary; the smallest frame names the language.  The margin between the two s
 of the second, is the confidence; margins under ``NARROW`` are rejections.
 
 Dictionaries are cut from whole texts of labelled rows: at most ``SAMPLE_ROWS`` rows for each language, the first in a
-fixed pseudo-random order among those of ``SAMPLE_CHARS`` characters, until ``DICTIONARY_BYTES`` are full.  Rows are
+fixed pseudo-random order, those of ``SAMPLE_CHARS`` characters before others, until ``DICTIONARY_BYTES`` are full.  Rows are
 drawn by a hash threshold set from each language's count, so that what meets in one task stays bounded at any size.  That
-sample is the only bound; every text is read whole.
+sample is the only bound; every text is read whole.  Repeats of a word within a text are left out before compression: they
+compress to next to nothing under any dictionary, and sizes of long texts would drown the difference between dictionaries.
 
 A null text, or one without a letter, is ``und`` with score 0, as is every text when no language could be learned.
 Ties go to the language that sorts first, with score 0.  Repeated rows give repeated results.
@@ -23,13 +24,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemoweave.llm.common import fold_of, sample_order, table
+from mnemoweave.llm.common import fold_of, released, sample_order, table
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = (200, 4000)
-DRAWN = 8  # times SAMPLE_ROWS, before texts of other lengths go
+DRAWN = 8  # times SAMPLE_ROWS, before the first in order are taken
 DICTIONARY_BYTES = 65536
-MOST_LANGUAGES = 500  # checked: DICTIONARY_BYTES for each are broadcast
+MODEL_BYTES = 32 << 20  # what all dictionaries have together; of very many languages each gets less
 LEVEL = 6
 PADDING = b"\n" * 64
 NARROW = 0.003
@@ -49,22 +50,22 @@ def distinct_words(text: str | None) -> bytes:
 def learn(docs: DataFrame, may_learn: Column) -> dict[str, bytes]:
     """language -> raw dictionary content, from the rows of (doc_id, text, lang) where ``may_learn`` holds."""
     low, high = SAMPLE_CHARS
-    labelled = docs.where(may_learn & F.col("lang").isNotNull())
-    counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages; their dictionaries would not fit a broadcast")
+    usual = F.length("text").between(low, high)
+    labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = labelled.groupBy("lang").agg(F.count_if(usual).alias("usual"), F.count_if(~usual).alias("other")).collect()
     if not counts:
         return {}
-    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, DRAWN * SAMPLE_ROWS / r["count"]))))[F.col("lang")]
-    rows = labelled.where(F.length("text").between(low, high)).select("doc_id", "text", "lang")
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < rate * (1 << 20))
-    order = Window.partitionBy("lang").orderBy(*sample_order("doc_id"), "text")
-    rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
+    room = min(DICTIONARY_BYTES, MODEL_BYTES // len(counts))
+    rate = lambda n: min(1.0, DRAWN * SAMPLE_ROWS / n) if n else 0.0
+    rates = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], F.array(F.lit(rate(r["usual"])), F.lit(rate(r["other"]) if r["usual"] < SAMPLE_ROWS else 0.0)))))[F.col("lang")]
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.when(usual, rates[0]).otherwise(rates[1]) * (1 << 20)
+    order = Window.partitionBy("lang").orderBy(F.when(usual, 0).otherwise(1), *sample_order("doc_id"), "text")
+    rows = labelled.where(drawn).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
     found: dict[str, bytes] = {}
     for r in rows.orderBy("lang", "_n").select("lang", "text").toLocalIterator():
-        if len(have := found.get(r["lang"], b"")) < DICTIONARY_BYTES and (words := distinct_words(r["text"])):
+        if len(have := found.get(r["lang"], b"")) < room and (words := distinct_words(r["text"])):
             found[r["lang"]] = have + words + b" "
-    return {lang: content[:DICTIONARY_BYTES] for lang, content in found.items()}
+    return {lang: content[:room] for lang, content in found.items()}
 
 
 class Classifier:
@@ -87,24 +88,21 @@ class Classifier:
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], *carry: str) -> DataFrame:
-    """The columns ``carry`` of each row, then lang_pred, margin (0 to 1) and score (0 to 1)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(dictionaries)  # DICTIONARY_BYTES for each language
+    """The columns ``carry`` of each row, whatever their names, then lang_pred, margin (0 to 1) and score (0 to 1)."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MODEL_BYTES at most
     names = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names)), F.col("text").cast("string").alias("_mw_text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in carry), F.col("text").cast("string")).toDF(*names, "text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(shared.value)
         for b in batches:
             got = [model(x.as_py()) for x in b.column(len(names))]
-            langs, margins = [g[0] for g in got], [g[1] for g in got]
-            cols = [*b.columns[:-1], pa.array(langs, pa.string()), pa.array(margins, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "margin"])
+            scores = [g[1] / (g[1] + HALF_SCORE_MARGIN) for g in got]
+            cols = [*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "margin", "score"])
 
-    fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string", "margin double"])
-    out = rows.mapInArrow(predict, fields)
-    score = F.col("margin") / (F.col("margin") + F.lit(HALF_SCORE_MARGIN))
-    return out.select(*(F.col(n).alias(c) for c, n in zip(carry, names)), "lang_pred", "margin", score.alias("score"))
+    fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string", "margin double", "score double"])
+    return rows.mapInArrow(released(predict), fields).toDF(*carry, "lang_pred", "margin", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,5 +116,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is determined with a margin of at least ``NARROW``; columns as they are."""
     dictionaries = learn(docs, fold_of("doc_id", 3) != 1)
     judged = classify(docs, dictionaries, *docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    judged = judged.toDF(*names, "lang_pred", "margin", "score")  # columns of docs may have these names
     kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("margin") >= NARROW))
-    return kept.select(*kept.columns[: len(docs.columns)])
+    return kept.select(*names).toDF(*docs.columns)

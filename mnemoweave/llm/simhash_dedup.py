@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from mnemoweave.llm.common import connected_components, hot_keys_split, majority_bits, materialise, runs, table
+from mnemoweave.llm.common import connected_components, hot_keys_split, majority_bits, materialise, released, runs, stored, table
 
 THRESHOLD = 3
 CODE_BITS = 31
@@ -182,7 +183,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row: component_id is the smallest doc_id linked, itself included."""
-    marked = fingerprints(docs, width)
+    marked = stored(fingerprints(docs, width))
     per_fp = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = connected_components(fingerprint_links(per_fp))
     grouped = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -290,31 +291,54 @@ def _similar_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(h1[s:e][a]), pa.array(h1[s:e][b])], names=["a", "b"])
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """The rows, of which column ``text`` is a string, and h1, a digest of the text's words."""
+
+    at = rows.columns.index("text")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            h1 = [xxhash.xxh3_64_intdigest(b" ".join(_words(x.as_py()))) for x in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(h1, np.uint64).view(np.int64))], names=[*b.schema.names, "h1"])
+
+    return rows.mapInArrow(released(digest), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), "h1 long"]))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) for each row: texts linked by a Jaccard similarity of 0.8 or more of five-word shingles.
+    """(doc_id, h1, component_id, leads) for each row: texts linked by a Jaccard similarity of 0.8 or more of five-word shingles.
 
-    Sets that share a band key are compared in full before they are linked; texts without a word are alike.
+    Sets that share a band key are compared in full before they are linked; texts without a word are alike.  h1 is a digest
+    of the text's words, component_id the smallest doc_id; ``leads`` marks the smallest (doc_id, h1) of a component.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = materialise(rows.mapInArrow(_sketches, "doc_id long, h1 long, size int, keys array<long>"))
-    per_text = materialise(marked.groupBy("h1").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    marked = stored(rows.mapInArrow(released(_sketches), "doc_id long, h1 long, size int, keys array<long>"))
+    per_text = stored(marked.groupBy("h1").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     keys = per_text.select(F.explode("keys").alias("key"), "h1", "size").repartition("key").sortWithinPartitions("key")
-    shared = materialise(keys.mapInArrow(sharing, "key long, h1 long").distinct())
-    sets = rows.select("text").mapInArrow(_sets, "h1 long, shingles binary").join(shared.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(F.first("shingles").alias("shingles"))
-    groups = hot_keys_split(shared.join(sets, "h1"), "key", "h1", ANCHOR_ROWS).select("key", "_i", "_j", "h1", "shingles")
-    links = groups.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(_similar_sets, "a long, b long")
+    shared = stored(keys.mapInArrow(released(sharing), "key long, h1 long").distinct())
+    sets = rows.select("text").mapInArrow(released(_sets), "h1 long, shingles binary").join(shared.select("h1").distinct(), "h1", "left_semi").groupBy("h1").agg(F.first("shingles").alias("shingles"))
+    groups = hot_keys_split(shared, "key", "h1", ANCHOR_ROWS).join(sets, "h1").select("key", "_i", "_j", "h1", "shingles")
+    links = groups.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(released(_similar_sets), "a long, b long")
     roots = connected_components(links).withColumnRenamed("node", "h1")
     grouped = per_text.join(roots, "h1", "left").select("h1", "low", F.coalesce("root", "h1").alias("root"))
-    lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    return marked.select("doc_id", "h1").join(grouped.join(lows, "root").select("h1", "component_id"), "h1").select("doc_id", "component_id")
+    lows = grouped.groupBy("root").agg(F.min(F.struct(F.col("low").alias("doc_id"), "h1")).alias("lead"))
+    named = grouped.join(lows, "root").select("h1", "lead")
+    leads = F.struct("doc_id", "h1") == F.col("lead")
+    return marked.select("doc_id", "h1").join(named, "h1").select("doc_id", "h1", F.col("lead.doc_id").alias("component_id"), leads.alias("leads"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, one row for each such id.
+    """The rows of ``docs`` whose doc_id is the smallest of its component, columns as they are.
 
-    Rows with a null doc_id take no part and are kept.
+    Of rows equal in doc_id and words one stays, the smallest in the order of the columns; different texts of one doc_id
+    are judged each by itself, and of those in one component the one whose words have the smallest digest stays.  Rows with
+    a null doc_id take no part and are kept.
     """
-    named = docs.where("doc_id is not null")
-    lead = near_copies(named).where("doc_id = component_id").select(F.col("doc_id").alias("_mw_doc_id"))
-    kept = named.join(lead, named["doc_id"] == lead["_mw_doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = docs.toDF(*names)  # no name of a column can clash
+    key, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows = numbered.where(key.isNotNull()).select(*names, key.cast("long").alias("doc_id"), text.cast("string").alias("text"))
+    lead = near_copies(rows).where("leads").select("doc_id", "h1").distinct()
+    kept = _named(rows).join(lead, ["doc_id", "h1"], "left_semi").groupBy("doc_id", "h1")
+    whole = F.struct(*names)
+    kept = kept.agg((F.first(whole) if any(isinstance(f.dataType, MapType) for f in docs.schema.fields) else F.min(whole)).alias("row")).select("row.*")
+    return kept.unionByName(numbered.where(key.isNull())).toDF(*docs.columns)

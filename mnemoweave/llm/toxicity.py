@@ -8,7 +8,7 @@ logistic loss.  In training each text's own counts are left out of its ratios.
 
 The class prior is the share of toxic rows among all labelled rows of the learning fold.  Training uses at most
 ``POSITIVES`` labelled toxic rows and ``UNLABELLED`` rows of the fold, the first in a fixed pseudo-random order; these
-are the documented bounds of the fit.  Every text is scored whole.
+are, with ``SAMPLE_CHARS`` characters in all, the documented bounds of the fit.  Every text is scored whole.
 
 A null text is an empty one; texts without a known word get the score of an empty description.  Without a positive row
 every score is 0.  Repeated rows give repeated results; of repeated labels the largest counts, null labels are none.
@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoweave.llm.common import fold_of, sample_order, table
 
 POSITIVES = 4000
 UNLABELLED = 6000
+SAMPLE_CHARS = 64_000_000  # of both together; the text in which the bound is reached is still taken whole
 TOP = 4
 CAUTION = 1.5
 EPOCHS = 800
@@ -147,7 +148,10 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Model:
     confirmed = marks.where("toxic = 1").orderBy(*sample_order("doc_id")).limit(POSITIVES).select("doc_id")
     drawn = texts.select("doc_id").orderBy(*sample_order("doc_id")).limit(UNLABELLED)
     chosen = confirmed.withColumn("p", F.lit(True)).join(drawn.distinct().withColumn("u", F.lit(True)), "doc_id", "full")
-    rows = texts.join(chosen, "doc_id").orderBy("doc_id", "text")
+    rows = texts.join(chosen, "doc_id")
+    before = F.sum(F.length("text")).over(Window.orderBy(*sample_order("doc_id"), "text").rowsBetween(Window.unboundedPreceding, -1))  # of a bounded sample
+    few = rows.select("doc_id", "text", "p", "u", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = few.where(F.col("before") < SAMPLE_CHARS).orderBy("doc_id", "text")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,11 +2,12 @@
 
 Dated list entries (list_name, entry, action, listed_on) say what holds for an entry from a day on: "add" lists it,
 "remove" ends it.  They become validity intervals [valid_from, valid_to) by the next date of the same list and entry.
+Hosts of entries are read in lower case and without a final dot.
 An entry is a registered host suffix (``example.org`` also covers its subdomains), a host, or a host with a first path
 segment (``host/segment``).
 
 A capture is asked about under every key it has: its host's suffixes of two labels or more, and its host with the first
-path segment.  Keys meet entries in an equi-join; of the intervals only those that hold at the fetch time count, and the
+path segment.  Keys meet, in an equi-join, the intervals of entries that hold at the fetch time, and the
 most specific decides, at equal length ``allow`` lists over others, then the list's name.  The large side's exchange stays
 right below the join, so adaptive execution splits a hot host; the answers of a capture are combined before they are shuffled.
 
@@ -48,6 +49,8 @@ def keys_of(host: Column, segment: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(list_name, entry, valid_from, valid_to): when each entry was listed; an open end is null."""
     e = entries.where("list_name is not null and entry is not null and listed_on is not null")
+    host = F.regexp_replace(F.lower(F.substring_index("entry", "/", 1)), r"\.$", "")
+    e = e.withColumn("entry", F.concat(host, F.expr("substr(entry, length(substring_index(entry, '/', 1)) + 1)")))
     e = e.groupBy("list_name", "entry", F.col("listed_on").cast("date").alias("listed_on")).agg(F.min("action").alias("action"))
     order = Window.partitionBy("list_name", "entry").orderBy("listed_on")
     e = e.withColumn("valid_to", F.lead("listed_on").over(order))
@@ -62,8 +65,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     listed = intervals(entries).withColumnRenamed("entry", "key")
     holds = (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
     rank = F.struct(F.length("key").alias("specific"), F.col("list_name").startswith(ALLOW_PREFIX).alias("allows"), F.col("list_name"), F.col("key").alias("entry"), F.col("valid_from").alias("listed_from"))
-    met = asked.join(listed, "key", "left")
-    found = met.groupBy("page_id", "url", "fetched_on").agg(F.max(F.when(holds, rank)).alias("best"), F.count_if(F.col("key").startswith("\0")).cast("int").alias("copies"))
+    met = asked.join(listed.withColumnRenamed("key", "listed"), (F.col("key") == F.col("listed")) & holds, "left")
+    found = met.groupBy("page_id", "url", "fetched_on").agg(F.max(F.when(F.col("listed").isNotNull(), rank)).alias("best"), F.count_if(F.col("key").startswith("\0")).cast("int").alias("copies"))
     verdict = F.when(F.col("best").isNull() | F.col("best.allows"), "keep").otherwise("drop")
     out = found.select("page_id", "fetched_on", "best.list_name", "best.entry", "best.listed_from", verdict.alias("verdict"), F.explode(F.sequence(F.lit(1), "copies")).alias("_c"))
     return out.drop("_c")

@@ -55,13 +55,14 @@ def test_runs_cut_across_batches():
 # 1 URL filters
 def test_url_lists_hold_at_fetch_time(spark):
     lists = spark.createDataFrame(
-        [("spam", "bad.org", "add", "2024-01-10"), ("spam", "bad.org", "remove", "2024-02-10"), ("spam", "bad.org", "add", "2024-03-10"), ("allowed", "ok.bad.org", "add", "2024-01-01"), ("paths", "mixed.com/x", "add", "2024-01-01"), (None, "bad.org", "add", "2024-01-01"), ("spam", "bad.org", "add", None), ("spam", "same.day", "remove", "2024-01-01"), ("spam", "same.day", "add", "2024-01-01")],
+        [("spam", "bad.org", "add", "2024-01-10"), ("spam", "bad.org", "remove", "2024-02-10"), ("spam", "bad.org", "add", "2024-03-10"), ("allowed", "ok.bad.org", "add", "2024-01-01"), ("paths", "mixed.com/x", "add", "2024-01-01"), (None, "bad.org", "add", "2024-01-01"), ("spam", "bad.org", "add", None), ("spam", "same.day", "remove", "2024-01-01"), ("spam", "same.day", "add", "2024-01-01"), ("spam", "Upper.ORG.", "add", "2024-01-01"), ("paths", "Cased.net/Abc", "add", "2024-01-01")],
         "list_name string, entry string, action string, listed_on string",
     )
     cases = [
         ("http://bad.org/a", "2024-01-09", "keep"), ("http://bad.org/a", "2024-01-10", "drop"), ("https://u@www.Bad.org:80/a?b", "2024-02-09", "drop"), ("http://bad.org", "2024-02-10", "keep"),
         ("http://bad.org.", "2024-04-01", "drop"), ("http://ok.bad.org/", "2024-01-20", "keep"), ("http://notbad.org/", "2024-01-20", "keep"), ("http://mixed.com/x/y", "2024-01-20", "drop"), ("http://mixed.com/xy", "2024-01-20", "keep"),
         (None, "2024-01-20", "keep"), ("nonsense", "2024-01-20", "keep"), ("", "2024-01-20", "keep"), ("http://bad.org/a", None, "keep"), ("http://same.day/", "2024-01-01", "drop"),
+        ("http://www.upper.org/", "2024-01-20", "drop"), ("http://cased.net/Abc/d", "2024-01-20", "drop"), ("http://cased.net/abc/d", "2024-01-20", "keep"), ("http://upper.org/" + "x" * 100_000, "2024-01-20", "drop"),
     ]
     rows = [(i, u, d) for i, (u, d, _) in enumerate(cases)]
     got = url_filter.judge(spark.createDataFrame([*rows, rows[1]], "page_id long, url string, fetched_on string"), lists).collect()
@@ -212,6 +213,33 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == odd(spark).columns and kept.count() == 0
 
 
+@pytest.mark.parametrize("length", [12, 9000])
+def test_languages_with_texts_of_one_length_only_are_learned(spark, length):
+    rows = [(i, " ".join(words(f"{i}", length, "abcdefghij" if i % 2 else "klmnopqrst")), "en" if i % 2 else "xx", "s", None) for i in range(12)]
+    d = spark.createDataFrame(rows, DOCS)
+    found = language_id.learn(d, F.lit(True))
+    assert sorted(found) == ["en", "xx"]
+    assert all(r["lang_pred"] == r["lang"] for r in language_id.classify(d, found, "lang").collect())
+
+
+def clashing(spark):
+    """Documents whose extra columns have the names that operators return or use inside."""
+    d = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate([" ".join(words(i, 60)) for i in range(6)])], DOCS)
+    names = ["margin", "lang_pred", "score", "hit_words", "n_words", "item_ids", "_mw_gone", "gone", "h1", "key", "component_id", "leads", "c0", "c1", "row", "fp", "word", "block", "_t", "_h"]
+    return d.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+
+
+def test_extra_columns_may_have_any_name(spark, data):
+    import corpus_pipeline
+
+    d = clashing(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, data)
+        assert out.dtypes == d.dtypes
+        assert {tuple(r)[5:] for r in out.collect()} <= {tuple(range(20))}
+    assert bpe.encode_decode(d, from_files=False).count() == 6
+
+
 # 4 decontamination
 def plain_hits(text, items):
     lower = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -503,6 +531,12 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash_dedup.keep_one_of_each(d.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_id_both_stay(spark):
+    one, other = " ".join(words("a", 50)), " ".join(words("b", 50))
+    d = spark.createDataFrame([(1, one, "en", "s", 1), (1, other, "en", "s", 2), (1, one, "en", "s", 3), (2, one.upper(), "en", "s", 4)], DOCS)
+    assert sorted((r["doc_id"], r["n_chars"]) for r in simhash_dedup.keep_one_of_each(d).collect()) == [(1, 1), (1, 2)]
+
+
 def test_near_copies_are_verified_and_complete(spark):
     """The stage against brute force on the Jaccard similarity of five-word shingles."""
     r, texts = random.Random(21), []
