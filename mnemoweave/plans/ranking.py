@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoweave.schemas import FILE_EDGE_STRENGTHS
@@ -12,24 +13,29 @@ from mnemoweave.storage import materialise
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
     """(id, rank) of nodes (id) under weighted edges (src, dst, weight); a node without outgoing edges passes nothing on.
 
-    Parallel edges are summed and normalised once.  The transition table and the ranks are partitioned by their keys, so
-    an iteration shuffles only the contributions, combined on the map side; ranks are cut off their lineage now and then.
+    Parallel edges are summed and normalised once, over numbers in place of ids.  The transition table is kept, on disk
+    where memory is short, dealt and sorted by src, so an iteration shuffles only ranks and the contributions, combined on
+    the map side.  Ranks are cut off their lineage now and then; a lost part of the transition table is computed again.
     """
-    summed = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
-    total = summed.groupBy("src").agg(F.sum("w").alias("t"))
-    step = materialise(summed.join(total, "src").where("t > 0").select("src", "dst", (F.col("w") / F.col("t")).alias("p")))
-    ids = materialise(nodes.select("id").distinct())
-    n = ids.count()
-    if not n:
-        return ids.withColumn("rank", F.lit(0.0))
-    base = (1 - damping) / n
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = materialise(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()))  # fixed once written
+    count = ids.count()
+    if not count:
+        return ids.select("id", F.lit(0.0).alias("rank"))
+    out = F.sum("w").over(Window.partitionBy("src"))
+    shares = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).withColumn("t", out).where("t > 0")
+    numbered = lambda end: ids.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"))
+    step = shares.join(numbered("src"), "src").join(numbered("dst"), "dst").select("src_n", "dst_n", (F.col("w") / F.col("t")).alias("p"))
+    step = step.repartition(parts, "src_n").sortWithinPartitions("src_n").persist(StorageLevel.MEMORY_AND_DISK)
+    base = (1 - damping) / count
+    ranks = ids.select("n", F.lit(1.0 / count).alias("rank"))
     for i in range(1, iterations + 1):
-        given = step.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
-        ranks = ids.join(given, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        if i % cut_every == 0:
+        given = step.join(ranks, F.col("src_n") == F.col("n")).groupBy("dst_n").agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
+        ranks = ids.select("n").join(given, F.col("n") == F.col("dst_n"), "left").select("n", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
+        if i % cut_every == 0 or i == iterations:
             ranks = materialise(ranks)
-    return ranks
+    step.unpersist()
+    return ids.join(ranks, "n").select("id", "rank")
 
 
 def file_edges_weighted(edges: DataFrame) -> DataFrame:

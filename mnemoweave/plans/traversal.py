@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +14,24 @@ from mnemoweave.storage import materialise
 def expand(edges: DataFrame, start: DataFrame, hops: int, per_anchor: bool = False) -> DataFrame:
     """(anchor, id, hop) reached from (anchor, id) rows over directed (src, dst) rows within ``hops``.
 
-    Without ``per_anchor`` all starts are one frontier and anchor is null.
+    Without ``per_anchor`` all starts are one frontier and anchor is null.  The frontier meets all edges and only what it
+    reaches is made distinct.
     """
     keys = ["anchor", "id"]
     seen = start.select(F.col("anchor") if per_anchor else F.lit(None).cast("string").alias("anchor"), "id").distinct().withColumn("hop", F.lit(0))
-    steps = edges.select(F.col("src").alias("id"), "dst").distinct()
+    steps = edges.select(F.col("src").alias("id"), "dst")
+    if hops > 1:  # edges may be a view that is dear to make
+        steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
     for hop in range(1, hops + 1):
         frontier = seen.where(F.col("hop") == hop - 1)
         reached = frontier.join(steps, "id").select("anchor", F.col("dst").alias("id")).distinct()
         old = seen.select(F.col("anchor").alias("a"), F.col("id").alias("i"))
         new = reached.join(old, F.col("anchor").eqNullSafe(F.col("a")) & (F.col("id") == F.col("i")), "left_anti")
         seen = seen.unionByName(new.select(*keys).withColumn("hop", F.lit(hop)))
-        if hop < hops:
+        if hops > 1:
             seen = materialise(seen)
+    if hops > 1:
+        steps.unpersist()
     return seen
 
 
