@@ -43,8 +43,8 @@ def test_an_agent_runs_tools(spark):
     g = core(spark)
     t = tools.Tools(g, g.entities.select("id", F.lit(0.25).alias("rank")))
     assert "entity_count=4" in t.run(tools.Call("graph_status", [])) and t.run(tools.Call("nope", [])).startswith("unknown")
-    assert "c1" in t.run(tools.Call("evidence", ["John Doe", "Dashboard Redesign"])) and t.run(tools.Call("evidence", ["x"])).startswith("wrong")
-    replies = iter(["<action>entity_mentions('John Doe')</action>", "Done."])
+    assert "c1" in t.run(tools.Call("evidence", ["Nils Berg", "Atlas Migration"])) and t.run(tools.Call("evidence", ["x"])).startswith("wrong")
+    replies = iter(["<action>entity_mentions('Nils Berg')</action>", "Done."])
     seen = []
     assert tools.converse(lambda m: seen.append(m[-1]["content"]) or next(replies), t, "?") == "Done." and "c1" in seen[1]
 

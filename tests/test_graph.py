@@ -18,12 +18,12 @@ def ids(df, column="id"):
 
 def test_traversal(spark):
     g = core(spark)
-    assert ids(traversal.neighbourhood(g, "e-john", 1)) == {"e-john", "e-jane", "e-dash"}
-    assert {r["id"]: r["hop"] for r in traversal.neighbourhood(g, "e-john", 3).collect()} == {"e-john": 0, "e-jane": 1, "e-dash": 1, "e-react": 2}
-    assert ids(traversal.neighbourhood(g, "e-john", 2, 1893456000)) == {"e-john"}
+    assert ids(traversal.neighbourhood(g, "e-nils", 1)) == {"e-nils", "e-kaia", "e-atlas"}
+    assert {r["id"]: r["hop"] for r in traversal.neighbourhood(g, "e-nils", 3).collect()} == {"e-nils": 0, "e-kaia": 1, "e-atlas": 1, "e-wasm": 2}
+    assert ids(traversal.neighbourhood(g, "e-nils", 2, 1893456000)) == {"e-nils"}
     assert not ids(traversal.neighbourhood(g, "nobody", 2))
-    entities, edges, chunks = traversal.subgraph(g, "e-john", 1)
-    assert ids(entities) == {"e-john", "e-jane", "e-dash"} and edges.count() == 6 and ids(chunks) == {"c1", "c2", "c3", "c4"}
+    entities, edges, chunks = traversal.subgraph(g, "e-nils", 1)
+    assert ids(entities) == {"e-nils", "e-kaia", "e-atlas"} and edges.count() == 6 and ids(chunks) == {"c1", "c2", "c3", "c4"}
 
 
 def test_undated_edges_are_followed_without_bounds_only(spark):
@@ -35,10 +35,10 @@ def test_undated_edges_are_followed_without_bounds_only(spark):
 
 def test_time_filter_bounds_traversal_not_the_result(spark):
     g = core(spark)
-    _, edges, _ = traversal.subgraph(g, "e-john", 1, T0, T0)
+    _, edges, _ = traversal.subgraph(g, "e-nils", 1, T0, T0)
     assert edges.count() == 6
-    assert traversal.subgraph(g, "e-john", 1, T0, T0, strict_time=True)[1].count() == 6
-    _, edges, chunks = traversal.subgraph(g, "e-john", 1, T0 + 1)
+    assert traversal.subgraph(g, "e-nils", 1, T0, T0, strict_time=True)[1].count() == 6
+    _, edges, chunks = traversal.subgraph(g, "e-nils", 1, T0 + 1)
     assert edges.count() == 0 and ids(chunks) == {"c1", "c2"}
 
 
@@ -60,10 +60,10 @@ def test_time_window(spark):
 
 
 def test_search_and_resolve(spark):
-    g = graph(spark, [("1", "John Doe", "Person", ["JD"]), ("2", "Jane Doe", "Person", ["JD2"]), ("3", "Rust", "Technology", [])], [])
-    assert [ids(lookups.search_entities(g, q)) for q in ("doe", "rust", "xyz", "jd")] == [{"1", "2"}, {"3"}, set(), {"1", "2"}]
-    assert ids(lookups.resolve(g, "jane doe")) == {"2"} and ids(lookups.resolve(g, "3")) == {"3"} and ids(lookups.resolve(g, "JD2")) == {"2"}
-    assert ids(lookups.lookup_by_name(g, "JD")) == {"1"}
+    g = graph(spark, [("1", "Nils Berg", "Person", ["NB"]), ("2", "Kaia Berg", "Person", ["NB2"]), ("3", "Rust", "Technology", [])], [])
+    assert [ids(lookups.search_entities(g, q)) for q in ("berg", "rust", "xyz", "nb")] == [{"1", "2"}, {"3"}, set(), {"1", "2"}]
+    assert ids(lookups.resolve(g, "kaia berg")) == {"2"} and ids(lookups.resolve(g, "3")) == {"3"} and ids(lookups.resolve(g, "NB2")) == {"2"}
+    assert ids(lookups.lookup_by_name(g, "NB")) == {"1"}
 
 
 def test_repeated_tags_pair_with_others_only(spark):
@@ -104,19 +104,19 @@ def test_decay_compounds(spark):
 
 def test_merge_unites_and_redirects(spark):
     g = core(spark)
-    m = mutations.merge_entities(g, spark.createDataFrame([("e-john", "e-jane", None, None)], "keep_id string, merge_id string, confidence double, method string"), 9)
-    john = m.entities.where("id = 'e-john'").first()
-    assert john["aliases"] == ["JD", "Jane Smith"] and john["access_count"] == 2 and john["updated_at"] == 9
-    assert (john["merge_history"][0]["method"], john["merge_history"][0]["confidence"]) == ("direct", 0.0)
-    assert sorted((r["src"], r["dst"], r["chunk_id"]) for r in m.edges.where("src = 'e-john'").collect()) == [("e-john", "e-dash", "c1"), ("e-john", "e-dash", "c3")]
-    assert m.chunks.where("id = 'c2'").first()["tags"] == ["e-john", "e-john"]
-    assert ids(m.mentions.where("entity_id = 'e-john'"), "chunk_id") == {"c1", "c2", "c3"}
-    again = mutations.merge_entities(m, spark.createDataFrame([("e-john", "e-jane", None, None)], "keep_id string, merge_id string, confidence double, method string"), 10)
-    assert again.entities.where("id = 'e-john'").first()["updated_at"] == 9
+    m = mutations.merge_entities(g, spark.createDataFrame([("e-nils", "e-kaia", None, None)], "keep_id string, merge_id string, confidence double, method string"), 9)
+    nils = m.entities.where("id = 'e-nils'").first()
+    assert nils["aliases"] == ["NB", "Kaia Holm"] and nils["access_count"] == 2 and nils["updated_at"] == 9
+    assert (nils["merge_history"][0]["method"], nils["merge_history"][0]["confidence"]) == ("direct", 0.0)
+    assert sorted((r["src"], r["dst"], r["chunk_id"]) for r in m.edges.where("src = 'e-nils'").collect()) == [("e-nils", "e-atlas", "c1"), ("e-nils", "e-atlas", "c3")]
+    assert m.chunks.where("id = 'c2'").first()["tags"] == ["e-nils", "e-nils"]
+    assert ids(m.mentions.where("entity_id = 'e-nils'"), "chunk_id") == {"c1", "c2", "c3"}
+    again = mutations.merge_entities(m, spark.createDataFrame([("e-nils", "e-kaia", None, None)], "keep_id string, merge_id string, confidence double, method string"), 10)
+    assert again.entities.where("id = 'e-nils'").first()["updated_at"] == 9
 
 
 def test_alias_candidates_need_one_type_and_enough_overlap(spark):
-    g = graph(spark, [("j", "John Doe", "Person", ["JD"]), ("k", "J. Doe", "Person", ["John Doe", "JD"]), ("p", "John Doe", "Project", ["JD"])], [("c1", "d", "Discussion", ["j"], 1, ""), ("c2", "d", "Discussion", ["j", "k"], 1, "")])
+    g = graph(spark, [("j", "Nils Berg", "Person", ["NB"]), ("k", "N. Berg", "Person", ["Nils Berg", "NB"]), ("p", "Nils Berg", "Project", ["NB"])], [("c1", "d", "Discussion", ["j"], 1, ""), ("c2", "d", "Discussion", ["j", "k"], 1, "")])
     found = reflection.alias_candidates(g, 0.3).collect()
     assert [(r["keep_id"], r["merge_id"]) for r in found] == [("j", "k")] and found[0]["confidence"] == pytest.approx(2 / 3)
     assert reflection.alias_candidates(g).count() == 0
@@ -142,10 +142,10 @@ def test_merges_go_on_past_a_batch(spark, monkeypatch, most):
 
 def test_document_removal_keeps_entities_that_live_elsewhere(spark):
     g = core(spark)
-    doc = spark.createDataFrame([("work/dashboard.md",)], "document string")
+    doc = spark.createDataFrame([("plans/atlas.md",)], "document string")
     r = mutations.remove_documents(g, doc)
     assert r.counts.first().asDict() == {"chunks_removed": 1, "edges_removed": 2, "entities_removed": 1, "entities_updated": 1}
-    assert ids(r.state.entities) == {"e-john", "e-jane", "e-dash"}
+    assert ids(r.state.entities) == {"e-nils", "e-kaia", "e-atlas"}
 
 
 def test_orphans_go_when_old(spark):
@@ -172,10 +172,10 @@ def test_snapshots_rotate_and_refuse_to_empty(spark, tmp_path):
 
 def test_context_is_budgeted(spark):
     g = core(spark)
-    vectors = spark.createDataFrame([("e-john", [1.0, 0.0]), ("e-react", [0.0, 1.0])], schemas.EMBEDDINGS)
+    vectors = spark.createDataFrame([("e-nils", [1.0, 0.0]), ("e-wasm", [0.0, 1.0])], schemas.EMBEDDINGS)
     ranks = g.entities.select("id", F.lit(0.25).alias("rank"))
     text = retrieval.assembled(g, vectors, ranks, [1.0, 0.0], 5, 3000)
-    assert "John Doe" in text and "> John decided" in text
+    assert "Nils Berg" in text and "> Nils decided" in text
     assert retrieval.assembled(g, vectors, ranks, [1.0, 0.0], 5, 900) == ""
     assert retrieval.assembled(GraphState.empty(spark), vectors.limit(0), ranks.limit(0), [1.0, 0.0], 5, 3000) == ""
     p = retrieval.adaptive(1000, 100, 1000)
@@ -192,8 +192,8 @@ def test_hop_weights(spark):
 
 
 def test_name_mentions(spark):
-    g = graph(spark, [("s", "Sarah Chen", "Person", ["SC", "Sary"]), ("r", "React", "Technology", []), ("x", "Go", "Technology", [])], [])
-    t = spark.createDataFrame([("1", "Sarah Chen and Go"), ("2", "reactive"), ("3", "ask Sary"), ("4", "")], "text_id string, text string")
+    g = graph(spark, [("s", "Ines Maar", "Person", ["IM", "Inny"]), ("r", "Wasm", "Technology", []), ("x", "Go", "Technology", [])], [])
+    t = spark.createDataFrame([("1", "Ines Maar and Go"), ("2", "wasmtime"), ("3", "ask Inny"), ("4", "")], "text_id string, text string")
     assert sorted((r["text_id"], r["id"], r["match"]) for r in agent.mentions_in(g, t).collect()) == [("1", "s", 1.0), ("2", "r", 0.7), ("3", "s", 0.6)]
 
 

@@ -136,15 +136,15 @@ def test_sessions(spark):
 def test_ingestion_links_replaces_and_skips(spark):
     docs = lambda *rows: spark.createDataFrame(rows, "source_document string, text string, memory_category string")
     g = core(spark)
-    first = ingestion.ingest(g, docs(("work/a.md", "We decided that John Doe joins Falcon.", "Procedural"), ("work/b.md", "hello everyone", "Procedural")), 1000)
+    first = ingestion.ingest(g, docs(("work/a.md", "We decided that Nils Berg joins Falcon.", "Procedural"), ("work/b.md", "hello everyone", "Procedural")), 1000)
     assert {r["source_document"]: (r["status"], r["chunks"]) for r in first.results.collect()} == {"work/a.md": ("complete", 1), "work/b.md": ("complete", 0)}
     names = {r["canonical_name"]: r["id"] for r in first.state.entities.collect()}
-    assert {"John Doe", "Falcon"} <= set(names) and names["John Doe"] == "e-john"
+    assert {"Nils Berg", "Falcon"} <= set(names) and names["Nils Berg"] == "e-nils"
     chunk = first.state.chunks.where("source_document = 'work/a.md'").first()
-    assert chunk["chunk_type"] == "Decision" and set(chunk["tags"]) >= {"e-john", names["Falcon"]}
-    assert first.state.mentions.where(f"entity_id = 'e-john' and chunk_id = '{chunk['id']}'").count() == 1
-    assert first.state.entity_documents.where("entity_id = 'e-john' and document = 'work/a.md'").count() == 0
-    again = ingestion.ingest(first.state, docs(("work/a.md", "We decided that John Doe joins Falcon.", "Procedural")), 2000)
+    assert chunk["chunk_type"] == "Decision" and set(chunk["tags"]) >= {"e-nils", names["Falcon"]}
+    assert first.state.mentions.where(f"entity_id = 'e-nils' and chunk_id = '{chunk['id']}'").count() == 1
+    assert first.state.entity_documents.where("entity_id = 'e-nils' and document = 'work/a.md'").count() == 0
+    again = ingestion.ingest(first.state, docs(("work/a.md", "We decided that Nils Berg joins Falcon.", "Procedural")), 2000)
     assert again.results.count() == 0
     added = ingestion.ingest(first.state, docs(("work/a.md", "Falcon is late.", "Procedural")), 2000).state
     swapped = ingestion.ingest(first.state, docs(("work/a.md", "Falcon is late.", "Procedural")), 2000, replace=True).state
@@ -172,10 +172,10 @@ def test_circuit_breaker_gives_a_document_up(spark):
 
 def test_close_names_link_or_wait_for_review(spark):
     g = core(spark)
-    rows = spark.createDataFrame([("c", "d", "the Dashboard here", False, [("Dashboard", "project")])], "id string, source_document string, text string, failed boolean, tags array<struct<name:string,entity_type:string>>")
-    vectors = spark.createDataFrame([("e-dash", [1.0, 0.0])], "entity_id string, vector array<double>")
-    for v, existing, reviews in (([1.0, 0.1], "e-dash", 0), ([1.0, 0.8], None, 1), ([0.0, 1.0], None, 0)):
-        found = ingestion.linked(g, rows, vectors, spark.createDataFrame([("dashboard", v)], "key string, vector array<double>"))
+    rows = spark.createDataFrame([("c", "d", "the Atlas here", False, [("Atlas", "project")])], "id string, source_document string, text string, failed boolean, tags array<struct<name:string,entity_type:string>>")
+    vectors = spark.createDataFrame([("e-atlas", [1.0, 0.0])], "entity_id string, vector array<double>")
+    for v, existing, reviews in (([1.0, 0.1], "e-atlas", 0), ([1.0, 0.8], None, 1), ([0.0, 1.0], None, 0)):
+        found = ingestion.linked(g, rows, vectors, spark.createDataFrame([("atlas", v)], "key string, vector array<double>"))
         assert found.tagged.first()["existing_id"] == existing and found.review.count() == reviews
 
 
