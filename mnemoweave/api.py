@@ -75,10 +75,17 @@ class Memory:
     def knowledge_map(self, top: int = 30) -> DataFrame:
         return retrieval.knowledge_map(self.state, self.ranks, top)
 
-    def recall(self, question: str, budget: int = 8000) -> str:
-        """The most similar entities and the assembled context of a question."""
+    def context(self, situation: str, full: bool = False, since: int | None = None, until: int | None = None) -> agent.Context:
+        """What an agent is told about a situation, briefly or in full."""
+        return agent.context(self.state, self.vectors, self.ranks, situation, self.embed([situation])[0], full, since=since, until=until)
+
+    def profile(self) -> DataFrame:
+        return agent.profile(self.state, self.ranks)
+
+    def recall(self, question: str, budget: int = 8000, since: int | None = None, until: int | None = None) -> str:
+        """The most similar entities and the assembled context of a question, over edges in time."""
         hits = "\n".join(f"- {r['canonical_name']} ({r['entity_type']})" for r in self.similar(question).collect())
-        context = retrieval.assembled(self.state, self.vectors, self.ranks, self.embed([question])[0], len(question) // 4, budget)
+        context = retrieval.assembled(self.state, self.vectors, self.ranks, self.embed([question])[0], len(question) // 4, budget, since=since, until=until)
         return "\n\n".join(x for x in (hits, context) if x)[:CLIP_CHARS]
 
     def all_memories(self, top: int = 20) -> str:

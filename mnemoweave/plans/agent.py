@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoweave.functions import path_stem
 from mnemoweave.operators.aggregates import last_seen, top_by_group, top_neighbours
-from mnemoweave.operators.relations import neighbour_counts, temporal_chain
+from mnemoweave.operators.relations import neighbour_counts, newest, pending_items, relationship_briefs, temporal_chain
+from mnemoweave.plans.retrieval import recent_events, similarities
 from mnemoweave.state import GraphState
+from mnemoweave.storage import materialise
 
 NAME_BONUS = 0.3
 SHORTEST_NAME = 3
+BRIEF_ENTITIES, FULL_ENTITIES = 8, 20
+#: Relations and open items told in a text of a context.
+MOST_LINES = 50
 PROFILE_TYPES = ("Preference", "Goal", "Pattern", "Skill", "Project")
 
 
@@ -61,6 +68,28 @@ def profile(state: GraphState, ranks: DataFrame, each: int = 10, least_mentions:
     return top_by_group(e, ["bucket"], [F.desc("rank"), F.col("id")], each).select("bucket", "id", "canonical_name", "place")
 
 
+class Context(NamedTuple):
+    """What an agent is told: who is concerned, what connects them, what is open, and in a full context what happened."""
+
+    entities: DataFrame  # briefs, with their score
+    relationships: DataFrame  # a, b, count, latest
+    pending: DataFrame  # chunk columns
+    events: DataFrame  # chunk columns; none in a brief context
+
+
+def context(state: GraphState, vectors: DataFrame, ranks: DataFrame, situation: str, query: list[float], full: bool = False, entities: int | None = None, events: int = 15, since: int | None = None, until: int | None = None) -> Context:
+    """The context of a situation (a text and its vector): entities it names or is similar to, the best ``entities`` of them.
+
+    ``since`` and ``until`` bound the edges that lead to events.
+    """
+    k = entities or (FULL_ENTITIES if full else BRIEF_ENTITIES)
+    named = mentions_in(state, state.entities.sparkSession.createDataFrame([("", situation)], "text_id string, text string")).select("id", "match")
+    pool = similarities(vectors, query).orderBy(F.desc("similarity"), "id").limit(3 * k)
+    members = materialise(candidates(named, pool, k))
+    shown = recent_events(state, members, 2, events, since, until) if full else state.chunks.limit(0)
+    return Context(briefs(state, members, ranks).join(members, "id"), relationship_briefs(state, members), pending_items(state, members), shown)
+
+
 def entity_profile(state: GraphState, entity_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(the entity, its ten most frequent neighbours, its first five chunks)."""
     near = neighbour_counts(state, entity_id).orderBy(F.desc("count"), "id").limit(10)
@@ -88,11 +117,11 @@ def summary_line(state: GraphState, entity_id: str) -> DataFrame:
 
 
 def injection_text(briefs_shown: DataFrame, relations: DataFrame, pending: DataFrame) -> str:
-    """Sectioned text of an agent context; its parts are limited rows."""
+    """Sectioned text of an agent context: its entities, the ``MOST_LINES`` most frequent relations and newest open items."""
     sections = [
         ("Entities", [f"- {r['canonical_name']} ({r['entity_type']}): {r['near']}" for r in briefs_shown.collect()]),
-        ("Relationships", [f"- {r['a']} / {r['b']}: {r['count']}" for r in relations.collect()]),
-        ("Pending", [f"- [{r['chunk_type']}] {r['text']}" for r in pending.collect()]),
+        ("Relationships", [f"- {r['a']} / {r['b']}: {r['count']}" for r in relations.orderBy(F.desc("count"), "a", "b").limit(MOST_LINES).collect()]),
+        ("Pending", [f"- [{r['chunk_type']}] {r['text']}" for r in newest(pending, MOST_LINES).collect()]),
     ]
     return "\n\n".join(f"## {t}\n" + "\n".join(lines) for t, lines in sections if lines)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mnemoweave.functions import combined_score, cosine, day, distance_weight, path_stem, quoted, score_weight
 from mnemoweave.operators.aggregates import hops_of_chunks, statistics
 from mnemoweave.operators.relations import chunks_of_entities
-from mnemoweave.plans.traversal import expand, hops_over
+from mnemoweave.plans.traversal import expand, hops_over, in_time
 from mnemoweave.state import GraphState
 from mnemoweave.storage import materialise
 
@@ -57,11 +57,14 @@ class Neighbourhood(NamedTuple):
     chunks: DataFrame  # chunk columns, min_hop, score
 
 
-def expanded(state: GraphState, start: DataFrame, hops: int, cap: int) -> Neighbourhood:
+def expanded(state: GraphState, start: DataFrame, hops: int, cap: int, since: int | None = None, until: int | None = None) -> Neighbourhood:
     """Around all anchors (id) at once: members for each anchor, edges induced within an anchor's own members, then hops
-    over those edges, the heaviest ``cap`` entities, the edges inside them and the chunks of those edges."""
+    over those edges, the heaviest ``cap`` entities, the edges inside them and the chunks of those edges.
+
+    ``since`` and ``until`` bound the edges that lead to members, not what is shown between them.
+    """
     first = start.select(F.col("id").alias("anchor"), "id")
-    members = materialise(expand(state.edges, first, hops, per_anchor=True)).select("anchor", "id")
+    members = materialise(expand(in_time(state.edges, since, until), first, hops, per_anchor=True)).select("anchor", "id")
     from_src = state.edges.join(members.withColumnRenamed("id", "src"), "src")
     edges = from_src.join(members.withColumnRenamed("id", "dst"), ["anchor", "dst"]).drop("anchor").dropDuplicates(["src", "dst", "chunk_id"])
     edges = materialise(edges)
@@ -123,7 +126,7 @@ def peripheral_lines(state: GraphState, n: Neighbourhood, told: DataFrame) -> Da
     return rest.join(near, "id", "left").select("id", "weight", line.alias("line"))
 
 
-def assembled(state: GraphState, vectors: DataFrame, ranks: DataFrame, query: list[float], query_tokens: int, budget: int, count=None) -> str:
+def assembled(state: GraphState, vectors: DataFrame, ranks: DataFrame, query: list[float], query_tokens: int, budget: int, count=None, since: int | None = None, until: int | None = None) -> str:
     """The text of the three tiers for a question; empty where the budget or the graph leaves nothing."""
     room = budget - query_tokens - RESERVED_TOKENS
     counts = statistics(state).first()
@@ -131,7 +134,7 @@ def assembled(state: GraphState, vectors: DataFrame, ranks: DataFrame, query: li
         return ""
     p = adaptive(counts["entity_count"], counts["edge_count"], room)
     start = materialise(anchors(similarities(vectors, query), ranks, p.anchors))
-    n = expanded(state, start, p.hops, p.entities)
+    n = expanded(state, start, p.hops, p.entities, since, until)
     tier1 = _budgeted(knowledge_lines(state, n), [F.desc("weight"), F.col("id")], p.tier1, count)
     evidence = evidence_lines(n)
     shown = _fitting(evidence, [F.desc("score"), F.col("id")], p.tier2, count)
@@ -157,7 +160,7 @@ def semantic_search(state: GraphState, vectors: DataFrame, ranks: DataFrame, que
     return anchors(similarities(vectors, query), ranks, k).join(state.entities.select("id", "canonical_name", "entity_type"), "id").orderBy(F.desc("score"), "id")
 
 
-def recent_events(state: GraphState, members: DataFrame, hops: int = 2, limit: int = 15) -> DataFrame:
-    """Chunks around members within ``hops``, newest first."""
-    near = expand(state.edges, members.select(F.lit(None).cast("string").alias("anchor"), "id"), hops).select("id")
+def recent_events(state: GraphState, members: DataFrame, hops: int = 2, limit: int = 15, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Chunks around members within ``hops`` over edges in time, newest first."""
+    near = expand(in_time(state.edges, since, until), members.select(F.lit(None).cast("string").alias("anchor"), "id"), hops).select("id")
     return chunks_of_entities(state, near).orderBy(F.coalesce("timestamp", F.lit(0)).desc(), "id").limit(limit)

@@ -30,6 +30,29 @@ def test_memory_remembers_and_forgets(spark, tmp_path):
     assert again.entity("Ann Lee").count() == 1
 
 
+def test_context_of_a_situation(spark):
+    """Brief: entities named or similar, relations, open items; full: events too; time bounds the edges that lead to them."""
+    from pyspark.sql import functions as F
+
+    from mnemoweave.plans import agent, retrieval
+
+    g = core(spark)
+    ranks = g.entities.select("id", F.lit(0.25).alias("rank"))
+    vectors = spark.createDataFrame([("e-nils", [1.0, 0.0]), ("e-kaia", [0.0, 1.0]), ("e-atlas", [0.6, 0.8])], "entity_id string, vector array<double>")
+    brief = agent.context(g, vectors, ranks, "Ask Nils Berg about Wasm", [1.0, 0.0], entities=3)
+    assert {r["id"]: round(r["score"], 2) for r in brief.entities.collect()} == {"e-nils": 1.3, "e-atlas": 0.6, "e-wasm": 0.3}
+    assert [(r["a"], r["b"]) for r in brief.relationships.orderBy("a", "b").collect()] == [("e-atlas", "e-nils"), ("e-atlas", "e-wasm")]
+    assert {r["id"] for r in brief.pending.collect()} == {"c1", "c3"} and brief.events.count() == 0
+    full = agent.context(g, vectors, ranks, "Wasm", [0.0, 0.0], full=True, entities=1)
+    assert {r["id"] for r in full.entities.collect()} == {"e-wasm"} and {r["id"] for r in full.events.collect()} == {"c1", "c2", "c3", "c4"}
+    late = agent.context(g, vectors, ranks, "Wasm", [0.0, 0.0], full=True, entities=1, since=1_900_000_000)
+    assert {r["id"] for r in late.events.collect()} == {"c4"}
+    assert "Nils Berg" in agent.injection_text(brief.entities, brief.relationships, brief.pending)
+    start = g.entities.where("id = 'e-nils'").select("id")
+    reached = lambda since: {r["id"] for r in retrieval.expanded(g, start, 1, 10, since).entities.collect()}
+    assert reached(None) == {"e-nils", "e-kaia", "e-atlas"} and reached(1_900_000_000) == {"e-nils"}
+
+
 def test_answers_are_read():
     known = ("timeline", "evidence")
     a = tools.read_answer("< think >why</think>Text <action>timeline('Ann', 3)</action><action>evidence(a, 'b')", known)
