@@ -593,6 +593,31 @@ def test_near_copies_are_verified_and_complete(spark):
     assert {x["doc_id"] for x in simhash_dedup.keep_one_of_each(docs(spark, texts)).collect()} == set(want.values())
 
 
+def test_the_stage_brings_texts_together_by_their_simhashes(spark, monkeypatch):
+    """Without band keys, near copies whose SimHashes differ in at most 3 bits are linked; like SimHashes of unlike sets are not."""
+    real = simhash_dedup._sketches
+
+    def stage(change):
+        def sketches(batches):
+            import pyarrow as pa
+
+            for b in real(batches):
+                cols = dict(zip(b.schema.names, b.columns)) | {"keys": pa.array([[]] * b.num_rows, pa.list_(pa.int64()))} | change(b)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+        monkeypatch.setattr(simhash_dedup, "_sketches", sketches)
+        return {x["doc_id"]: x["component_id"] for x in simhash_dedup.near_copies(docs(spark, texts)).collect()}
+
+    texts = [" ".join(words(f"c{k}", 400)) for k in range(20)]
+    texts += [t + " end" for t in texts]
+    found = [simhash_dedup.majority_bits(s, np.array([len(s)]))[0] for s in (simhash_dedup.shingle_set(simhash_dedup._words(t)) for t in texts)]
+    near = [k for k in range(20) if np.bitwise_count(found[k] ^ found[k + 20]) <= 3]
+    got = stage(lambda b: {})
+    assert len(near) > 15 and all(got[k + 20] == (k if k in near else k + 20) for k in range(20))
+    got = stage(lambda b: {"fp": b.column(0)})  # the first eight ids differ in at most three bits
+    assert got == {k: k for k in range(40)} | {k: k - 20 for k in range(20, 40) if (k ^ (k - 20)).bit_count() <= 3}
+
+
 # all
 def test_all_operators_are_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
