@@ -192,6 +192,19 @@ def test_line_dedup_keeps_columns_and_odd_rows(spark):
     assert line_dedup.without_repeated_lines(d.limit(0)).count() == 0
 
 
+def test_blocks_past_the_first_sixteen_bring_lines_together(spark):
+    """A line of 64 classes, in the first 16 of which a word each is replaced."""
+    line = {}
+    for w in words("long", 600, "abcdefghijklmnopqrst"):
+        if len(line) < 160 and len(w) > 4:
+            line[w] = line_dedup._WordHashes()[w.encode()] >> 58
+    first = {c: w for w, c in line.items() if c < 16}
+    assert len(line) == 160 and len(first) > 10
+    texts = [" ".join(line), " ".join("replaced" + str(c).translate(str.maketrans("0123456789", "abcdefghij")) if first.get(c) == w else w for w, c in line.items())]
+    assert line_dedup.similar(*texts)
+    assert [r["doc_id"] for r in line_dedup.repeated_lines(docs(spark, texts)).collect()] == [1]
+
+
 # 3 language ID
 def test_languages_of_held_out_texts(spark, data):
     found = language_id.query(spark, data)
