@@ -205,6 +205,34 @@ def test_blocks_past_the_first_sixteen_bring_lines_together(spark):
     assert [r["doc_id"] for r in line_dedup.repeated_lines(docs(spark, texts)).collect()] == [1]
 
 
+def test_pairs_compared_together_are_judged_like_single_ones():
+    r, texts = random.Random(8), []
+    for k in range(150):
+        line = "".join(r.choice("abcdefg é€") for _ in range(r.choice([3, 40, 64, 65, 128, 129, 200, 500, 700])))
+        texts.append(line)
+        for share in (0.1, 0.19, 0.21):
+            c = list(line)
+            for _ in range(int(len(c) * share)):
+                i = r.randrange(len(c))
+                c[i] = r.choice(("", "xx", "y"))
+            texts.append("".join(c) or "z")
+    a = np.array([i for i in range(len(texts)) for _ in range(9)])
+    b = np.array([i // 4 * 4 + j if j < 4 else r.randrange(len(texts)) for i in range(len(texts)) for j in range(9)])
+    want = np.array([line_dedup.similar(texts[i], texts[j]) for i, j in zip(a, b)])
+    linked = line_dedup._Linked(texts)
+    assert (linked.similar(a, b) == want).all() and 500 < want.sum() < len(want) - 500 and linked.may(a, b)[want].all()
+
+
+def test_links_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    seen, components = [], line_dedup.connected_components
+    monkeypatch.setattr(line_dedup, "KEY_ROWS", 32)
+    monkeypatch.setattr(line_dedup, "connected_components", lambda links: seen.append(links.count()) or components(links))
+    hot = words("hot", 30)
+    texts = [" ".join(w + "x" * (i % 30 == n) + "y" * (i // 30 == n) for n, w in enumerate(hot)) for i in range(600)]
+    got = line_dedup.repeated_lines(docs(spark, texts)).select("doc_id").collect()
+    assert len(got) == 599 and seen[0] < 20 * len(texts), seen
+
+
 # 3 language ID
 def test_languages_of_held_out_texts(spark, data):
     found = language_id.query(spark, data)
