@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from uuid import uuid4
 
 import numpy as np
 import pytest
@@ -223,6 +224,46 @@ def test_pairs_compared_together_are_judged_like_single_ones():
     assert (linked.similar(a, b) == want).all() and 500 < want.sum() < len(want) - 500 and linked.may(a, b)[want].all()
 
 
+def test_unlike_letters_and_plain_copies_need_no_edit_distance(monkeypatch):
+    """Lines of other letters are told apart by the letters' counts, long lines of a few words more or less by going along both."""
+    mixed, vowels = " ".join(words("m", 60)), " ".join(words("v", 60, "aeiou"))
+    monkeypatch.setattr(line_dedup, "PIECES", 1)  # no piece tells lines apart
+    linked = line_dedup._Linked([mixed, vowels])
+    assert not linked.may(np.array([0]), np.array([1])).any()
+    long = words("l", 300)
+    texts = [" ".join(long), " ".join(long[:40] + ["one", "more"] + long[40:200] + long[203:])]
+    refuse = lambda *a: pytest.fail("the edit distance was taken")
+    monkeypatch.setattr(line_dedup, "within", refuse)
+    assert line_dedup._Linked(texts).similar(np.array([0]), np.array([1])).all()
+
+
+def test_what_going_along_two_lines_costs_is_no_less_than_their_distance():
+    r = random.Random(3)
+    for _ in range(3000):
+        a = [r.choice("ab c") for _ in range(r.randrange(1, 90))]
+        b = list(a)
+        for _ in range(r.randrange(0, 12)):
+            b[r.randrange(len(b))] = r.choice(["", "x", "ab", "  c"])
+        a, b, limit = "".join(a), "".join(b), r.randrange(0, 20)
+        assert not line_dedup._aligned_within(a, b, limit) or line_dedup.within(a, b, limit)
+
+
+def test_keys_of_lines_are_shuffled_in_parts(spark, monkeypatch, tmp_path):
+    """No sorted run of keys holds all of them, and the parts together drop what brute force drops."""
+    rows, folder, whole = line_rows(), str(tmp_path), line_dedup.sharing
+
+    def counted(batches):
+        batches = list(batches)
+        for b in batches:
+            np.save(f"{folder}/{uuid4().hex}", b.column(0).to_numpy() % line_dedup.SLICES)
+        yield from whole(iter(batches))
+
+    monkeypatch.setattr(line_dedup, "sharing", counted)
+    got = {(x["doc_id"], x["line"]) for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = [set(np.load(f).tolist()) for f in tmp_path.iterdir()]
+    assert got == plain_lines(rows) and seen and all(len(x) == 1 for x in seen) and len(set().union(*seen)) == line_dedup.SLICES
+
+
 def test_links_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
     seen, components = [], line_dedup.connected_components
     monkeypatch.setattr(line_dedup, "KEY_ROWS", 32)
