@@ -21,8 +21,10 @@ import hashlib
 import json
 import os
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -70,13 +72,15 @@ def split_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     code[ends] = 0x110000
     kind = _kinds()[code]
-    before = np.concatenate([[_END], kind[:-1]])
-    after = np.concatenate([kind[1:], [_END]])
-    space = kind == _SPACE
-    blank_before = np.concatenate([[False], code[:-1] == 0x20])
+    around = np.full(len(kind) + 2, _END, np.uint8)  # bytes like the kinds, of which numpy compares many at a time
+    around[1:-1] = kind
+    before, after = around[:-2], around[2:]
+    space, end = kind == _SPACE, kind == _END
+    blank_before = np.zeros(len(kind), bool)
+    blank_before[1:] = code[:-1] == 0x20
     # of a run of spaces the last stands by itself, or before the next word if it is a blank
-    start = np.where(space, (before != _SPACE) | ((after != _SPACE) & (after != _END)), (kind != before) & ~((before == _SPACE) & blank_before))
-    start |= kind == _END
+    space_ends, space_before = ~(np.append(space[1:], False) | np.append(end[1:], True)), before == _SPACE
+    start = (space & (~space_before | space_ends)) | (~space & (kind != before) & ~(space_before & blank_before)) | end
     for i in np.flatnonzero((code == 0x27) & start & (after == _LETTER)):
         for tail in _TAILS:
             if joined.startswith(tail, i + 1):
@@ -112,12 +116,10 @@ class _Block:
 
     def __init__(self, special: tuple[str, ...], words_only: bool = False):
         self.special, self.words_only = special, words_only
-        self.words, self.parts, self.chars = {}, [], 0
+        self.words, self.parts, self.chars = defaultdict(count().__next__), [], 0  # words by number, in order of their first place
 
-    def _meet(self, words: list[str]) -> None:
-        known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        known.update(zip(new, range(len(known), len(known) + len(new))))
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words))
 
     def add(self, ids: list, texts: list[str]) -> None:
         pieces, piece_of = [], []
@@ -125,20 +127,19 @@ class _Block:
             cut = split_around(text, self.special) if any(s in text for s in self.special) else [text]
             pieces += cut
             piece_of += [k] * len(cut)
-        words, count = split_words([p if p not in self.special else "" for p in pieces])
-        self._meet(words)
+        words, each = split_words([p if p not in self.special else "" for p in pieces])
         self.chars += sum(map(len, texts))
         marks = [i for i, p in enumerate(pieces) if p in self.special]
-        self._meet([pieces[i] for i in marks])
         if self.words_only:
+            self.words.update(dict.fromkeys([*words, *(pieces[i] for i in marks)]))
             self.parts.append(None)
             return
-        seq = np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words))
+        seq, marked = self._numbers(words), self._numbers([pieces[i] for i in marks])
         if marks:
-            before = np.concatenate([[0], np.cumsum(count)])
-            seq = np.insert(seq, before[marks], [self.words[pieces[i]] for i in marks])
-            count[marks] = 1
-        self.parts.append((ids, _packed(np.bincount(piece_of, weights=count, minlength=len(texts))), _packed(seq)))
+            before = np.concatenate([[0], np.cumsum(each)])
+            seq = np.insert(seq, before[marks], marked)
+            each[marks] = 1
+        self.parts.append((ids, _packed(np.bincount(piece_of, weights=each, minlength=len(texts))), _packed(seq)))
 
     def octets(self) -> list[bytes]:
         return [w.encode("utf-8", "surrogatepass") for w in self.words]

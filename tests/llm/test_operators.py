@@ -600,6 +600,32 @@ def test_bpe_of_odd_rows(spark):
     assert bpe.encode_decode(odd(spark).limit(0), from_files=False).count() == 0
 
 
+def test_words_are_split_over_arrays_of_bytes():
+    """Kinds of characters and of their neighbours are held as bytes: 15 bytes a character in all, 27 as wider numbers."""
+    import tracemalloc
+
+    bpe.split_words(["first"])  # the table of kinds
+    tracemalloc.start()
+    bpe.split_words(["w" * 300_000])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * 300_000
+
+
+def test_both_passes_of_a_block_number_its_words_alike():
+    r, special = random.Random(4), ("<|endoftext|>",)
+    texts = ["".join(r.choice((" ", "a1", " it's", "\n\t", "\u00e9", "<|endoftext|>", "word ")) for _ in range(r.randrange(40))) for _ in range(300)]
+    whole, only = bpe._Block(special), bpe._Block(special, words_only=True)
+    for at in range(0, 300, 100):
+        whole.add(list(range(at, at + 100)), texts[at : at + 100])
+        only.add(list(range(at, at + 100)), texts[at : at + 100])
+    found, spelled = list(whole.words), []
+    for _, sizes, numbers in whole.parts:
+        ends, numbers = np.cumsum(bpe._unpacked(sizes)), bpe._unpacked(numbers).tolist()
+        spelled += ["".join(found[i] for i in numbers[end - n : end]) for n, end in zip(bpe._unpacked(sizes).tolist(), ends.tolist())]
+    assert list(only.words) == found and only.check() == whole.check() and spelled == texts
+
+
 # 9 SimHash near-dedup
 def plain_fingerprint(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
