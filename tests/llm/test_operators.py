@@ -264,6 +264,15 @@ def test_keys_of_lines_are_shuffled_in_parts(spark, monkeypatch, tmp_path):
     assert got == plain_lines(rows) and seen and all(len(x) == 1 for x in seen) and len(set().union(*seen)) == line_dedup.SLICES
 
 
+def test_texts_of_lines_are_packed(spark, monkeypatch):
+    """What is stored and shuffled of a line's text is packed."""
+    types, whole = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df: types.append(dict(df.dtypes)) or whole(df))
+    rows = line_rows()
+    got = {(x["doc_id"], x["line"]) for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_lines(rows) and [t["form"] for t in types if "form" in t] == ["binary"]
+
+
 def test_links_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
     seen, components = [], line_dedup.connected_components
     monkeypatch.setattr(line_dedup, "KEY_ROWS", 32)
