@@ -283,6 +283,40 @@ def test_links_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
     assert len(got) == 599 and seen[0] < 20 * len(texts), seen
 
 
+def test_majority_of_few_hashes():
+    r = np.random.default_rng(4)
+    sizes = r.integers(0, 40, 3000)
+    h = r.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64) & r.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+    ends = np.cumsum(sizes)
+    want = [np.packbits(bits[e - n : e].sum(axis=0) * 2 > n).view(np.uint64)[0] for n, e in zip(sizes.tolist(), ends.tolist())]
+    assert (common.majority_bits(h, sizes) == np.array(want, np.uint64)).all()
+
+
+def test_classes_of_too_few_features_are_not_summed(monkeypatch):
+    seen, whole = [], line_dedup.majority_bits
+    monkeypatch.setattr(line_dedup, "majority_bits", lambda h, n: seen.extend(n.tolist()) or whole(h, n))
+    line, keys = line_dedup.block_keys([[w.encode() for w in words(k, 200)] for k in range(20)])
+    assert len(keys) and len(seen) == len(keys) and min(seen) >= line_dedup.LEAST_MEMBERS
+
+
+def test_lines_too_far_in_length_make_no_pair(monkeypatch):
+    """Unlike lines of one key, each a tenth longer than the one before: after the stars only near lengths are paired."""
+    import pyarrow as pa
+    import zstandard
+
+    r, n, texts = random.Random(6), 200, []
+    while len(texts) < 12:
+        texts.append("".join(r.choice("abcdefghij ") for _ in range(int(n * 1.1 ** len(texts)))))
+    r.shuffle(texts)
+    joined, whole = [], line_dedup._Linked.join
+    monkeypatch.setattr(line_dedup._Linked, "join", lambda self, a, b, told: joined.append({(len(self.texts[x]), len(self.texts[y])) for x, y in zip(a, b)}) or whole(self, a, b, told))
+    cols = {"_g": [1] * 12, "h1": list(range(12)), "h2": [0] * 12, "form": [zstandard.compress(t.encode()) for t in texts], "keys": [[7]] * 12, "piece": [0] * 12, "cross": [False] * 12}
+    assert not list(line_dedup._alike(iter([pa.RecordBatch.from_pydict(cols)])))
+    near = {(a, b) for a in map(len, texts) for b in map(len, texts) if a < b and b - a <= int(0.2 * b + 1e-9)}
+    assert joined[-1] == near and len(joined) == 2 * line_dedup.STARS + 1
+
+
 # 3 language ID
 def test_languages_of_held_out_texts(spark, data):
     found = language_id.query(spark, data)
