@@ -15,17 +15,18 @@ from mnemoweave.llm.common import stored
 _TOTAL, _PART = "_total", "_part"
 
 
-def running_totals(rows: DataFrame, order: list[str | Column], key: str | None = None, weight: str | None = None) -> DataFrame:
-    """``rows`` with ``_total`` long: the sum of ``weight`` (a row counts 1 without it) over the row and those before it in ``order``.
+def running_totals(rows: DataFrame, order: list[str | Column], key: str | None = None, weight: str | None = None, ranges: list[Column] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``rows``, or their columns ``keep``, with ``_total`` long: the sum of ``weight`` (a row counts 1 without it) over the row and those before it in ``order``.
 
     With ``key``, a long or int column without nulls, totals begin anew for each key.  Weights are not negative.  Rows
     are sorted in ranges of (key, order), so a key that holds most rows is cut over many tasks; each range counts its
     own rows, and what its first key has in earlier ranges is added after.  On the driver there is one row for each
-    range.  Rows that ``order`` does not tell apart come in any order.
+    range.  Rows that ``order`` does not tell apart come in any order.  Borders of ranges are sampled keys and held by the
+    driver; where ``order`` has long texts, ``ranges`` gives short columns that rise with it to cut by.
     """
     by = [*([F.col(key)] if key else []), *[F.col(c) if isinstance(c, str) else c for c in order]]
-    laid = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    at = rows.columns
+    at = keep or rows.columns
+    laid = rows.repartitionByRange(*(by if ranges is None else [*by[: bool(key)], *ranges])).sortWithinPartitions(*by).select(*at)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, last = TaskContext.get().partitionId(), 0, None
@@ -48,7 +49,7 @@ def running_totals(rows: DataFrame, order: list[str | Column], key: str | None =
             held = int(total[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total), pa.array(np.full(n, part, np.int32))], names=[*at, _TOTAL, _PART])
 
-    local = stored(laid.mapInArrow(count, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{_TOTAL} long", f"{_PART} int"])))
+    local = stored(laid.mapInArrow(count, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema), f"{_TOTAL} long", f"{_PART} int"])))
     same = F.col(key) if key else F.lit(0)
     ranges = local.groupBy(_PART).agg(F.min(same).alias("first"), F.max(F.struct(same.alias("last"), _TOTAL)).alias("end")).orderBy(_PART).collect()
     carried, last, held = [], None, 0

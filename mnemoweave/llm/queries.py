@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoweave.llm import bpe, decontaminate, importance, language_id, line_dedup, quality, simhash_dedup, substring_dedup, topk, toxicity, url_filter
+from mnemoweave.llm import bpe, decontaminate, importance, language_id, line_dedup, quality, sharding, simhash_dedup, substring_dedup, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": simhash_dedup.query,
         "op10_quality": quality.query,
         "op12_importance_resampling": importance.query,
+        "op13_sharding": sharding.query,
     }
 
 
