@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoweave.llm import bpe, decontaminate, importance, language_id, line_dedup, quality, sharding, simhash_dedup, substring_dedup, topk, toxicity, url_filter
+from mnemoweave.llm import bpe, decontaminate, importance, language_id, line_dedup, prefix_trie, quality, sharding, simhash_dedup, substring_dedup, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.query,
         "op9_simhash_near_dedup": simhash_dedup.query,
         "op10_quality": quality.query,
+        "op11_prefix_trie": prefix_trie.query,
         "op12_importance_resampling": importance.query,
         "op13_sharding": sharding.query,
     }
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": url_filter.ORACLE,
         "op4_decontaminate": decontaminate.ORACLE,
         "op7_exact_topk": topk.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
         "op12_importance_resampling": importance.ORACLE,
     }
