@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemoweave.llm.common import released, stored, table
+from mnemoweave.llm.common import released, sql_crc, stored, table
 from mnemoweave.llm.ordered import running_totals
 
 BUCKETS = 10_000
@@ -33,6 +33,7 @@ LEAST_WORDS = 20
 DRAWN_PERCENT = 5
 SEED = 42
 PIECE_CHARS = 500_000  # a longer text is cut between words
+SCORED_ROWS = 512  # whose counts are looked up at once
 SLICE_CHARS = 1_000_000  # the pieces that one statement takes, at the least
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -54,7 +55,7 @@ WITH w AS (
 )
 SELECT text, CAST(c % $buckets AS INTEGER) AS bucket, count(*) AS n FROM (SELECT text, unnest([c1, c2, c3]) AS c FROM three WHERE pos > skip) WHERE c IS NOT NULL GROUP BY ALL
 """
-_SPILL = "doc_id long, whole boolean, n_words long, n_features long, buckets array<int>, counts array<long>"
+_SPILL = "doc_id long, whole boolean, n_words long, n_features long, buckets array<int>, counts array<int>"
 
 
 def _crc(words: pa.ChunkedArray) -> pa.Array:
@@ -111,11 +112,17 @@ class _Counter:
                 found = (full, both[full].astype(np.int64))
             to[int(text[s])] = found
 
+    def totals(self) -> pa.RecordBatch:
+        full = np.flatnonzero(self.total)
+        row = _spilled([None], True, [full], [self.total[full]])
+        self.total[:] = 0
+        return row
+
 
 def _spilled(ids: Sequence, whole: bool, buckets: Sequence[np.ndarray], counts: Sequence[np.ndarray]) -> pa.RecordBatch:
     ends = pa.array(np.append(0, np.cumsum([len(b) for b in buckets])).astype(np.int32))
     flat = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind))
-    lists = [pa.ListArray.from_arrays(ends, flat(buckets, np.int32)), pa.ListArray.from_arrays(ends, flat(counts, np.int64))]
+    lists = [pa.ListArray.from_arrays(ends, flat(buckets, np.int32)), pa.ListArray.from_arrays(ends, flat(counts, np.int32))]
     features = np.array([c.sum() for c in counts], np.int64)
     words = np.where(features > 1, features // RUN_WORDS + 1, features)  # n words have n + (n - 1) + (n - 2) runs
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([whole] * len(ids)), pa.array(words), pa.array(features), *lists], names=["doc_id", "whole", "n_words", "n_features", "buckets", "counts"])
@@ -154,9 +161,10 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 counter.add(held, ready)
             if given < len(ids):
                 yield rows(given, len(ids))
-        found = np.flatnonzero(counter.total)
-        if len(found):
-            yield _spilled([None], True, [found], [counter.total[found]])
+            if counter.total.max(initial=0) > 1 << 30:
+                yield counter.totals()
+        if counter.total.any():
+            yield counter.totals()
         counter.db.close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, _SPILL)
@@ -179,12 +187,14 @@ def weighted(counts: DataFrame, gain: DataFrame, buckets: int = BUCKETS) -> Data
         held[bucket] = value
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, n = batch.column(3), batch.column(4)
-            ends = lists.offsets.to_numpy()
-            each = held[lists.values.to_numpy()[ends[0] : ends[-1]]] * n.values.to_numpy()[n.offsets[0].as_py() : n.offsets[-1].as_py()]
-            run = np.append(0, np.cumsum(each))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(run[ends[1:] - ends[0]] - run[ends[:-1] - ends[0]])], names=["doc_id", "n_words", "n_features", "weight"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SCORED_ROWS):
+                batch = whole.slice(at, SCORED_ROWS)
+                ends = batch.column(3).offsets.to_numpy()
+                bucket, n = (batch.column(c).values.to_numpy()[ends[0] : ends[-1]] for c in (3, 4))  # both have the same offsets
+                run = np.append(0, np.cumsum(held[bucket] * n))
+                sums = run[ends[1:] - ends[0]] - run[ends[:-1] - ends[0]]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums)], names=["doc_id", "n_words", "n_features", "weight"])
 
     return counts.where("not whole").select("doc_id", "n_words", "n_features", "buckets", "counts").mapInArrow(score, "doc_id long, n_words long, n_features long, weight long")
 
@@ -209,15 +219,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _sql_crc(text: str) -> str:
-    """crc32 of a text's UTF-8 bytes in SQL, half a byte at a time, low half first."""
-    steps = list(range(16))  # what four shifts by the polynomial make of half a byte
-    for _ in range(4):
-        steps = [v >> 1 ^ (0xEDB88320 if v & 1 else 0) for v in steps]
-    halves = f"list_transform(range(1, length(hex({text})) + 1), lambda i: instr('0123456789ABCDEF', substr(hex({text}), CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END, 1)) - 1)"
-    return f"xor(list_reduce({halves}, lambda c, x: xor(c >> 4, {steps}[(xor(c, x) & 15) + 1]), 4294967295), 4294967295)"
-
-
 ORACLE = f"""
 WITH texts AS (
   SELECT row_number() OVER () AS r, TRUE AS mine, doc_id, text FROM documents UNION ALL SELECT row_number() OVER (), FALSE, NULL, text FROM benchmark
@@ -230,7 +231,7 @@ WITH texts AS (
 ), features AS (
   SELECT r, mine, unnest([g1, g2, g3]) AS g FROM grams
 ), known AS (
-  SELECT g, {_sql_crc("g")} % {BUCKETS} AS b FROM (SELECT DISTINCT g FROM features WHERE g IS NOT NULL)
+  SELECT g, {sql_crc("g")} % {BUCKETS} AS b FROM (SELECT DISTINCT g FROM features WHERE g IS NOT NULL)
 ), counted AS (
   SELECT r, mine, b, count(*) AS n FROM features JOIN known USING (g) GROUP BY ALL
 ), sums AS (
