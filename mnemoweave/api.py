@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoweave.operators import aggregates, lookups, relations
-from mnemoweave.plans import agent, embedding, ingestion, mutations, ranking, reflection, retrieval, traversal
+from mnemoweave.plans import agent, conversations, embedding, ingestion, mutations, ranking, reflection, retrieval, traversal
 from mnemoweave.sources import files, snapshot
 from mnemoweave.state import GraphState
+from mnemoweave.storage import materialise
 
 CLIP_CHARS = 60_000
 
@@ -24,13 +25,17 @@ class Memory:
     root: str
     client: ingestion.Client = field(default_factory=ingestion.RuleClient)
     embed: embedding.Embedder = embedding.hashing_embedder
+    #: Mentions that are close to an entity, but not close enough to link.
+    review: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.state: GraphState = snapshot.load(self.spark, self.root)
         self._ranks: DataFrame | None = None
         self._vectors: DataFrame | None = None
+        self._stored = snapshot.load_vectors(self.spark, self.root)
 
     def _changed(self, state: GraphState) -> None:
+        self._stored = self._vectors if self._vectors is not None else self._stored
         self.state, self._ranks, self._vectors = state, None, None
 
     @property
@@ -42,9 +47,9 @@ class Memory:
 
     @property
     def vectors(self) -> DataFrame:
+        """Vectors of all entities: those stored or made before whose descriptor is the same, the rest embedded now."""
         if self._vectors is None:
-            none = self.spark.createDataFrame([], "entity_id string, vector array<double>")
-            self._vectors = embedding.embed_entities(self.state, none, self.embed)
+            self._vectors = materialise(embedding.refreshed(self.state, self._stored, self.embed))
         return self._vectors
 
     # reading
@@ -99,8 +104,20 @@ class Memory:
         return self.ingest(files.inline(self.spark, text, source_id, category), now)
 
     def ingest(self, docs: DataFrame, now: int, replace: bool = False) -> DataFrame:
-        done = ingestion.ingest(self.state, docs, now, self.client, replace)
-        self._changed(done.state)
+        return self._ingested(ingestion.ingest(self.state, docs, now, self.client, replace, embed=self.embed))
+
+    def reingest(self, docs: DataFrame, now: int) -> DataFrame:
+        """Documents again from the start, changed or not: what they wrote before is removed first."""
+        return self._ingested(ingestion.ingest(self.state, docs, now, self.client, replace=True, embed=self.embed, whole=True))
+
+    def ingest_sessions(self, folder: str, now: int, project: str | None = None, since: int | None = None) -> DataFrame:
+        """Session files of a folder, by a part of their path and their time; a session that has changed is replaced."""
+        docs, raw = conversations.session_documents(files.sessions(self.spark, folder, project, since))
+        return self._ingested(ingestion.ingest(self.state, docs, now, self.client, replace=True, raw=raw, embed=self.embed))
+
+    def _ingested(self, done: ingestion.Ingested) -> DataFrame:
+        self._changed(GraphState(*map(materialise, done.state)))  # else plans grow with every call
+        self.review = done.review if self.review is None else self.review.unionByName(done.review)
         return done.results
 
     def forget(self, reference: str) -> None:
@@ -112,11 +129,13 @@ class Memory:
         return r.counts
 
     def reflect(self, now: int, full: bool = True, says_yes: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        self._changed(reflection.reflect(self.state, now, self.vectors if full else None, full, says_yes))
+        self._changed(GraphState(*map(materialise, reflection.reflect(self.state, now, self.vectors if full else None, full, says_yes))))
 
     def save(self) -> str:
-        version = snapshot.save(self.spark, self.state, self.root)
+        """Store a new version, with the vectors of its entities."""
+        version = snapshot.save(self.spark, self.state, self.root, self.vectors)
         self._changed(snapshot.load(self.spark, self.root, version))
+        self._stored = self._vectors = snapshot.load_vectors(self.spark, self.root, version)
         return version
 
     def _id(self, reference: str) -> str:

@@ -95,6 +95,15 @@ def session_chunks(lines: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     return rows.select("source_document", (F.row_number().over(order) - 1).alias("position"), name.alias("section_name"), F.lit(None).cast("string").alias("speaker"), "timestamp", F.lit("Episodic").alias("memory_category"), "text")
 
 
+def session_documents(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, raw chunks) of session files (session, text): a document for each session id, its text that of its files."""
+    lines = session_lines(sessions)
+    source = F.concat(F.lit("claude-session://"), "project_name", F.lit("/"), "session_id").alias("source_document")
+    named = session_info(lines).select("session", source).join(sessions.select("session", "text"), "session")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("session", "text"))), lambda s: s["text"]), "\n")
+    return named.groupBy("source_document").agg(whole.alias("text")).withColumn("memory_category", F.lit("Episodic")), session_chunks(lines)
+
+
 def chat_document(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conversation, text): each chat as one text of ``**Role:** ...`` turns without system and blank ones."""
     spoken = turns.where((F.lower(role) != "system") & (stripped(F.col(text)) != ""))

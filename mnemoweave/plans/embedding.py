@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mnemoweave.functions import cosine, descriptor, path_stem
 from mnemoweave.operators.aggregates import top_neighbours
 from mnemoweave.state import GraphState
+from mnemoweave.storage import materialise
 
 DIMENSIONS = 384
 FILE_WORDS = 300
@@ -54,15 +55,16 @@ def entity_descriptors(state: GraphState) -> DataFrame:
     return e.select("id", descriptor(F.col("canonical_name"), F.col("entity_type"), F.col("aliases"), F.col("near"), F.col("stems")).alias("text"))
 
 
-def embed_entities(state: GraphState, cache: DataFrame, embed: Embedder = hashing_embedder) -> DataFrame:
-    """The cache (entity_id, vector) with the entities it lacks."""
-    missing = entity_descriptors(state).join(cache.select(F.col("entity_id").alias("id")), "id", "left_anti")
-    return cache.unionByName(embedded(missing, "text", embed).select(F.col("id").alias("entity_id"), "vector"))
+def refreshed(state: GraphState, stored: DataFrame, embed: Embedder = hashing_embedder) -> DataFrame:
+    """(entity_id, sha256, vector) of every entity; ``stored`` has earlier ones.
 
-
-def invalidated(cache: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """The cache without the ids of column ``entity_id``, or without any."""
-    return cache.where(F.lit(False)) if ids is None else cache.join(ids, "entity_id", "left_anti")
+    A vector holds as long as the hash of what its entity is embedded by: entities that are new, renamed or have other
+    neighbours are embedded, rows of others are kept, and rows of entities that are gone or have changed drop out.
+    """
+    now = materialise(entity_descriptors(state).select(F.col("id").alias("entity_id"), "text", F.sha2("text", 256).alias("sha256")))
+    kept = stored.join(now.select("entity_id", "sha256"), ["entity_id", "sha256"], "left_semi").select("entity_id", "sha256", "vector")
+    missing = now.join(kept.select("entity_id"), "entity_id", "left_anti")
+    return kept.unionByName(embedded(missing, "text", embed).select("entity_id", "sha256", "vector"))
 
 
 def top_similar(vectors: DataFrame, key: str, query: list[float], k: int) -> DataFrame:

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from typing import NamedTuple, Protocol
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoweave.functions import content_hash, cosine, stable_id
-from mnemoweave.operators.lookups import name_index, not_filler, valid_mention
+from mnemoweave.operators.lookups import name_index, valid_mention
 from mnemoweave.plans import mutations
+from mnemoweave.plans.embedding import embedded
+from mnemoweave.plans.labelling import Client, RuleClient, classified, tagged  # noqa: F401
 from mnemoweave.plans.parsing import parsed
 from mnemoweave.state import GraphState
 from mnemoweave.storage import materialise
 
 AUTO_LINK, REVIEW = 0.85, 0.70
-CLASSIFY_BATCH, TAG_BATCH = 10, 5
-BREAKER_LEAST, BREAKER_SHARE = 2, 0.5
 
 #: Labels of chunks and entities, and what they are stored as.
 CHUNK_LABELS = {
@@ -28,107 +27,49 @@ CHUNK_LABELS = {
 }
 ENTITY_LABELS = ("person", "project", "technology", "organization", "location", "decision", "concept", "preference", "goal", "pattern", "skill")
 
-#: Words that speak for a label, for the rule-based client.
-CUES = {
-    "decision": ("decided", "decision", "agreed", "approved"), "action_item": ("todo", "action item", "will do", "needs to", "follow up"),
-    "status_update": ("status", "progress", "completed", "shipped"), "preference": ("prefer", "favorite", "rather"), "filler": ("hello everyone", "thanks all", "good morning"),
-}
-
-
-class Client(Protocol):
-    """A language model: one answer for each text."""
-
-    def classify(self, texts: list[str]) -> list[str]: ...
-    def tag(self, texts: list[str]) -> list[list[tuple[str, str]] | None]: ...
-
-
-class RuleClient:
-    """Labels by cue words and tags by capitalised phrases: deterministic and offline."""
-
-    def classify(self, texts: list[str]) -> list[str]:
-        return [next((label for label, cues in CUES.items() if any(c in t.lower() for c in cues)), "discussion") for t in texts]
-
-    def tag(self, texts: list[str]) -> list[list[tuple[str, str]] | None]:
-        return [[(m, "concept") for m in dict.fromkeys(re.findall(r"\b[A-Z][\w-]+(?: [A-Z][\w-]+)*\b", t)) if len(m) > 2] for t in texts]
-
-
-class DegradedClient(RuleClient):
-    """A client whose answers fail or come malformed now and then, the same ones in every run."""
-
-    def __init__(self, failure: float = 0.10, malformed: float = 0.15, seed: int = 42):
-        self.failure, self.malformed, self.seed = failure, malformed, seed
-
-    def tag(self, texts: list[str]) -> list[list[tuple[str, str]] | None]:
-        import random
-
-        out = []
-        for t, tags in zip(texts, super().tag(texts)):
-            x = random.Random(f"{self.seed}:{t}").random()
-            out.append(None if x < self.failure else [] if x < self.failure + self.malformed else tags)
-        return out
-
-
-def classified(chunks: DataFrame, client: Client | None = None, batch: int = CLASSIFY_BATCH) -> DataFrame:
-    """``chunks`` with ``label``, without filler."""
-    client = client or RuleClient()
-
-    @F.pandas_udf("string")
-    def label(texts: pd.Series) -> pd.Series:
-        rows = texts.tolist()
-        return pd.Series([x for at in range(0, len(rows), batch) for x in client.classify(rows[at : at + batch])], dtype="object")
-
-    return chunks.withColumn("label", label("text")).where(not_filler(F.col("label")))
-
-
 def stored_type(label: Column) -> Column:
     pairs = F.create_map(*(F.lit(x) for kv in CHUNK_LABELS.items() for x in kv))
     return F.coalesce(pairs[F.lower(label)], F.lit("Discussion"))
 
 
-def tagged(chunks: DataFrame, client: Client | None = None, retries: int = 1) -> DataFrame:
-    """(id, source_document, text, failed, tags array<struct<name, entity_type>>) of chunks (id, source_document, position, text).
-
-    A document's chunks come in order, in batches; a failed one is retried alone, and a document is given up once over
-    half of more than two chunks failed.  A document's chunks are one group: the breaker's state is serial.
-    """
-    client = client or RuleClient()
-
-    def of_document(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        out, failed = [], 0
-        for at in range(0, len(pdf), TAG_BATCH):
-            part = pdf.iloc[at : at + TAG_BATCH]
-            for row, tags in zip(part.itertuples(), client.tag(part["text"].tolist())):
-                for _ in range(retries if tags is None else 0):
-                    tags = tags if tags is not None else client.tag([row.text])[0]
-                failed += tags is None
-                out.append((row.id, row.source_document, row.text, tags is None, [{"name": n, "entity_type": k} for n, k in tags or []]))
-                if len(out) > BREAKER_LEAST and failed / len(out) > BREAKER_SHARE:
-                    return pd.DataFrame(out, columns=["id", "source_document", "text", "failed", "tags"])
-        return pd.DataFrame(out, columns=["id", "source_document", "text", "failed", "tags"])
-
-    rows = chunks.select("id", "source_document", "position", "text")
-    return rows.groupBy("source_document").applyInPandas(of_document, "id string, source_document string, text string, failed boolean, tags array<struct<name:string,entity_type:string>>")
-
-
 class Linked(NamedTuple):
     tagged: DataFrame  # chunk_id, pos, name, entity_type, existing_id
     review: DataFrame  # name, entity_id, similarity, chunk_text, source_document
 
 
-def linked(state: GraphState, rows: DataFrame, vectors: DataFrame | None = None, name_vectors: DataFrame | None = None) -> Linked:
-    """Valid mentions with the entity they mean: an exact name or alias, else the best of similar names by cosine."""
+def _near_names(state: GraphState, names: DataFrame) -> DataFrame:
+    """(key, entity_id, known) of names (key) and the entities whose lower-cased name contains them, met by a shared word.
+
+    A name meets others under its rarest word among the entities' names, so that common words pair little.
+    """
+    known = materialise(name_index(state).where("kind = 'name'").select(F.col("name").alias("known"), F.col("id").alias("entity_id")))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)\W+"), lambda w: F.length(w) > 2))
+    each = known.select("known", "entity_id", F.explode(words("known")).alias("word"))
+    often = materialise(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    rarest = names.select("key", F.explode(words("key")).alias("word")).join(often, "word").groupBy("key").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    return materialise(rarest).join(each, "word").where(F.contains("known", "key")).select("key", "entity_id", "known")
+
+
+def linked(state: GraphState, rows: DataFrame, vectors: DataFrame | None = None, name_vectors: DataFrame | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None) -> Linked:
+    """Valid mentions with the entity they mean: an exact name or alias, else the best of similar names by cosine.
+
+    Similar names are compared if vectors are given, of entities (entity_id, vector) and of lower-cased names (key,
+    vector), or ``embed``, which then makes one vector for each distinct name on either side.
+    """
     each = rows.select(F.col("id").alias("chunk_id"), "source_document", "text", F.posexplode("tags").alias("pos", "t")).select("chunk_id", "source_document", "text", "pos", F.trim("t.name").alias("name"), F.lower("t.entity_type").alias("entity_type"))
     each = each.where(valid_mention(F.col("name"), F.col("entity_type"), F.col("text"), list(ENTITY_LABELS))).withColumn("entity_type", F.initcap("entity_type"))
     exact = name_index(state).groupBy(F.col("name").alias("key")).agg(F.min_by("id", F.struct(F.when(F.col("kind") == "name", 0).otherwise(1).alias("p"), "id")).alias("exact_id"))
     met = each.withColumn("key", F.lower("name")).join(exact, "key", "left")
-    if vectors is None or name_vectors is None:
+    if embed is None and (vectors is None or name_vectors is None):
         empty = met.where(F.lit(False)).select("name", F.lit("").alias("entity_id"), F.lit(0.0).alias("similarity"), F.col("text").alias("chunk_text"), "source_document")
         return Linked(met.select("chunk_id", "pos", "name", "entity_type", F.col("exact_id").alias("existing_id")), empty)
-    open_names = met.where("exact_id is null").select("key").distinct()
-    hits = name_index(state).where("kind = 'name'")
-    token = lambda c: F.explode(F.split(c, r"(?U)\W+")).alias("token")
-    near = open_names.select("key", token("key")).join(hits.select("name", "id", token("name")), "token").where((F.length("token") > 2) & F.contains("name", "key")).select("key", F.col("id").alias("entity_id")).distinct()
+    met = materialise(met)
+    near = _near_names(state, met.where("exact_id is null").select("key").distinct())
+    if embed is not None:
+        near = materialise(near)
+        names = near.select("key").unionByName(near.select(F.col("known").alias("key"))).distinct()
+        name_vectors = materialise(embedded(names, "key", embed))
+        vectors = near.select("entity_id", "known").distinct().join(name_vectors.withColumnRenamed("key", "known"), "known").select("entity_id", "vector")
     scored = near.join(name_vectors.select("key", F.col("vector").alias("v")), "key").join(vectors, "entity_id").withColumn("similarity", cosine(F.col("v"), F.col("vector")))
     best = scored.groupBy("key").agg(F.max_by("entity_id", F.struct("similarity", "entity_id")).alias("entity_id"), F.max("similarity").alias("similarity"))
     out = met.join(best, "key", "left")
@@ -139,33 +80,46 @@ def linked(state: GraphState, rows: DataFrame, vectors: DataFrame | None = None,
 
 class Ingested(NamedTuple):
     state: GraphState
-    results: DataFrame  # source_document, status, chunks, failed_chunks
+    results: DataFrame  # source_document, status, chunks, failed_chunks, error
     review: DataFrame
 
 
-def ingest(state: GraphState, docs: DataFrame, now: int, client: Client | None = None, replace: bool = False, raw: DataFrame | None = None) -> Ingested:
+def ingest(
+    state: GraphState, docs: DataFrame, now: int, client: Client | None = None, replace: bool = False, raw: DataFrame | None = None,
+    embed: Callable[[list[str]], list[list[float]]] | None = None, whole: bool = False,
+) -> Ingested:
     """Documents (source_document, text, memory_category) into the graph; those whose hash is stored are left alone.
 
-    ``replace`` first removes what a changed document wrote before; else its content accumulates.  ``raw`` gives chunks
-    parsed by another way, such as sessions.
+    ``replace`` first removes what a changed document wrote before; else its content accumulates.  ``whole`` takes
+    documents whose hash is stored too, as reingestion does.  ``raw`` gives chunks parsed by another way, such as
+    sessions.  With ``embed``, mentions that no name fits are compared with similar names: they are linked, or wait in
+    ``review``.
+
+    A document without a text could not be read: its status is failed, and no hash is stored.  One whose chunks were not
+    all tagged is partial, and only tagged chunks are written; others, blank ones too, are complete.
     """
+    unread = docs.where("text is null").select("source_document", F.lit("failed").alias("status"), F.lit(0).cast("long").alias("chunks"), F.lit(0).cast("long").alias("failed_chunks"), F.lit("the text could not be read").alias("error"))
+    docs = docs.where("text is not null")
     incoming = docs.select(F.col("source_document").alias("document"), content_hash(F.col("text")).alias("sha256"))
-    changed = materialise(mutations.split_by_change(incoming, state)[0])
-    todo = docs.join(changed.select(F.col("document").alias("source_document")), "source_document", "left_semi")
+    changed = materialise(incoming if whole else mutations.split_by_change(incoming, state)[0])
+    named = changed.select(F.col("document").alias("source_document"))
+    todo = docs.join(named, "source_document", "left_semi")
     if replace:
         state = mutations.remove_documents(state, changed.select("document")).state
-    pieces = parsed(todo) if raw is None else raw.join(changed.select(F.col("document").alias("source_document")), "source_document", "left_semi")
+    pieces = parsed(todo) if raw is None else raw.join(named, "source_document", "left_semi")
     pieces = pieces.withColumn("id", stable_id(F.col("source_document"), F.col("position"), F.col("text"), F.lit(now)))
     chunks = materialise(classified(pieces, client))
     tags = materialise(tagged(chunks, client))
-    found = linked(state, tags)
-    rows = chunks.select("id", "source_document", "section_name", "speaker", "timestamp", stored_type(F.col("label")).alias("chunk_type"), "memory_category", "text", F.lit(now).cast("long").alias("created_at"), F.array().cast("array<string>").alias("projects"))
+    done = tags.where("not failed")
+    found = linked(state, done, embed=embed)
+    rows = chunks.join(done.select("id"), "id", "left_semi").select("id", "source_document", "section_name", "speaker", "timestamp", stored_type(F.col("label")).alias("chunk_type"), "memory_category", "text", F.lit(now).cast("long").alias("created_at"), F.array().cast("array<string>").alias("projects"))
     state = mutations.write_tagged(state, rows, found.tagged, lambda name: stable_id(F.lit("entity"), name), now)
     state = mutations.store_hashes(state, changed)
-    per = chunks.groupBy("source_document").agg(F.count(F.lit(1)).alias("chunks")).join(tags.groupBy("source_document").agg(F.count_if("failed").alias("failed_chunks")), "source_document", "left")
-    status = F.when(F.coalesce("failed_chunks", F.lit(0)) > 0, "partial").otherwise("complete")
-    results = todo.select("source_document").join(per, "source_document", "left").select("source_document", status.alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("failed_chunks", F.lit(0)).alias("failed_chunks"))
-    return Ingested(state, results, found.review)
+    per = chunks.groupBy("source_document").agg(F.count(F.lit(1)).alias("chunks")).join(done.groupBy("source_document").agg(F.count(F.lit(1)).alias("done")), "source_document", "left")
+    results = todo.select("source_document").join(per, "source_document", "left").na.fill(0, ["chunks", "done"]).withColumn("failed_chunks", F.col("chunks") - F.col("done"))
+    status = F.when(F.col("failed_chunks") > 0, "partial").otherwise("complete")
+    results = results.select("source_document", status.alias("status"), "chunks", "failed_chunks", F.lit(None).cast("string").alias("error"))
+    return Ingested(state, results.unionByName(unread), found.review)
 
 
 def rolled_up(results: DataFrame) -> DataFrame:

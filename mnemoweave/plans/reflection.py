@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from mnemoweave.functions import cosine, jaccard, stable_id
 from mnemoweave.operators.aggregates import low_access_count
 from mnemoweave.operators.relations import temporal_chain
-from mnemoweave.plans import mutations
+from mnemoweave.plans import mutations, similarity
 from mnemoweave.state import GraphState
 from mnemoweave.storage import materialise
 
 AUTO_APPROVE = 0.95
-#: Candidates taken to the driver at once: the merge order is serial, but rows of ids that are gone drop out between batches.
-MERGES_PER_RUN = 100_000
 
 
 def _sized(state: GraphState) -> DataFrame:
@@ -49,15 +47,17 @@ def alias_candidates(state: GraphState, threshold: float = 0.8) -> DataFrame:
     return _kept(scored.where(F.col("confidence") >= threshold).withColumn("method", F.lit("alias_overlap")))
 
 
-def vector_candidates(state: GraphState, embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Pairs of one type whose (entity_id, vector) rows have a cosine of ``threshold`` or more."""
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    v = _sized(state).join(embeddings.withColumnRenamed("entity_id", "id"), "id").withColumn("len", norm).where("len > 0")
-    v = v.select("id", "entity_type", "n", F.transform("vector", lambda x: x / F.col("len")).alias("unit"))
-    side = lambda x: v.select("entity_type", F.col("id").alias(x), F.col("unit").alias(f"unit_{x}"), F.col("n").alias(f"n_{x}"))
-    dot = F.aggregate(F.zip_with("unit_a", "unit_b", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    pairs = side("a").join(side("b"), "entity_type").where("a < b").withColumn("confidence", dot)
-    return _kept(pairs.where(F.col("confidence") >= threshold).withColumn("method", F.lit("embedding")))
+def vector_candidates(state: GraphState, embeddings: DataFrame, threshold: float = 0.9, exact: bool = True) -> DataFrame:
+    """Pairs of one type whose (entity_id, vector) rows have a cosine of ``threshold`` or more.
+
+    ``exact`` compares blocks within bounds; else pairs meet in tables of random hyperplanes, which miss few and whose work
+    grows little faster than the entities.
+    """
+    e = materialise(_sized(state).select("id", "entity_type", "n"))
+    v = e.join(embeddings.withColumnRenamed("entity_id", "id"), "id").select("id", F.col("entity_type").alias("kind"), "vector")
+    pairs = (similarity.exact_pairs if exact else similarity.hashed_pairs)(v, threshold)
+    side = lambda x: e.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
+    return _kept(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.col("similarity").alias("confidence"), F.lit("embedding").alias("method")))
 
 
 def merge_candidates(*found: DataFrame) -> DataFrame:
@@ -80,33 +80,59 @@ def confirmed(candidates: DataFrame, says_yes: Callable[[DataFrame], DataFrame]
     return sure.unionByName(says_yes(review_queue(candidates)).select(*sure.columns)) if says_yes else sure
 
 
-def execute_merges(state: GraphState, chosen: DataFrame, now: int) -> GraphState:
-    """Merges in falling confidence, without rows of an id that is gone by then; kept ids may be merged further on."""
-    spark = state.entities.sparkSession
-    left = materialise(chosen.where("keep_id <> merge_id"))
-    into: dict[str, str] = {}
-    taken = []
-    while rows := left.orderBy(F.desc("confidence"), "keep_id", "merge_id").limit(MERGES_PER_RUN).collect():
-        gone = []
-        for r in rows:
-            if r["keep_id"] not in into and r["merge_id"] not in into:
-                into[r["merge_id"]] = r["keep_id"]
-                taken.append(r)
-                gone.append((r["merge_id"],))
-        if len(rows) < MERGES_PER_RUN:
+_ORDER = ["at", "keep_id", "merge_id", "method"]  # the order of merges: falling confidence, then ids
+
+
+def merge_order(chosen: DataFrame) -> DataFrame:
+    """(keep_id, merge_id, confidence, method) of the pairs that serial merging in falling confidence would carry out.
+
+    A pair is carried out unless an id of it was merged away by an earlier one.  In each round, pairs before which no
+    open pair could merge away an id of theirs are carried out at once, and later open pairs with an id that is gone by
+    that drop out; the first open pair is always among the former.  Rounds follow the longest chain of pairs that wait
+    for each other, which is short unless confidences fall along a path of ids.
+    """
+    first = F.struct(*_ORDER)
+    left = materialise(chosen.where("keep_id <> merge_id").select("keep_id", "merge_id", F.col("confidence").cast("double").alias("confidence"), F.coalesce("method", F.lit("")).alias("method"), (-F.col("confidence").cast("double")).alias("at")).distinct())
+    taken = left.limit(0)
+    while not left.isEmpty():
+        blocks = materialise(left.groupBy("merge_id").agg(F.min(first).alias("block")))
+        by = lambda c: blocks.select(F.col("merge_id").alias(c), F.col("block").alias(f"by_{c}"))
+        met = left.join(by("keep_id"), "keep_id", "left").join(by("merge_id"), "merge_id")
+        free = (F.col("by_merge_id") == first) & (F.col("by_keep_id").isNull() | (F.col("by_keep_id") > first))
+        met = materialise(met.withColumn("free", free))
+        now = met.where("free").select(*left.columns)
+        gone = materialise(now.select(F.col("merge_id").alias("id"), F.struct(*_ORDER).alias("since")))
+        gone_by = lambda c: gone.select(F.col("id").alias(c), F.col("since").alias(f"gone_{c}"))
+        rest = met.where("not free").select(*left.columns).join(gone_by("keep_id"), "keep_id", "left").join(gone_by("merge_id"), "merge_id", "left")
+        held = lambda c: F.coalesce(F.col(c) > first, F.lit(True))
+        taken = taken.unionByName(now)
+        left = materialise(rest.where(held("gone_keep_id") & held("gone_merge_id")).select(*left.columns))
+    return materialise(taken.drop("at"))
+
+
+def final_ids(taken: DataFrame) -> DataFrame:
+    """``taken`` with every keep_id replaced by the id that it ends up in; chains are halved in each round."""
+    links = materialise(taken.select(F.col("merge_id").alias("id"), F.col("keep_id").alias("into")))
+    while True:
+        on = links.select(F.col("id").alias("into"), F.col("into").alias("next"))
+        links = materialise(links.join(on, "into", "left").select("id", F.coalesce("next", "into").alias("into"), F.col("next").isNotNull().alias("moved")))
+        if links.where("moved").isEmpty():
             break
-        gone = spark.createDataFrame(gone, "_gone string")  # every row of the batch has an id that is gone by now
-        left = materialise(left.join(gone, F.col("keep_id") == F.col("_gone"), "left_anti").join(gone, F.col("merge_id") == F.col("_gone"), "left_anti"))
-    if not taken:
-        return state
+        links = links.drop("moved")
+    return taken.join(links.select(F.col("id").alias("merge_id"), "into"), "merge_id").select(F.col("into").alias("keep_id"), "merge_id", "confidence", "method")
+
 
-    def last(i: str) -> str:
-        while i in into:
-            i = into[i]
-        return i
+def execute_merges(state: GraphState, chosen: DataFrame, now: int) -> GraphState:
+    """Merges in falling confidence, without rows of an id that is gone by then; kept ids may be merged further on.
 
-    pairs = spark.createDataFrame([(last(r["keep_id"]), r["merge_id"], float(r["confidence"]), r["method"]) for r in taken], "keep_id string, merge_id string, confidence double, method string")
-    return mutations.dedup_edges(mutations.merge_entities(state, pairs, now))
+    Pairs of ids that the graph lacks are left out.
+    """
+    known = state.entities.select("id")
+    real = chosen.join(known.withColumnRenamed("id", "keep_id"), "keep_id", "left_semi").join(known.withColumnRenamed("id", "merge_id"), "merge_id", "left_semi")
+    taken = merge_order(real)
+    if taken.isEmpty():
+        return state
+    return mutations.dedup_edges(mutations.merge_entities(state, final_ids(taken), now))
 
 
 def upkeep(state: GraphState, now: int, half_life_days: float = 30, prune_below: float = 0.01) -> tuple[GraphState, DataFrame]:

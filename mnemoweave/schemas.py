@@ -26,6 +26,8 @@ CHUNKS = _struct(
 )
 DOCUMENT_HASHES = _struct(document=S, sha256=S)
 EMBEDDINGS = _struct(entity_id=S, vector=T.ArrayType(D))
+#: With the hash of what an entity was embedded by.
+STORED_EMBEDDINGS = _struct(entity_id=S, sha256=S, vector=T.ArrayType(D))
 RAW_CHUNKS = _struct(source_document=S, position=I, section_name=S, speaker=S, timestamp=L, memory_category=S, text=S)
 FRAGMENTS = _struct(
     id=L, source_id=S, text=S, category=S, project=S, entity_hints=S, created_at=L, extracted_at=L, extraction_status=S, batch_id=S, error=S,

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import tomllib
 from dataclasses import dataclass, field, fields
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from mnemoweave import schemas
 from mnemoweave.functions import path_category
 from mnemoweave.operators.lookups import watched
+from mnemoweave.sources import tree
 
 IGNORED_DIRS = (".git", "node_modules", "target", "__pycache__", ".venv")
 
@@ -39,23 +38,23 @@ def sessions(spark: SparkSession, root: str, project: str | None = None, since:
 
 
 def repository(spark: SparkSession, root: str, extensions: list[str] | None = None, ignored_dirs: tuple[str, ...] = IGNORED_DIRS) -> DataFrame:
-    """(path, content) of a source tree, without ignored folders and what its top ``.gitignore`` names."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{root.rstrip('/')}/", "")
-    rows = rows.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
-    rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignored_dirs))))
-    ignore = Path(root, ".gitignore")
-    for line in ignore.read_text().splitlines() if ignore.exists() else []:
-        if (rule := line.strip()) and not rule.startswith(("#", "!")):
-            rows = rows.where(~F.col("path").rlike(_ignored(rule)))
-    return rows.where(watched(F.col("path"), extensions, [], [])) if extensions else rows
-
-
-def _ignored(rule: str) -> str:
-    """A regular expression of the paths that a plain ignore rule covers."""
-    rooted, folder = rule.startswith("/") or "/" in rule.rstrip("/"), rule.endswith("/")
-    body = fnmatch.translate(rule.strip("/")).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z").replace(".*", "[^/]*")
-    return ("^" if rooted else "(^|/)") + body + ("/" if folder else "(/|$)")
+    """(path, content) of a source tree, without ignored folders and what ``.gitignore`` files of any folder rule out."""
+    rows = tree.walked(spark, root, ignored_dirs)
+    return tree.contents(rows.where(watched(F.col("path"), extensions, [], [])) if extensions else rows, root)
+
+
+def prompts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates by name: the ``.txt`` files of a folder, which are few."""
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.txt$", 1).alias("name"), "value")
+    return {r["name"]: r["value"] for r in rows.collect()}
+
+
+def expected_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """(document, name, entity_type, aliases) of ``<document>.expected.json`` files: what should be found in each document."""
+    schema = "entities array<struct<name:string,type:string,aliases:array<string>>>"
+    rows = spark.read.schema(schema).json(folder, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.expected.json")
+    document = F.regexp_extract("_metadata.file_path", r"([^/]+)\.expected\.json$", 1)
+    return rows.select(document.alias("document"), F.explode("entities").alias("e")).where(F.trim("e.name") != "").select("document", F.trim("e.name").alias("name"), "e.type", F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases")).withColumnRenamed("type", "entity_type")
 
 
 def overflow(spark: SparkSession, root: str) -> DataFrame:

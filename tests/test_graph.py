@@ -1,5 +1,8 @@
 """Operators on small literal graphs, with the decided readings of what is ambiguous."""
 
+import random
+
+import numpy as np
 import pytest
 from graphs import T0, core, graph
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemoweave import functions as X
 from mnemoweave import schemas
 from mnemoweave.operators import aggregates, lookups, relations
-from mnemoweave.plans import agent, mutations, ranking, reflection, retrieval, traversal
+from mnemoweave.plans import agent, mutations, ranking, reflection, retrieval, similarity, traversal
 from mnemoweave.sources import snapshot
 from mnemoweave.state import GraphState
 
@@ -130,14 +133,75 @@ def test_merges_follow_chains(spark):
     assert {h["merged_entity_id"] for h in after.entities.where("id = 'c'").first()["merge_history"]} == {"a", "b"}
 
 
-@pytest.mark.parametrize("most", [1, 2, 5])
-def test_merges_go_on_past_a_batch(spark, monkeypatch, most):
-    monkeypatch.setattr(reflection, "MERGES_PER_RUN", most)
+def _serial(pairs):
+    """Kept ids of merged ones, by going through pairs one after the other."""
+    into = {}
+    for keep, merge, _, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1], p[3])):
+        if keep != merge and keep not in into and merge not in into:
+            into[merge] = keep
+
+    def last(i):
+        return last(into[i]) if i in into else i
+
+    return {m: last(k) for m, k in into.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merges_by_rounds_equal_serial_ones(spark, seed):
+    r = random.Random(seed)
+    n = 12 + 20 * seed
+    pairs = [(f"e{r.randrange(n)}", f"e{r.randrange(n)}", r.choice([0.9, 0.95, 1.0, round(r.random(), 2)]), r.choice("xy")) for _ in range(3 * n)]
+    pairs += [("e0", f"e{i}", 0.99, "hub") for i in range(n)] if seed == 3 else []
+    taken = reflection.merge_order(spark.createDataFrame(pairs + pairs[:3], "keep_id string, merge_id string, confidence double, method string"))
+    assert {x["merge_id"]: x["keep_id"] for x in reflection.final_ids(taken).collect()} == _serial(pairs)
+
+
+def test_merges_leave_out_pairs_of_unknown_ids(spark):
     g = graph(spark, [(x, x, "Concept", []) for x in "abcdefgh"], [])
-    pairs = [("a", "b", 1.0, "m"), ("a", "c", 1.0, "m"), ("b", "c", 1.0, "m"), ("e", "f", 0.99, "m"), ("d", "a", 0.98, "m"), ("c", "g", 0.97, "m"), ("h", "h", 0.96, "m")]
+    pairs = [("a", "b", 1.0, "m"), ("a", "c", 1.0, "m"), ("b", "c", 1.0, "m"), ("zz", "e", 1.0, "m"), ("e", "f", 0.99, "m"), ("d", "a", 0.98, "m"), ("c", "g", 0.97, "m"), ("h", "h", 0.96, None)]
     after = reflection.execute_merges(g, spark.createDataFrame(pairs, "keep_id string, merge_id string, confidence double, method string"), 5)
     assert ids(after.entities) == {"d", "e", "g", "h"}
     assert {h["merged_entity_id"] for h in after.entities.where("id = 'd'").first()["merge_history"]} == {"a", "b", "c"}
+    assert ids(reflection.execute_merges(g, spark.createDataFrame([], "keep_id string, merge_id string, confidence double, method string"), 5).entities) == set("abcdefgh")
+
+
+def _cosines(rows, threshold):
+    found = {}
+    for i, (a, kind, u) in enumerate(rows):
+        for b, other, v in rows[i + 1 :]:
+            if kind == other and u and v and np.linalg.norm(u) and np.linalg.norm(v):
+                s = float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v))
+                if s >= threshold:
+                    found[tuple(sorted((a, b)))] = s
+    return found
+
+
+@pytest.mark.parametrize("blocks", [(1, 1000), (4, 7), (16, 3)])
+def test_exact_vector_pairs_are_all_pairs(spark, blocks):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((6, 8))
+    rows = [(f"v{i}", f"k{i % 3}", (centres[i % 6] + 0.35 * rng.standard_normal(8)).tolist()) for i in range(150)]
+    rows += [("copy1", "k0", rows[0][2]), ("copy2", "k0", rows[0][2]), ("zero", "k0", [0.0] * 8), ("none", "k0", None), ("other", "k0", [1.0] * 3)]
+    frame = spark.createDataFrame(rows, "id string, kind string, vector array<double>")
+    got = {(r["a"], r["b"]): r["similarity"] for r in similarity.exact_pairs(frame, 0.8, *blocks).collect()}
+    want = _cosines(rows[:-3], 0.8)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert similarity.exact_pairs(frame.limit(0), 0.8).count() == similarity.hashed_pairs(frame.limit(0), 0.8).count() == 0
+
+
+def test_hashed_vector_pairs_miss_few_and_do_not_pair_copies(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((400, 32))
+    near = base + 0.28 * rng.standard_normal((400, 32))
+    rows = [(f"a{i}", "k", v.tolist()) for i, v in enumerate(base)] + [(f"b{i}", "k", v.tolist()) for i, v in enumerate(near)]
+    rows += [(f"c{i}", "k", base[0].tolist()) for i in range(300)]
+    got = similarity.hashed_pairs(spark.createDataFrame(rows, "id string, kind string, vector array<double>"), 0.9).collect()
+    want = _cosines(rows[:800], 0.9)
+    found = {(r["a"], r["b"]) for r in got if not r["b"].startswith("c")}
+    assert len(want) > 300 and len(found & want.keys()) >= 0.97 * len(want) and found <= want.keys()
+    assert {(r["a"], r["b"]) for r in got if r["b"].startswith("c")} == {("a0", f"c{i}") for i in range(300)}
+    planes, tables = similarity.tables_for(100_000_000, 0.9)
+    assert tables < 400 and 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** planes) ** tables >= 0.99
 
 
 def test_document_removal_keeps_entities_that_live_elsewhere(spark):

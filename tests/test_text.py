@@ -1,13 +1,14 @@
 """Scalars, parsing, sessions, model answers, ingestion, evaluation."""
 
 import json
+import subprocess
 
 import pytest
 from graphs import core
 from pyspark.sql import functions as F
 
 from mnemoweave import functions as X
-from mnemoweave.plans import conversations, evaluation, ingestion, parsing
+from mnemoweave.plans import conversations, evaluation, ingestion, labelling, parsing
 from mnemoweave.sources import files
 from mnemoweave.state import GraphState
 
@@ -167,7 +168,7 @@ class Failing(ingestion.RuleClient):
 def test_circuit_breaker_gives_a_document_up(spark):
     rows = spark.createDataFrame([(f"c{i}", "d", i, "bad") for i in range(20)] + [(f"k{i}", "e", i, "fine") for i in range(3)], "id string, source_document string, position int, text string")
     out = ingestion.tagged(rows, Failing()).groupBy("source_document").agg(F.count("*").alias("n"), F.count_if("failed").alias("f")).collect()
-    assert {r["source_document"]: (r["n"], r["f"]) for r in out} == {"d": (3, 3), "e": (3, 0)}
+    assert {r["source_document"]: (r["n"], r["f"]) for r in out} == {"d": (5, 5), "e": (3, 0)}
 
 
 def test_close_names_link_or_wait_for_review(spark):
@@ -179,6 +180,92 @@ def test_close_names_link_or_wait_for_review(spark):
         assert found.tagged.first()["existing_id"] == existing and found.review.count() == reviews
 
 
+class Strict(ingestion.RuleClient):
+    """Rejects batches that hold "odd" as a whole, and fails on "bad"."""
+
+    def classify(self, texts):
+        if len(texts) > 1 and any("odd" in t for t in texts):
+            raise OSError("rejected")
+        return None if "bad" in texts[0] and len(texts) == 1 else ["decision" if "yes" in t else "discussion" for t in texts]
+
+    def tag(self, texts):
+        if len(texts) > 1 and any("odd" in t for t in texts):
+            return None
+        return [None if "bad" in t else [("X", "person")] for t in texts]
+
+
+def test_rejected_batches_are_asked_text_by_text(spark):
+    rows = [(f"c{i}", "d", i, t) for i, t in enumerate(["odd yes", "bad", "yes", "plain", "bad odd", "yes", "plain", "plain", "plain", "plain", "plain"])]
+    frame = spark.createDataFrame(rows, "id string, source_document string, position int, text string").coalesce(1)
+    got = {r["id"]: r["label"] for r in ingestion.classified(frame, Strict()).collect()}
+    assert [got[f"c{i}"] for i in range(11)] == ["decision", "background", "decision", "discussion", "background", "decision", *["discussion"] * 5]
+    tags = {r["id"]: r["failed"] for r in ingestion.tagged(frame, Strict()).collect()}
+    assert [k for k, v in tags.items() if v] == ["c1", "c4"] and len(tags) == 11
+
+
+def test_a_very_long_document_is_tagged_in_bounded_runs(spark):
+    rows = spark.range(200_000).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("long").alias("source_document"), F.col("id").cast("int").alias("position"), F.when(F.col("id") < 100_000, "fine").otherwise("bad").alias("text"))
+    n = ingestion.tagged(rows, Failing(), retries=0).agg(F.count("*").alias("n"), F.count_if("failed").alias("f")).first()
+    assert (n["n"], n["f"]) == (200_000, 100_000)  # never over half
+    flipped = rows.withColumn("text", F.when(F.col("position") < 1000, "fine").otherwise("bad"))
+    n = ingestion.tagged(flipped, Failing(), retries=0).agg(F.count("*").alias("n"), F.count_if("failed").alias("f")).first()
+    assert (n["n"], n["f"]) == (2005, 1005)
+
+
+def test_statuses(spark):
+    docs = spark.createDataFrame([("a", "We decided that Ann leads.", "Episodic"), ("b", None, "Episodic"), ("c", "  ", "Episodic"), ("d", "bad news for Ann Lee", "Episodic")], "source_document string, text string, memory_category string")
+    done = ingestion.ingest(core(spark), docs, 5, Failing())
+    assert {r["source_document"]: (r["status"], r["chunks"], r["failed_chunks"]) for r in done.results.collect()} == {"a": ("complete", 1, 0), "b": ("failed", 0, 0), "c": ("complete", 0, 0), "d": ("partial", 1, 1)}
+    assert {r["document"] for r in done.state.document_hashes.collect()} >= {"a", "c", "d"} and done.state.document_hashes.where("document = 'b'").count() == 0
+    assert done.state.chunks.where("source_document = 'd'").count() == 0
+    assert ingestion.rolled_up(done.results).first()["failed"] == 1
+
+
+def test_prompts_by_source(spark, tmp_path):
+    for name, text in {"classify": "one {chunk_text}", "classify_batch": "many {chunks}", "tag": "tag {chunk_text}", "tag_batch": "tags {chunks}", "tag_conversation": "talk {chunk_text}"}.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    asked = []
+
+    def chat(prompt):
+        asked.append(prompt)
+        if prompt.startswith("many"):
+            return "1. decision\n2) Preference\n"
+        return {"one ": "Decision.", "tags": "Sure: {'1': [{'name': 'Ann', 'type': 'Person'},], '2': 7}", "tag ": '[{"name": "Bo"}, {"x": 1}]', "talk": "no"}[prompt[:4]]
+
+    client = labelling.PromptClient(chat, files.prompts(spark, str(tmp_path)), ("decision", "preference"))
+    assert client.classify(["a"]) == ["decision"] and client.classify(["a", "b"]) == ["decision", "preference"] and client.classify(["a", "b", "c"]) is None
+    assert client.tag(["a"]) == [[("Bo", "concept")]] and client.tag(["a", "b"]) == [[("Ann", "person")], None]
+    talk = client.for_source(True)
+    assert talk.tag(["a"]) == [None] and asked[-1] == "talk a" and talk.classify(["a"]) == ["decision"] and talk.tag(["a", "b"])[1] is None and asked[-1] == "tags ---CHUNK 1---\na\n\n---CHUNK 2---\nb"
+
+
+def test_ignore_rules_of_nested_folders(spark, tmp_path):
+    tree = {
+        ".gitignore": "*.log\n!keep.log\n/build/\ndocs/**/tmp\n# note\n\\#odd\nname with blank   \n*.py[co]\n!sub/\na/**/z.txt\n",
+        "x.log": "", "keep.log": "", "build/a.py": "", "lib/build/a.py": "", "__init__.py": "x", "_hidden/.dot/c.txt": "c", "docs/tmp/a": "", "docs/a/b/tmp/q": "", "docs/a/b/tmpx": "", "#odd": "", "name with blank": "",
+        "m.pyc": "", "m.py": "", "a/z.txt": "", "a/b/c/z.txt": "", "a/b/y.txt": "",
+        "sub/.gitignore": "!*.log\nsecret*\n/only.txt\ndeep/\n", "sub/x.log": "", "sub/secret.txt": "", "sub/in/secret2": "", "sub/only.txt": "", "sub/in/only.txt": "", "sub/deep/a.txt": "", "sub/in/deep/.gitignore": "!a.txt\n", "sub/in/deep/a.txt": "",
+        "neg/.gitignore": "*\n!*/\n!*.md\n", "neg/a.md": "", "neg/a.txt": "", "neg/in/b.md": "", "neg/in/c.txt": "", "node_modules/x.js": "", "lib/node_modules/y.js": "", "[lit]/f.txt": "", "sub/ü.txt": "ü",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    subprocess.run(["git", "init", "-q", tmp_path], check=True)
+    listed = subprocess.run(["git", "-c", "core.quotePath=false", "-c", "core.excludesFile=/dev/null", "ls-files", "-o", "--exclude-standard"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split("\n")
+    want = {x for x in listed if x and "node_modules" not in x.split("/")}
+    assert len(want) >= 15
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        assert {r["path"] for r in files.repository(spark, root, ignored_dirs=("node_modules",)).collect()} == want
+    assert {r["path"]: r["content"] for r in files.repository(spark, str(tmp_path), ["txt"]).collect()}["sub/ü.txt"] == "ü"
+    assert files.repository(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_expected_entities(spark, tmp_path):
+    (tmp_path / "a.md.expected.json").write_text(json.dumps({"entities": [{"name": " Ann ", "type": "person"}, {"name": "", "type": "x"}, {"name": "Bo", "type": "person", "aliases": ["B"]}]}))
+    (tmp_path / "b.expected.json").write_text("{}")
+    assert sorted(map(tuple, files.expected_entities(spark, str(tmp_path)).collect())) == [("a.md", "Ann", "person", []), ("a.md", "Bo", "person", ["B"])]
+
+
 def test_evaluation(spark):
     pairs = lambda *x: spark.createDataFrame(x, "document string, name string")
     q = evaluation.extraction_quality(pairs(("d", "A"), ("d", "B")), pairs(("d", "a"), ("d", "c"))).first()
@@ -200,7 +287,7 @@ def test_sources(spark, tmp_path):
     for name in ("a.py", "b.log", "node_modules/c.py", "build/d.py"):
         (repo / name).write_text("pass")
     (repo / ".gitignore").write_text("*.log\nbuild/\n")
-    assert {r["path"] for r in files.repository(spark, str(repo)).collect()} == {"a.py"}
+    assert {r["path"] for r in files.repository(spark, str(repo)).collect()} == {".gitignore", "a.py"}
     over = tmp_path / "over"
     over.mkdir()
     (over / "1.json").write_text(json.dumps({"version": 1, "source_id": "s", "text": "t"}))
