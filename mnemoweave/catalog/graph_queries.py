@@ -133,11 +133,11 @@ _add(
     'SELECT id, neighbor, "count", place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "count" DESC, neighbor) AS place FROM (SELECT src AS id, dst AS neighbor, count(*) AS "count" FROM edges GROUP BY ALL)) WHERE place <= 3',
 )
 _add("a8_last_seen", A.last_seen, 'SELECT e.id, coalesce(m.latest, e.updated_at) AS last_seen FROM entities e LEFT JOIN (SELECT src, max("timestamp") AS latest FROM edges GROUP BY src) m ON m.src = e.id')
-_add("a9_pair_counts", lambda g: A.pair_counts(g.edges.where(F.col("src") == A_PART)), f"SELECT a, b, count(*) AS n FROM (SELECT src AS a, dst AS b FROM edges WHERE src = '{A_PART}' UNION ALL SELECT dst, src FROM edges WHERE src = '{A_PART}') GROUP BY ALL")
+_add("a9_pair_counts", lambda g: A.pair_counts(g.edges), "SELECT a, b, count(*) AS n FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY ALL")
 _add("a10_distinct_edges", lambda g: A.distinct_edge_count(g.edges), "SELECT count(DISTINCT (least(src, dst), greatest(src, dst), chunk_id)) AS n FROM edges")
-_SESSIONS = "SELECT entity_id, 'claude-session://project-' || (CAST(regexp_extract(document, '(\\d+)$', 1) AS INT) % 3) || '/' || document AS document FROM entity_documents WHERE entity_id LIKE 'p1%'"
+_SESSIONS = "SELECT entity_id, 'claude-session://project-' || (CAST(regexp_extract(document, '(\\d+)$', 1) AS INT) % 3) || '/' || document AS document FROM entity_documents"
 _add(
-    "a11_cross_project", lambda g: A.cross_project_entities(g._replace(entity_documents=g.entity_documents.where("entity_id like 'p1%'").select("entity_id", F.concat(F.lit("claude-session://project-"), (F.regexp_extract("document", r"(\d+)$", 1).cast("int") % 3).cast("string"), F.lit("/"), "document").alias("document")))).select("id", F.array_join("projects", ",").alias("projects")),
+    "a11_cross_project", lambda g: A.cross_project_entities(g._replace(entity_documents=g.entity_documents.select("entity_id", F.concat(F.lit("claude-session://project-"), (F.regexp_extract("document", r"(\d+)$", 1).cast("int") % 3).cast("string"), F.lit("/"), "document").alias("document")))).select("id", F.array_join("projects", ",").alias("projects")),
     "SELECT entity_id AS id, string_agg(DISTINCT p, ',' ORDER BY p) AS projects FROM (SELECT entity_id, regexp_extract(document, '^claude-session://([^/]+)/', 1) AS p FROM (" + _SESSIONS + ")) GROUP BY entity_id HAVING count(DISTINCT p) > 1",
 )
 _add(

@@ -38,8 +38,8 @@ _on("f25_language", "nation", lambda d: d.select("n_nationkey", X.language_of(F.
 
 # joins and aggregations
 _graph(
-    "j13_exact_links", lambda g: ingestion.linked(g, g.entities.where("id in ('p1', 'p2', 'p3')").select("id", F.lit("d").alias("source_document"), F.concat("canonical_name", F.lit(" and Nobody")).alias("text"), F.lit(False).alias("failed"), F.array(F.struct(F.upper("canonical_name").alias("name"), F.lit("Project").alias("entity_type")), F.struct(F.lit("Nobody").alias("name"), F.lit("person").alias("entity_type")), F.struct(F.lit("absent").alias("name"), F.lit("person").alias("entity_type"))).alias("tags"))).tagged,
-    "SELECT id AS chunk_id, 0 AS pos, upper(canonical_name) AS name, 'Project' AS entity_type, id AS existing_id FROM entities WHERE id IN ('p1', 'p2', 'p3') UNION ALL SELECT id, 1, 'Nobody', 'Person', NULL FROM entities WHERE id IN ('p1', 'p2', 'p3')",
+    "j13_exact_links", lambda g: ingestion.linked(g, g.entities.select("id", F.lit("d").alias("source_document"), F.concat("canonical_name", F.lit(" and Nobody")).alias("text"), F.lit(False).alias("failed"), F.array(F.struct(F.upper("canonical_name").alias("name"), F.lit("Project").alias("entity_type")), F.struct(F.lit("Nobody").alias("name"), F.lit("person").alias("entity_type")), F.struct(F.lit("absent").alias("name"), F.lit("person").alias("entity_type"))).alias("tags"))).tagged,
+    "SELECT id AS chunk_id, 0 AS pos, upper(canonical_name) AS name, 'Project' AS entity_type, id AS existing_id FROM entities UNION ALL SELECT id, 1, 'Nobody', 'Person', NULL FROM entities",
 )
 _on("a20_tool_usage", "events", lambda d: d.groupBy("user_id").agg(tool_counts(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: F.concat(s["event_type"], F.lit(": x")))).alias("tools")), "SELECT user_id, string_agg(CASE WHEN n > 1 THEN event_type || ' x' || n ELSE event_type END, ', ' ORDER BY n DESC, f) AS tools FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id")
 _graph("a24_normalised_rank", lambda g: g.entities.select("id", F.round(F.col("access_count") / F.max("access_count").over(Window.partitionBy("entity_type")), 9).alias("share")), "SELECT id, round(access_count / (max(access_count) OVER (PARTITION BY entity_type))::DOUBLE, 9) AS share FROM entities")

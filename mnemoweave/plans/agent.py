@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoweave.functions import path_stem
 from mnemoweave.operators.aggregates import last_seen, top_by_group, top_neighbours
 from mnemoweave.operators.relations import neighbour_counts, pending_items, relationship_briefs, temporal_chain
+from mnemoweave.plans.patterns import SLICE_CHARS, occurrences
 from mnemoweave.plans.retrieval import recent_events, similarities
 from mnemoweave.state import GraphState
 from mnemoweave.storage import materialise
@@ -21,65 +18,21 @@ from mnemoweave.storage import materialise
 NAME_BONUS = 0.3
 SHORTEST_NAME = 3
 BRIEF_ENTITIES, FULL_ENTITIES = 8, 20
-SLICE_CHARS = 4_000_000  # of names that one automaton holds
 PROFILE_TYPES = ("Preference", "Goal", "Pattern", "Skill", "Project")
 
 
-def _wordy(c: str) -> bool:
-    """Whether a character is part of a word: a letter, mark, digit, connecting mark, or joiner."""
-    return c.isalpha() or c in "\u200c\u200d" or unicodedata.category(c) in ("Mn", "Me", "Mc", "Nd", "Nl", "Pc")
-
-
-def _found(texts: DataFrame, names: list[str]) -> DataFrame:
-    """(text_id, name, word) of names that occur in lower-cased texts (text_id, text), ``word`` if one does as a word.
-
-    An automaton of all names reads each text once; only hits leave the task.
-    """
-    held = texts.sparkSession.sparkContext.broadcast(names)  # bounded by the caller
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for name in held.value:
-            automaton.add_word(name, name)
-        automaton.make_automaton()
-        for batch in batches:
-            at, hits, word = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                seen: dict[str, bool] = {}
-                for end, name in automaton.iter(text or ""):
-                    if not seen.get(name):
-                        start = end + 1 - len(name)
-                        seen[name] = not (start and _wordy(text[start - 1])) and not (end + 1 < len(text) and _wordy(text[end + 1]))
-                at += [i] * len(seen)
-                hits += seen
-                word += seen.values()
-            if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(hits), pa.array(word)], names=["text_id", "name", "word"])
-
-    kind = texts.schema["text_id"].dataType.simpleString()
-    return texts.select("text_id", "text").mapInArrow(search, f"text_id {kind}, name string, word boolean")
-
-
 def mentions_in(state: GraphState, texts: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(text_id, id, match) of entities named in (text_id, text): 1.0 as a word, 0.7 within one, 0.6 by an alias.
 
-    Distinct names are dealt to slices of about ``slice_chars`` characters, and each slice is one automaton and one pass
-    over the texts.  Names of under three characters are not searched.  What is shuffled are hits and names.
+    Names of under three characters are not searched.
     """
     each = state.entities.select("id", F.lower("canonical_name").alias("name"), F.lit(True).alias("own")).unionByName(
         state.entities.select("id", F.explode("aliases").alias("a")).select("id", F.lower("a").alias("name"), F.lit(False).alias("own"))
     ).where(F.length("name") >= SHORTEST_NAME)
     each = materialise(each)
-    distinct = each.select("name").distinct()
-    slices = -(-(distinct.agg(F.coalesce(F.sum(F.length("name")), F.lit(0))).first()[0]) // slice_chars)
-    lowered = texts.select("text_id", F.lower("text").alias("text"))
-    hits = None
-    for s in range(max(1, slices)):
-        mine = distinct.where(F.pmod(F.xxhash64("name"), F.lit(max(1, slices))) == s) if slices > 1 else distinct
-        found = _found(lowered, [r["name"] for r in mine.collect()])
-        hits = found if hits is None else hits.unionByName(found)
+    hits = materialise(occurrences(texts.select("text_id", F.lower("text").alias("text")), each, slice_chars))
     match = F.when(~F.col("own"), 0.6).when(F.col("word"), 1.0).otherwise(0.7)
-    return materialise(hits).join(each, "name").groupBy("text_id", "id").agg(F.max(match).alias("match"))
+    return hits.join(each, "name").groupBy("text_id", "id").agg(F.max(match).alias("match"))
 
 
 def candidates(named: DataFrame, similar: DataFrame, limit: int) -> DataFrame:

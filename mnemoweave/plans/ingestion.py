@@ -15,6 +15,7 @@ from mnemoweave.plans import mutations
 from mnemoweave.plans.embedding import embedded
 from mnemoweave.plans.labelling import Client, RuleClient, classified, tagged  # noqa: F401
 from mnemoweave.plans.parsing import parsed
+from mnemoweave.plans.patterns import occurrences
 from mnemoweave.state import GraphState
 from mnemoweave.storage import materialise
 
@@ -38,16 +39,11 @@ class Linked(NamedTuple):
 
 
 def _near_names(state: GraphState, names: DataFrame) -> DataFrame:
-    """(key, entity_id, known) of names (key) and the entities whose lower-cased name contains them, met by a shared word.
-
-    A name meets others under its rarest word among the entities' names, so that common words pair little.
-    """
+    """(key, entity_id, known) of names (key) and the entities whose lower-cased name contains them."""
     known = materialise(name_index(state).where("kind = 'name'").select(F.col("name").alias("known"), F.col("id").alias("entity_id")))
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)\W+"), lambda w: F.length(w) > 2))
-    each = known.select("known", "entity_id", F.explode(words("known")).alias("word"))
-    often = materialise(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    rarest = names.select("key", F.explode(words("key")).alias("word")).join(often, "word").groupBy("key").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    return materialise(rarest).join(each, "word").where(F.contains("known", "key")).select("key", "entity_id", "known")
+    distinct = known.select(F.col("known").alias("text_id"), F.col("known").alias("text")).distinct()
+    hits = materialise(occurrences(distinct, names.select(F.col("key").alias("name"))))
+    return hits.select(F.col("name").alias("key"), F.col("text_id").alias("known")).join(known, "known")
 
 
 def linked(state: GraphState, rows: DataFrame, vectors: DataFrame | None = None, name_vectors: DataFrame | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None) -> Linked:
