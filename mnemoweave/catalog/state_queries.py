@@ -88,13 +88,11 @@ _SERIAL = (
     SQL.replace("WITH tag AS", "WITH RECURSIVE tag AS", 1) + ", " + _NAMED + """, cand AS (
   SELECT CASE WHEN y.k > x.k THEN y.id ELSE x.id END AS keep_id, CASE WHEN y.k > x.k THEN x.id ELSE y.id END AS merge_id FROM n x JOIN n y ON x.entity_type = y.entity_type AND x.id < y.id AND x.b = y.b
 ), placed AS (
-  SELECT *, row_number() OVER (ORDER BY keep_id, merge_id) AS i, CAST(substr(keep_id, 2) AS INT) AS k, CAST(substr(merge_id, 2) AS INT) AS m FROM cand
+  SELECT *, row_number() OVER (ORDER BY keep_id, merge_id) AS i, CAST(substr(keep_id, 2) AS INT) + 1 AS k, CAST(substr(merge_id, 2) AS INT) + 1 AS m FROM cand
 ), steps AS (
-  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS INT[]) AS keeps, CAST([] AS INT[]) AS gone
-  UNION ALL SELECT p.i, CASE WHEN list_contains(gone, k) OR list_contains(gone, m) THEN keeps ELSE list_append(keeps, k) END, CASE WHEN list_contains(gone, k) OR list_contains(gone, m) THEN gone ELSE list_append(gone, m) END
-  FROM steps s JOIN placed p ON p.i = s.i + 1
+  SELECT list_reduce(list([k, m] ORDER BY i), lambda done, x: CASE WHEN list_contains(done, -x[1]) OR list_contains(done, -x[2]) THEN done ELSE list_concat(done, [x[1], -x[2]]) END, CAST([] AS INT[])) AS done FROM placed
 ), taken AS (
-  SELECT 'p' || unnest(keeps) AS keep_id, 'p' || unnest(gone) AS merge_id FROM (SELECT * FROM steps ORDER BY i DESC LIMIT 1)
+  SELECT 'p' || (done[2 * j + 1] - 1) AS keep_id, 'p' || (-done[2 * j + 2] - 1) AS merge_id FROM steps, range(CAST(len(done) // 2 AS BIGINT)) AS r(j)
 ), chain AS (
   SELECT merge_id, keep_id FROM taken UNION ALL SELECT c.merge_id, t.keep_id FROM chain c JOIN taken t ON t.merge_id = c.keep_id
 ), ended AS (
