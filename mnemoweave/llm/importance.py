@@ -32,9 +32,9 @@ RUN_WORDS = 3
 LEAST_WORDS = 20
 DRAWN_PERCENT = 5
 SEED = 42
-PIECE_CHARS = 500_000  # a longer text is cut between words
+PIECE_CHARS = 400_000  # a longer text is cut between words
 SCORED_ROWS = 512  # whose counts are looked up at once
-SLICE_CHARS = 1_000_000  # the pieces that one statement takes, at the least
+SLICE_CHARS = 400_000  # the pieces that one statement takes, at the least
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -86,7 +86,7 @@ class _Counter:
     def __init__(self, buckets: int):
         self.buckets = buckets
         self.values = {"buckets": buckets, "apart": _BREAKS + _UPPER, "joined": " " * len(_BREAKS) + _LOWER}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.db.create_function("crc", _crc, ["BLOB"], "BIGINT", type="arrow")
         self.db.create_function("crc_on", _crc_on, ["BIGINT", "BLOB"], "BIGINT", type="arrow")
         self.total = np.zeros(buckets, np.int64)
@@ -208,7 +208,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = DRAWN_PERCENT, l
     wanted = stored(bucket_counts(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), buckets))
     hashed = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((hashed + 0.5) / 4294967296.0)))
-    scored = weighted(counts, gains(counts, wanted, buckets), buckets).withColumn("score", F.col("weight") + noise)
+    scored = stored(weighted(counts, gains(counts, wanted, buckets), buckets).withColumn("score", F.col("weight") + noise))
     ranked = running_totals(scored.where(F.col("n_words") >= least_words), [F.desc("score"), F.asc_nulls_last("doc_id"), "n_features", "weight"])
     drawn = ranked.count() * percent // 100
     ranked = ranked.withColumn("rank", F.when(F.col("_total") <= drawn, F.col("_total"))).drop("_total")
