@@ -21,7 +21,7 @@ FOLDERS_A_TASK = 64
 _LISTED = "path string, is_folder boolean, rules array<struct<folder:string,text:string>>"
 
 
-def _opened(root: str) -> tuple[pafs.FileSystem, str]:
+def opened(root: str) -> tuple[pafs.FileSystem, str]:
     system, path = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
     return system, path.rstrip("/")
 
@@ -97,7 +97,7 @@ def walked(spark: SparkSession, root: str, ignored_dirs: tuple[str, ...] = ()) -
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, top = _opened(root)
+        system, top = opened(root)
         for batch in batches:
             out = {"path": [], "is_folder": [], "rules": []}
             for row in batch.to_pylist():
@@ -133,7 +133,7 @@ def contents(files: DataFrame, root: str) -> DataFrame:
     """(path, content) of relative paths, read where the rows are; what is no UTF-8 is replaced, what is gone by now is null."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, top = _opened(root)
+        system, top = opened(root)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 try:

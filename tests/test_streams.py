@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from mnemoweave import schemas
 from mnemoweave.plans import ranking, repo
+from mnemoweave.sources import changes
 from mnemoweave.streaming import spool, watch
+from mnemoweave.streaming.queue import Queue
+from mnemoweave.streaming.watcher import Watcher
 
 AT = datetime(2024, 1, 1)
 
@@ -119,3 +122,118 @@ def test_repository_context_skips_what_does_not_fit(spark):
     ranks = ranking.pagerank(r.files.select(F.col("path").alias("id")), ranking.file_edges_weighted(r.edges))
     text = repo.context(r, ranks, spark.createDataFrame([("a.py", 0.9)], "path string, similarity double"), 400)
     assert text.index("## a.py") < text.index("## c.py") and "## b.py" not in text and "## test_x.py" not in text
+
+
+def _told(w):
+    w.catch_up()
+    return sorted((r["path"], r["event"]) for r in w.drain().collect())
+
+
+def test_watcher_tells_changes_once_across_restarts(spark, tmp_path):
+    root, home = tmp_path / "tree", str(tmp_path / "home")
+    (root / "in/.git").mkdir(parents=True)
+    (root / "skip").mkdir()
+    for name in ("a.py", "in/b.py", "in/note.txt", "in/.git/c.py", "skip/d.py"):
+        (root / name).write_text("1")
+    start = lambda: Watcher(spark, str(root), home, extensions=("py",), ignored_dirs=("skip",))
+    w = start()
+    try:
+        assert _told(w) == []  # what is there is known
+        (root / "a.py").write_text("22")
+        (root / "n.py").write_text("1")
+        (root / "in/note.txt").write_text("22")
+        assert _told(w) == [("a.py", "Modified"), ("n.py", "Created")]
+        (root / "in/b.py").rename(root / "in/r.py")
+        assert _told(w) == [("in/b.py", "Deleted"), ("in/r.py", "Created")]
+        assert not w.wait(0.5)
+    finally:
+        w.stop()
+    (root / "n.py").unlink()
+    (root / "in/r.py").write_text("333")
+    (root / "in/late.py").write_text("1")
+    w = start()
+    try:
+        assert w.wait(30) and _told(w) == [("in/late.py", "Created"), ("in/r.py", "Modified"), ("n.py", "Deleted")]
+        assert _told(w) == []
+        stats = w.stats()
+        assert (stats["Created"], stats["Modified"], stats["Deleted"], stats["errors"], stats["running"]) == (3, 2, 2, 0, 1)
+    finally:
+        w.stop()
+    assert w.stats()["running"] == 0
+
+
+def test_existing_files_may_be_told(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/a.py").write_text("1")
+    w = Watcher(spark, str(tmp_path / "tree"), str(tmp_path / "home"), existing="created")
+    try:
+        assert _told(w) == [("a.py", "Created")]
+    finally:
+        w.stop()
+
+
+def test_listings_go_on_after_a_look_that_was_not_noted(tmp_path):
+    """A version stored before a crash, but in no checkpoint, is a step on the way to the next one."""
+    (tmp_path / "tree").mkdir()
+    held = changes.Listings(str(tmp_path / "tree"), str(tmp_path / "state"))
+    assert held.look() == held.look() == 0
+    (tmp_path / "tree/a").write_text("1")
+    assert held.look() == 1
+    (tmp_path / "tree/b").write_text("1")
+    (tmp_path / "tree/a").unlink()
+    assert held.look() == 2
+    reader = changes.FolderChanges({"path": str(tmp_path / "tree"), "state": str(tmp_path / "state")}).streamReader(None)
+    told = lambda a, b: sorted(x[:2] for p in reader.partitions({"version": a}, {"version": b}) for x in reader.read(p))
+    assert told(0, 2) == [("b", "Created")] and told(1, 2) == [("a", "Deleted"), ("b", "Created")] and told(2, 2) == [] and told(-1, 1) == [("a", "Created")]
+    reader.commit({"version": 2})
+    assert held.versions() == [2]
+
+
+def _queued(spark, home, *rows):
+    q = Queue(spark, str(home), lease=100)
+    q.insert(spark.createDataFrame(rows, "source_id string, text string"), 10)
+    return q
+
+
+def _states(q, now):
+    return {r["id"]: r["extraction_status"] for r in q.fragments(now).collect()}
+
+
+def test_a_crash_between_claim_and_commit_neither_loses_nor_repeats(spark, tmp_path):
+    q = _queued(spark, tmp_path, ("a", "one"), ("b", "two"), (" ", "no source"), ("a", "three"), ("c", ""))
+    assert q.insert(spark.createDataFrame([("d", "four")], "source_id string, text string"), 11) == 1
+    assert _states(q, 20) == dict.fromkeys((1, 2, 3, 4), "pending")
+    batch = q.claim(20, 3)
+    seen = []
+    note = lambda df: seen.extend((r["source_id"], r["text"]) for r in df.collect())
+    after = Queue(spark, str(tmp_path), lease=100)  # the first one crashed here
+    assert sorted(_states(after, 50).values()) == ["extracting"] * 3 + ["pending"]
+    assert after.work(note, 60) == {"d": None} and seen == [("d", "four")]
+    assert after.work(note, 70) == {}
+    assert _states(after, 119) == {1: "extracting", 2: "extracting", 3: "extracting", 4: "extracted"}
+    assert _states(after, 121) == {1: "pending", 2: "pending", 3: "pending", 4: "extracted"}
+    (tmp_path / "outcomes" / batch).mkdir()  # what a crash within the commit leaves: no mark of success
+    assert _states(after, 121)[1] == "pending"
+    assert after.run(batch, note, 130) == {"a": None, "b": None} and sorted(seen[1:]) == [("a", "one\n\nthree"), ("b", "two")]
+    assert after.run(batch, note, 140) == {} and len(seen) == 3 and after.work(note, 150) == {}
+    assert set(_states(after, 1000).values()) == {"extracted"}
+
+
+def test_a_source_that_raises_leaves_the_others_extracted(spark, tmp_path):
+    q = _queued(spark, tmp_path, *[(f"s{i}", "bad" if i in (2, 5) else "fine") for i in range(8)])
+    done = []
+
+    def extract(df):
+        rows = df.collect()
+        if any(r["text"] == "bad" for r in rows):
+            raise ValueError("no answer")
+        done.extend(r["source_id"] for r in rows)
+
+    errors = q.work(extract, 20)
+    assert {s for s, e in errors.items() if e} == {"s2", "s5"} and errors["s2"] == "ValueError: no answer"
+    assert sorted(done) == ["s0", "s1", "s3", "s4", "s6", "s7"]
+    rows = {r["source_id"]: (r["extraction_status"], r["error"]) for r in q.fragments(30).collect()}
+    assert rows["s2"] == ("failed", "ValueError: no answer") and rows["s0"] == ("extracted", None)
+    assert q.work(extract, 40) == {} and q.retry_failed(50) == 2
+    assert {r["source_id"] for r in q.fragments(60).where("extraction_status = 'pending'").collect()} == {"s2", "s5"}
+    assert q.work(lambda df: None, 70) == {"s2": None, "s5": None} and set(_states(q, 80).values()) == {"extracted"}
