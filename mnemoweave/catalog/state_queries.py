@@ -109,7 +109,20 @@ _add(
     "g3_anchors", lambda g: retrieval.anchors(_SIMILAR(g), _RANKS(g), 5).select("id", F.round("score", 9).alias("score")),
     "SELECT id, round(similarity * 0.8::DOUBLE + access_count / (SELECT max(access_count) FROM entities) * 0.2::DOUBLE, 9) AS score FROM (SELECT id, access_count, access_count % 7 / 7.0::DOUBLE AS similarity FROM entities ORDER BY similarity DESC, id LIMIT 15) ORDER BY similarity * 0.8::DOUBLE + access_count / (SELECT max(access_count) FROM entities) * 0.2::DOUBLE DESC, id LIMIT 5",
 )
-_add("g4_expand", lambda g: retrieval.expanded(g, g.entities.where("id in ('p1', 'p7')").select("id"), 1, 40).chunks.select("id", "min_hop", F.round("score", 9).alias("score")))
+_add(
+    "g4_expand", lambda g: retrieval.expanded(g, g.entities.where("id in ('p1', 'p7')").select("id"), 1, 40).chunks.select("id", "min_hop", F.round("score", 9).alias("score")),
+    """, start AS (SELECT id FROM entities WHERE id IN ('p1', 'p7')
+), member AS (SELECT id AS anchor, id FROM start UNION SELECT s.id, e.dst FROM start s JOIN edges e ON e.src = s.id
+), near AS (SELECT DISTINCT e.src, e.dst, e.chunk_id FROM edges e JOIN member a ON a.id = e.src JOIN member b ON b.id = e.dst AND b.anchor = a.anchor
+), paired AS (SELECT src, dst FROM near UNION SELECT dst, src FROM near
+), one AS (SELECT dst AS id FROM paired WHERE src IN (SELECT id FROM start) AND dst NOT IN (SELECT id FROM start)
+), two AS (SELECT dst AS id FROM paired WHERE src IN (SELECT id FROM one)
+), far AS (SELECT id, CASE WHEN id IN (SELECT id FROM start) THEN 0 WHEN id IN (SELECT id FROM one) THEN 1 ELSE 2 END AS hop FROM (SELECT DISTINCT id FROM member)
+), kept AS (SELECT * FROM far ORDER BY hop, id LIMIT 40
+), shown AS (SELECT DISTINCT chunk_id FROM near WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)
+) SELECT c.id, min(k.hop) AS min_hop, round(CASE WHEN min(k.hop) < 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END * CASE any_value(c.chunk_type) WHEN 'Decision' THEN 1.0::DOUBLE WHEN 'ActionItem' THEN 0.9::DOUBLE WHEN 'StatusUpdate' THEN 0.7::DOUBLE WHEN 'Background' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END, 9) AS score
+FROM chunks c JOIN shown ON shown.chunk_id = c.id JOIN tags t ON t.chunk_id = c.id JOIN kept k ON k.id = t.tag GROUP BY c.id""",
+)
 _add("g10_assemble", lambda g: g.entities.sparkSession.createDataFrame([(retrieval.assembled(g, embedding.embedded(g.entities.select("id", "canonical_name"), "canonical_name", lambda t: embedding.hashing_embedder(t, 16)).select(F.col("id").alias("entity_id"), "vector"), _RANKS(g), embedding.hashing_embedder(["Part 1"], 16)[0], 10, 6000),)], "context string"))
 _add(
     "g11_knowledge_map", lambda g: retrieval.knowledge_map(g, _RANKS(g), 20).select("entity_type", "id", "rank", "near"),
@@ -224,7 +237,21 @@ def _file_events(spark, sf_dir):
     return e.select(F.concat(F.lit("/repo/f"), "user_id", F.when(F.col("user_id") % 4 == 0, ".txt").otherwise(".py")).alias("path"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"))
 
 
-QUERIES["r3_normalised_events"] = (lambda s, d: watch.normalised_batch(_file_events(s, d), s.createDataFrame([("/repo/f1.py",)], "path string")).groupBy("event").agg(F.count(F.lit(1)).alias("n")), None)
+_KINDS = "['create', 'modify', 'remove', 'rename', 'other'][event_id % 5 + 1]"
+QUERIES["r3_normalised_events"] = (
+    lambda s, d: watch.normalised_batch(_file_events(s, d), s.createDataFrame([("/repo/f1.py",)], "path string")).groupBy("path", "event").agg(F.count(F.lit(1)).alias("n")),
+    f"""WITH e AS (SELECT '/repo/f' || user_id || CASE WHEN user_id % 4 = 0 THEN '.txt' ELSE '.py' END AS path, {_KINDS} AS kind, ts, event_id FROM events
+), k AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'remove' THEN FALSE WHEN kind <> 'other' THEN TRUE END IGNORE NULLS) OVER (PARTITION BY path ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), path = '/repo/f1.py') AS known FROM e
+), m AS (SELECT path, CASE WHEN kind = 'create' AND NOT known THEN 'Created' WHEN kind IN ('create', 'modify', 'rename') THEN 'Modified' WHEN kind = 'remove' AND known THEN 'Deleted' END AS event FROM k)
+SELECT path, event, count(*) AS n FROM m WHERE event IS NOT NULL GROUP BY ALL""",
+)
+QUERIES["r2_debounced"] = (
+    lambda s, d: watch.debounced(_file_events(s, d), "1 hour").select("path", "kind", F.unix_micros("at").alias("at")),
+    f"""WITH e AS (SELECT '/repo/f' || user_id || CASE WHEN user_id % 4 = 0 THEN '.txt' ELSE '.py' END AS path, {_KINDS} AS kind, ts FROM events
+), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)
+), n AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)
+SELECT path, arg_max(kind, ts) AS kind, CAST(epoch_us(max(ts)) AS BIGINT) AS at FROM n GROUP BY path, burst""",
+)
 QUERIES["f15_file_filter"] = (lambda s, d: watch.filtered(_file_events(s, d), ["py"], [".git"], []).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT ['create', 'modify', 'remove', 'rename', 'other'][event_id % 5 + 1] AS kind, count(*) AS n FROM events WHERE user_id % 4 <> 0 GROUP BY ALL")
 
 
@@ -235,7 +262,16 @@ def _ingested(spark, sf_dir):
 
 
 QUERIES["p20_ingest"] = (lambda s, d: ingestion.rolled_up(_ingested(s, d).results), None)
-QUERIES["e1_descriptors"] = (lambda s, d: embedding.entity_descriptors(graph(s, d)), None)
+_add(
+    "e1_descriptors", lambda g: embedding.entity_descriptors(g),
+    """, near AS (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS place FROM edges GROUP BY src, dst
+), named AS (
+  SELECT src, string_agg(canonical_name, ', ' ORDER BY place) AS near FROM near JOIN entities ON id = dst WHERE place <= 7 GROUP BY src
+), stems AS (
+  SELECT entity_id, string_agg(document, ', ' ORDER BY document) AS stems FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY document) AS k FROM entity_documents) WHERE k <= 3 GROUP BY entity_id
+) SELECT id, concat_ws(' | ', canonical_name || ' (' || entity_type || ')', 'aka: ' || alias, 'Co-occurs with: ' || near, 'Sources: ' || stems) AS text FROM entities LEFT JOIN named ON src = id LEFT JOIN stems ON entity_id = id""",
+)
 
 
 def _letters(texts):

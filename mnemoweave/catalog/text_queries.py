@@ -40,4 +40,49 @@ QUERIES["t3k_vector_topk"] = (
     lambda spark, sf_dir: E.top_similar(read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), "vec_id", read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"], 10).select("vec_id", F.round("similarity", 6).alias("similarity")),
     f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC}) DESC, vec_id LIMIT 10",
 )
-_add("e3_file_pieces", "documents", lambda d, text: E.file_pieces(d.select(F.concat(F.lit("f"), "doc_id").alias("path"), F.concat(text, F.lit("\ndef a():\n pass")).alias("content"))).groupBy("path").agg(F.count(F.lit(1)).alias("pieces")), None)
+_add("e3_file_pieces", "documents", lambda d, text: E.file_pieces(d.select(F.concat(F.lit("f"), "doc_id").alias("path"), F.concat(text, F.lit("\ndef a():\n pass")).alias("content"))).groupBy("path").agg(F.count(F.lit(1)).alias("pieces")), r"SELECT 'f' || doc_id AS path, CASE WHEN len(regexp_extract_all(c, '[^ \t\n\x0B\f\r]+')) <= 300 OR trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 1 ELSE 2 + len(regexp_extract_all(text, '(?m)^\s*(?:async\s+def |def |class |fn |pub fn |pub struct |struct |impl |func |function |export function |export class |interface )')) END AS pieces FROM (SELECT doc_id, text, text || chr(10) || 'def a():' || chr(10) || ' pass' AS c FROM documents)")
+
+
+# documents of each form, written from orders: one for each customer, a part for each of its orders
+def _written(name, part, before="", sql=""):
+    """``part``: an order's lines, in Spark; ``sql``: (rows of the parsed document in SQL)."""
+
+    def plan(spark, sf_dir):
+        o = read(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+        docs = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("p")))), lambda x: x["p"]), "\n").alias("text"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        docs = docs.select(F.concat(F.lit("c"), "o_custkey").alias("source_document"), F.concat(F.lit(before), "text").alias("text"), F.lit("Episodic").alias("memory_category"))
+        return P.parsed(docs).select("source_document", "position", "section_name", "speaker", "timestamp", "text")
+
+    QUERIES[name] = (plan, "WITH o AS (SELECT *, 'c' || o_custkey AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) " + sql)
+
+
+_SPEAKS = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("**Clerk "), "o_orderkey", F.lit(":** "))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("**Agent**: "))).otherwise(F.concat(F.lit("Speaker "), "o_orderkey", F.lit(": ")))
+_written(
+    "p3_transcript", F.concat(_SPEAKS, F.lit("Order "), "o_orderkey", F.lit(" is\n"), "o_orderstatus", F.lit(".\n")), "Short notes\n",
+    "SELECT d AS source_document, CAST(i - 1 AS INT) AS position, CAST(NULL AS VARCHAR) AS section_name, CASE o_orderkey % 3 WHEN 0 THEN 'Clerk ' || o_orderkey WHEN 1 THEN 'Agent' ELSE 'Speaker ' || o_orderkey END AS speaker, CAST(NULL AS BIGINT) AS \"timestamp\", 'Order ' || o_orderkey || ' is' || chr(10) || o_orderstatus || '.' AS text FROM o WHERE n > 1",
+)
+_written(
+    "p4_markdown", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "## ").otherwise("### "), F.lit("Order "), "o_orderkey", F.lit("\n\n Of "), "o_custkey", F.lit(" \n  \nPriority "), "o_orderpriority", F.lit("\n")), "",
+    "SELECT d AS source_document, CAST(2 * (i - 1) + k AS INT) AS position, 'Order ' || o_orderkey AS section_name, CAST(NULL AS VARCHAR) AS speaker, CAST(NULL AS BIGINT) AS \"timestamp\", CASE k WHEN 0 THEN 'Of ' || o_custkey ELSE 'Priority ' || o_orderpriority END AS text FROM o, range(2) AS r(k) WHERE n > 1",
+)
+_written(
+    "p5_date_sections", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "## ").otherwise(""), "day", F.lit("\nOrder "), "o_orderkey", F.lit(".\n\nStatus "), "o_orderstatus", F.lit("\n")), "",
+    "SELECT d AS source_document, CAST(i - 1 AS INT) AS position, strftime(o_orderdate, '%Y-%m-%d') AS section_name, CAST(NULL AS VARCHAR) AS speaker, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS \"timestamp\", 'Order ' || o_orderkey || '.' || chr(10) || chr(10) || 'Status ' || o_orderstatus AS text FROM o WHERE n > 1",
+)
+
+
+def _session_chunks(spark, sf_dir):
+    t = read(spark, sf_dir, "conversations").where("text is not null")
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.lit("/home/x/proj").alias("cwd"), F.struct(F.col("text").alias("content")).alias("message")))
+    raw = t.groupBy(F.col("conv_id").cast("string").alias("session")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return C.session_chunks(C.session_lines(raw)).select("source_document", "position", "section_name", "text")
+
+
+_T = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+QUERIES["p9_session_chunks"] = (
+    _session_chunks,
+    f"""WITH t AS (SELECT conv_id, turn, role, {_T} AS x, sum(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL
+), e AS (SELECT conv_id, n, concat_ws(chr(10) || chr(10), 'User: ' || string_agg(x, chr(10) ORDER BY turn) FILTER (WHERE role = 'user' AND x <> ''), 'Assistant: ' || string_agg(x, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND x <> '')) AS text FROM t GROUP BY conv_id, n
+), p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k FROM e WHERE text <> '')
+SELECT 'claude-session://proj/s' || conv_id AS source_document, CAST(k - 1 AS INT) AS position, 'Exchange ' || k AS section_name, text FROM p""",
+)

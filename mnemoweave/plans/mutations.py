@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from mnemoweave.operators import aggregates
 from mnemoweave.operators.lookups import upsert_hashes, without_hashes
 from mnemoweave.operators.relations import cooccurrences, orphans, unchanged_documents
 from mnemoweave.state import GraphState
+from mnemoweave.storage import materialise
 
 
 def add_entities(state: GraphState, rows: DataFrame) -> GraphState:
@@ -99,20 +101,22 @@ def remove_documents(state: GraphState, documents: DataFrame) -> Removal:
 
     Entities that list a document lose it and the removed chunks; those with no document, chunk and edge left go.
     """
-    documents = documents.select("document").distinct()
+    documents = materialise(documents.select("document").distinct())
     of = documents.withColumnRenamed("document", "source_document")
-    dead = state.chunks.join(of, "source_document", "left_semi").select(F.col("id").alias("chunk_id"))
+    dead = materialise(state.chunks.join(of, "source_document", "left_semi").select(F.col("id").alias("chunk_id")))
     chunks = state.chunks.join(of, "source_document", "left_anti").select(*state.chunks.columns)
     edges = state.edges.join(dead, "chunk_id", "left_anti").select(*state.edges.columns)
-    listing = state.entity_documents.join(documents, "document", "left_semi").select("entity_id").distinct()
+    gone_edges = materialise(state.edges.join(dead, "chunk_id", "left_semi").select("chunk_id"))
+    listing = materialise(state.entity_documents.join(documents, "document", "left_semi").select("entity_id").distinct())
     left_documents = state.entity_documents.join(documents, "document", "left_anti").select("entity_id", "document")
-    trimmed = dead.join(state.mentions, "chunk_id").join(listing, "entity_id", "left_semi").select("entity_id", "chunk_id")
+    trimmed = materialise(dead.join(state.mentions, "chunk_id").join(listing, "entity_id", "left_semi").select("entity_id", "chunk_id"))
     mentions = state.mentions.join(trimmed, ["entity_id", "chunk_id"], "left_anti")
-    alive = left_documents.select("entity_id").unionByName(mentions.select("entity_id")).unionByName(edges.select(F.explode(F.array("src", "dst")).alias("entity_id")))
-    empty = listing.join(alive.distinct(), "entity_id", "left_anti").select(F.col("entity_id").alias("id"))
+    met = [left_documents.select("entity_id"), mentions.select("entity_id"), edges.select(F.explode(F.array("src", "dst")).alias("entity_id"))]
+    alive = reduce(DataFrame.unionByName, [df.join(listing, "entity_id", "left_semi") for df in met])  # only of those that list a document
+    empty = materialise(listing.join(alive.distinct(), "entity_id", "left_anti").select(F.col("entity_id").alias("id")))
     entities = state.entities.join(empty, "id", "left_anti").select(*state.entities.columns)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    counts = count(dead, "chunks_removed").join(count(state.edges.join(dead, "chunk_id", "left_semi"), "edges_removed")).join(count(empty, "entities_removed")).join(count(listing, "entities_updated"))
+    counts = count(dead, "chunks_removed").join(count(gone_edges, "edges_removed")).join(count(empty, "entities_removed")).join(count(listing, "entities_updated"))
     counts = counts.withColumn("entities_updated", F.col("entities_updated") - F.col("entities_removed"))
     hashes = without_hashes(state.document_hashes, documents)
     return Removal(state._replace(entities=entities, edges=edges, chunks=chunks, mentions=mentions, entity_documents=left_documents, document_hashes=hashes), counts)

@@ -65,7 +65,9 @@ def expanded(state: GraphState, start: DataFrame, hops: int, cap: int, since: in
     """
     first = start.select(F.col("id").alias("anchor"), "id")
     members = materialise(expand(in_time(state.edges, since, until), first, hops, per_anchor=True)).select("anchor", "id")
-    from_src = state.edges.join(members.withColumnRenamed("id", "src"), "src")
+    ids = materialise(members.select("id").distinct())
+    near = state.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")  # before anchors multiply them
+    from_src = near.join(members.withColumnRenamed("id", "src"), "src")
     edges = from_src.join(members.withColumnRenamed("id", "dst"), ["anchor", "dst"]).drop("anchor").dropDuplicates(["src", "dst", "chunk_id"])
     edges = materialise(edges)
     reached = hops_over(edges, start, hops + 1)
