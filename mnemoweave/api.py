@@ -115,6 +115,22 @@ class Memory:
         docs, raw = conversations.session_documents(files.sessions(self.spark, folder, project, since))
         return self._ingested(ingestion.ingest(self.state, docs, now, self.client, replace=True, raw=raw, embed=self.embed))
 
+    def ingest_lore(self, path: str, now: int) -> DataFrame:
+        """Entries of a lore file; nothing is done while the file as a whole is the one ingested before."""
+        rows = files.lore(self.spark, path)
+        docs = rows.select("source_document", "text", F.lit("Semantic").alias("memory_category"))
+        mark = rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_document", "sha256"))), lambda x: x["sha256"]), "\n"), 256).alias("sha256")).select(F.lit(files.LORE_MANIFEST).alias("document"), "sha256")
+        mark = materialise(mark)
+        known = not mark.join(self.state.document_hashes, ["document", "sha256"], "left_semi").isEmpty()
+        results = self.ingest(docs.limit(0) if known else docs, now, replace=True)
+        if not known:
+            self._changed(mutations.store_hashes(self.state, mark))
+        return results
+
+    def lore(self, question: str, k: int = 5) -> DataFrame:
+        """The entries of lore most similar to a question."""
+        return retrieval.search_under(self.state, files.LORE, self.embed([question])[0], self.embed, k)
+
     def _ingested(self, done: ingestion.Ingested) -> DataFrame:
         self._changed(GraphState(*map(materialise, done.state)))  # else plans grow with every call
         self.review = done.review if self.review is None else self.review.unionByName(done.review)

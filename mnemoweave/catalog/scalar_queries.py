@@ -69,3 +69,31 @@ _graph("x19_combined_score", lambda g: g.entities.select("id", F.round(X.combine
 _graph("x22_set_hash", lambda g: g.chunks.select("id", (X.set_hash(F.col("tags")) == X.set_hash(F.reverse("tags"))).alias("same")), "SELECT id, true AS same FROM chunks")
 _on("x38_type_label", "part", lambda d: d.select("p_partkey", X.type_label(X.type_name(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"Custom": "'), "p_type", F.lit('"}'))).otherwise("Person"))).alias("kind")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Custom(' || p_type || ')' ELSE 'Person' END AS kind FROM part")
 _on("p17_plugin_transcript", "conversations", lambda d: d.select("conv_id", "turn", transcript(messages(F.to_json(F.struct(F.array(F.struct("role", "text")).alias("messages"))))).alias("t")), "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN '' ELSE CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE role END || ': ' || text END AS t FROM conversations")
+
+
+# answers of a language model, written from parts in three forms
+def _answer(n):
+    return (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('```json\n[{"Name": "'), n, F.lit('", "TYPE": "Tool"}]\n```')))
+        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Sure! {'entities': [{'entity': '"), n, F.lit("', 'kind': 'Tool'},]}")))
+        .otherwise(F.concat(F.lit('1. {"mention": "'), n, F.lit('"}\n2. {"name": "Second", "category": "Other"}')))
+    )
+
+
+_on(
+    "x29_entities_in_answers", "part", lambda d: d.select("p_partkey", F.posexplode(X.entities_in(_answer(F.col("p_name")))).alias("pos", "e")).select("p_partkey", "pos", "e.name", "e.entity_type"),
+    "SELECT p_partkey, 0 AS pos, p_name AS name, CASE WHEN p_partkey % 3 = 2 THEN 'concept' ELSE 'tool' END AS entity_type FROM part UNION ALL SELECT p_partkey, 1, 'Second', 'other' FROM part WHERE p_partkey % 3 = 2",
+)
+_on(
+    "x31_batch_tags", "part", lambda d: d.select("p_partkey", F.posexplode(X.batch_tags(F.concat(F.lit('Here: {"1": [{"name": "'), "p_name", F.lit('"}], "3": []} done')), F.col("p_partkey") % 4 + 1)).alias("pos", "json")),
+    """SELECT p_partkey, CAST(k AS INT) AS pos, CASE k WHEN 0 THEN '[{"name":"' || p_name || '"}]' WHEN 2 THEN '[]' END AS json FROM part, range(4) AS r(k) WHERE k <= p_partkey % 4""",
+)
+_LABELS = ("decision", "discussion", "background")
+_on(
+    "x32_batch_labels", "orders", lambda d: d.select("o_orderkey", F.array_join(X.batch_labels(F.concat(F.lit("1. Decision\n2) "), F.when(F.col("o_orderstatus") == "F", "unsure").otherwise("discussion - "), F.lit("\n\nbackground\n4: decision")), _LABELS, F.lit(3)), ",").alias("labels")),
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'decision,background,decision' ELSE 'decision,discussion,background' END AS labels FROM orders",
+)
+_on(
+    "x33_single_label", "orders", lambda d: d.select("o_orderkey", X.single_label(F.concat(F.lit(" **"), F.when(F.col("o_orderstatus") == "F", "Decision").when(F.col("o_orderstatus") == "O", "nothing").otherwise("DISCUSSION"), F.lit("**. Since")), _LABELS).alias("label")),
+    "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'decision' WHEN 'O' THEN 'background' ELSE 'discussion' END AS label FROM orders",
+)

@@ -231,6 +231,12 @@ QUERIES["t13k_failed_sample"] = (lambda s, d: spool.failed_sample(_fragments(s,
 QUERIES["r8_retention"] = (lambda s, d: spool.retained(_fragments(s, d), 3_000_000, 30).select("id"), _FR + "SELECT id FROM f WHERE NOT (status = 'extracted' AND created_at < 3000000 - 30 * 86400)")
 
 
+_MOVED = lambda f: spool.moved(f, f.where("id % 7 = 0").select("id", F.concat(F.lit("e"), "id").alias("error")), "failed", 9)
+QUERIES["r5_moved"] = (lambda s, d: _MOVED(_fragments(s, d)).select("id", "extraction_status", "error"), _FR + "SELECT id, CASE WHEN id % 7 = 0 THEN 'failed' ELSE status END AS extraction_status, CASE WHEN id % 7 = 0 THEN 'e' || id WHEN status = 'failed' THEN 'boom' END AS error FROM f")
+QUERIES["r5_retry_failed"] = (lambda s, d: spool.retry_failed(_fragments(s, d)).select("id", "extraction_status", "error"), _FR + "SELECT id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS extraction_status, CAST(NULL AS VARCHAR) AS error FROM f")
+QUERIES["r5_reset_stale"] = (lambda s, d: spool.reset_stale(_fragments(s, d).withColumn("extraction_status", F.when(F.col("id") % 2 == 0, "extracting").otherwise("failed")), 200_000).select("id", "extraction_status"), _FR + "SELECT id, CASE WHEN id % 2 <> 0 THEN 'failed' WHEN created_at < 200000 - 3600 THEN 'pending' ELSE 'extracting' END AS extraction_status FROM f")
+
+
 def _file_events(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     kind = F.element_at(F.array(*map(F.lit, ("create", "modify", "remove", "rename", "other"))), (F.col("event_id") % 5 + 1).cast("int"))

@@ -49,24 +49,24 @@ def _written(name, part, before="", sql=""):
 
     def plan(spark, sf_dir):
         o = read(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-        docs = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("p")))), lambda x: x["p"]), "\n").alias("text"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        docs = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", part().alias("p")))), lambda x: x["p"]), "\n").alias("text"), F.count(F.lit(1)).alias("n")).where("n > 1")
         docs = docs.select(F.concat(F.lit("c"), "o_custkey").alias("source_document"), F.concat(F.lit(before), "text").alias("text"), F.lit("Episodic").alias("memory_category"))
         return P.parsed(docs).select("source_document", "position", "section_name", "speaker", "timestamp", "text")
 
     QUERIES[name] = (plan, "WITH o AS (SELECT *, 'c' || o_custkey AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) " + sql)
 
 
-_SPEAKS = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("**Clerk "), "o_orderkey", F.lit(":** "))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("**Agent**: "))).otherwise(F.concat(F.lit("Speaker "), "o_orderkey", F.lit(": ")))
+_SPEAKS = lambda: F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("**Clerk "), "o_orderkey", F.lit(":** "))).when(F.col("o_orderkey") % 3 == 1, F.lit("**Agent**: ")).otherwise(F.concat(F.lit("Speaker "), "o_orderkey", F.lit(": ")))
 _written(
-    "p3_transcript", F.concat(_SPEAKS, F.lit("Order "), "o_orderkey", F.lit(" is\n"), "o_orderstatus", F.lit(".\n")), "Short notes\n",
+    "p3_transcript", lambda: F.concat(_SPEAKS(), F.lit("Order "), "o_orderkey", F.lit(" is\n"), "o_orderstatus", F.lit(".\n")), "Short notes\n",
     "SELECT d AS source_document, CAST(i - 1 AS INT) AS position, CAST(NULL AS VARCHAR) AS section_name, CASE o_orderkey % 3 WHEN 0 THEN 'Clerk ' || o_orderkey WHEN 1 THEN 'Agent' ELSE 'Speaker ' || o_orderkey END AS speaker, CAST(NULL AS BIGINT) AS \"timestamp\", 'Order ' || o_orderkey || ' is' || chr(10) || o_orderstatus || '.' AS text FROM o WHERE n > 1",
 )
 _written(
-    "p4_markdown", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "## ").otherwise("### "), F.lit("Order "), "o_orderkey", F.lit("\n\n Of "), "o_custkey", F.lit(" \n  \nPriority "), "o_orderpriority", F.lit("\n")), "",
+    "p4_markdown", lambda: F.concat(F.when(F.col("o_orderkey") % 2 == 0, "## ").otherwise("### "), F.lit("Order "), "o_orderkey", F.lit("\n\n Of "), "o_custkey", F.lit(" \n  \nPriority "), "o_orderpriority", F.lit("\n")), "",
     "SELECT d AS source_document, CAST(2 * (i - 1) + k AS INT) AS position, 'Order ' || o_orderkey AS section_name, CAST(NULL AS VARCHAR) AS speaker, CAST(NULL AS BIGINT) AS \"timestamp\", CASE k WHEN 0 THEN 'Of ' || o_custkey ELSE 'Priority ' || o_orderpriority END AS text FROM o, range(2) AS r(k) WHERE n > 1",
 )
 _written(
-    "p5_date_sections", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "## ").otherwise(""), "day", F.lit("\nOrder "), "o_orderkey", F.lit(".\n\nStatus "), "o_orderstatus", F.lit("\n")), "",
+    "p5_date_sections", lambda: F.concat(F.when(F.col("o_orderkey") % 2 == 0, "## ").otherwise(""), "day", F.lit("\nOrder "), "o_orderkey", F.lit(".\n\nStatus "), "o_orderstatus", F.lit("\n")), "",
     "SELECT d AS source_document, CAST(i - 1 AS INT) AS position, strftime(o_orderdate, '%Y-%m-%d') AS section_name, CAST(NULL AS VARCHAR) AS speaker, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS \"timestamp\", 'Order ' || o_orderkey || '.' || chr(10) || chr(10) || 'Status ' || o_orderstatus AS text FROM o WHERE n > 1",
 )
 
@@ -86,3 +86,7 @@ QUERIES["p9_session_chunks"] = (
 ), p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k FROM e WHERE text <> '')
 SELECT 'claude-session://proj/s' || conv_id AS source_document, CAST(k - 1 AS INT) AS position, 'Exchange ' || k AS section_name, text FROM p""",
 )
+QUERIES["a22_file_similarity"] = (
+    lambda spark, sf_dir: E.top_similar(read(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("vector")), "label", read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"], 5).select("label", F.round("similarity", 6).alias("similarity")),
+    f"SELECT label, round(max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC})), 6) AS similarity FROM embeddings GROUP BY label ORDER BY max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VEC})) DESC, label LIMIT 5",
+)

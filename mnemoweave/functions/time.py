@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 __all__ = ["day", "day_in_text", "day_seconds", "iso_seconds", "cli_seconds"]
 
+#: The spellings of a date that are read.
 _FORMATS = ("yyyy-MM-dd", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy")
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
 

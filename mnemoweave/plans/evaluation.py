@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -67,6 +68,29 @@ def run(metrics: dict[str, Callable[[], DataFrame]]) -> list[dict]:
     return out
 
 
+def report_text(results: list[dict], counts: dict[str, int], warnings: int = 10) -> str:
+    """A report to read: counts, a line for each metric with its winner, how often the graph won, the first warnings."""
+    shown = lambda v: "--" if v is None else f"{v:.4f}"
+    width = max([len(r["name"]) for r in results], default=6)
+    lines = [", ".join(f"{v} {k}" for k, v in counts.items()), f"{'metric':<{width}}  {'graph':>8}  {'baseline':>8}  winner"]
+    winners = []
+    for r in results:
+        s, b = r.get("score"), r.get("baseline_score")
+        winner = "--" if s is None or b is None else "graph" if s > b + WIN_MARGIN else "baseline" if s < b - WIN_MARGIN else "tie"
+        winners += [winner] if winner != "--" else []
+        lines.append(f"{r['name']:<{width}}  {shown(s):>8}  {shown(b):>8}  {winner}")
+    if winners:
+        lines.append(f"graph ahead in {winners.count('graph')} of {len(winners)} compared metrics")
+    errors = [f"{r['name']}: {r['error']}" for r in results if r.get("error")]
+    lines += [f"- {e}" for e in errors[:warnings]] + ([f"- and {len(errors) - warnings} more"] if len(errors) > warnings else [])
+    return "\n".join(lines)
+
+
+def report_json(results: list[dict], counts: dict[str, int], at: int) -> str:
+    """The same as JSON, with the time."""
+    return json.dumps({"at": at, "counts": counts, "metrics": results}, indent=2, sort_keys=True)
+
+
 def baseline_index(docs: DataFrame, embed: Embedder = hashing_embedder) -> DataFrame:
     """(id, source_document, text, vector): the chunks of documents with vectors, and no graph."""
     chunks = parsed(docs).withColumn("id", F.concat_ws("#", "source_document", "position"))

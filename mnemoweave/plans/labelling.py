@@ -48,7 +48,10 @@ class RuleClient:
 
 
 class DegradedClient(RuleClient):
-    """A client whose answers fail or come malformed now and then, the same ones in every run."""
+    """A client whose answers fail or come malformed now and then, the same ones in every run.
+
+    The defaults are fixed values of the evaluation.
+    """
 
     def __init__(self, failure: float = 0.10, malformed: float = 0.15, seed: int = 42):
         self.failure, self.malformed, self.seed = failure, malformed, seed

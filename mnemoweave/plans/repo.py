@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoweave.functions import distance_weight, language_of, stars
+from mnemoweave.functions import combined_score, distance_weight, language_of, stars
 from mnemoweave.operators.aggregates import greedy_packed
 from mnemoweave.operators.lookups import noise_file
 from mnemoweave.storage import materialise
@@ -137,18 +137,44 @@ def packed(candidates: DataFrame, budget: int) -> DataFrame:
     return candidates.agg(greedy_packed(row, budget).alias("x")).select("x.used", "x.ids")
 
 
+EXTENDED_FILES, SPARSE = 100, 20  # files one step further on, and how few of them are filled up
+SIMILAR_FILES, RANKED_FILES = 50, 100  # that fill them up
+
+
+def context_files(repo: RepoState, ranks: DataFrame, similar: DataFrame, anchors: int, neighbours: int, explicit: DataFrame | None = None, hops: int = 2) -> DataFrame:
+    """(path, tier, score) of files for a question's context, each in its first tier.
+
+    0: files asked for.  1: ``anchors`` of the most similar, by similarity and rank.  2: what is around them.  3: what is one
+    step from all of those.  Where tier 3 is sparse, 4: more of the similar ones, and if it still is, 5: those of the
+    highest rank.
+    """
+    ranked = ranks.withColumnRenamed("id", "path")
+    top = ranks.agg(F.max("rank").alias("top"))
+    pool = similar.orderBy(F.desc("similarity"), "path").limit(3 * anchors)
+    score = combined_score(F.col("similarity").cast("double"), F.coalesce("rank", F.lit(0.0)), F.coalesce("top", F.lit(0.0)))
+    close = pool.join(ranked, "path", "left").join(top).select("path", F.lit(1).alias("tier"), score.alias("score")).orderBy(F.desc("score"), "path").limit(anchors)
+    asked = (explicit if explicit is not None else repo.files.limit(0)).select("path", F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
+    start = materialise(asked.unionByName(close))
+    near = materialise(neighbourhood(repo.edges, start, hops, start, neighbours).select("path", F.lit(2).alias("tier"), F.col("weight").alias("score")))
+    found = start.unionByName(near)
+    more = materialise(neighbourhood(repo.edges, found, 1, found, EXTENDED_FILES).select("path", F.lit(3).alias("tier"), F.col("weight").alias("score")))
+    if more.count() < SPARSE:
+        more = more.unionByName(similar.orderBy(F.desc("similarity"), "path").limit(SIMILAR_FILES).select("path", F.lit(4).alias("tier"), F.col("similarity").cast("double").alias("score")))
+        more = materialise(more.join(found.select("path"), "path", "left_anti"))
+        if more.select("path").distinct().count() < SPARSE:
+            more = more.unionByName(ranked.orderBy(F.desc("rank"), "path").limit(RANKED_FILES).select("path", F.lit(5).alias("tier"), F.col("rank").alias("score")))
+    best = found.unionByName(more).groupBy("path").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("k"))
+    return best.select("path", "k.tier", (-F.col("k.s")).alias("score"))
+
+
 def context(repo: RepoState, ranks: DataFrame, similar: DataFrame, budget: int, explicit: DataFrame | None = None, hops: int = 2) -> str:
-    """A repository's context for a question: the ranked map, then files while they fit: those asked for, the most
-    similar of (path, similarity), and what is around them; noise and blank files are left out."""
+    """A repository's context for a question: the ranked map, then the files of ``context_files`` while they fit; noise and
+    blank files are left out."""
     p = adaptive(repo.files.count(), budget)
     shown = map_text(ranked_map(repo.files, repo.edges, ranks, p["listed"]))[: p["map_tokens"] * 4]
-    asked = (explicit if explicit is not None else repo.files.limit(0)).select("path", F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
-    close = similar.orderBy(F.desc("similarity"), "path").limit(p["anchors"]).select("path", F.lit(1).alias("tier"), F.col("similarity").cast("double").alias("score"))
-    start = materialise(asked.unionByName(close))
-    near = neighbourhood(repo.edges, start, hops, start, p["neighbours"]).select("path", F.lit(2).alias("tier"), F.col("weight").alias("score"))
-    best = start.unionByName(near).groupBy("path").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("k"))
-    rows = best.join(repo.files, "path").where((F.trim("content") != "") & ~noise_file(F.col("path"), F.col("content")))
-    order = Window.orderBy("k.tier", "k.s", "path")
+    chosen = context_files(repo, ranks, similar, p["anchors"], p["neighbours"], explicit, hops)
+    rows = chosen.join(repo.files, "path").where((F.trim("content") != "") & ~noise_file(F.col("path"), F.col("content")))
+    order = Window.orderBy("tier", F.desc("score"), "path")  # over as many rows as the tiers hold at most
     rows = materialise(rows.select(F.col("path").alias("id"), "content", F.ceil(F.length("content") / 4).cast("int").alias("tokens"), F.row_number().over(order).alias("place")))
     taken = packed(rows, budget - p["map_tokens"]).first()["ids"]
     texts = {r["id"]: r["content"] for r in rows.where(F.col("id").isin(taken)).collect()}

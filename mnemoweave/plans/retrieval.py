@@ -5,6 +5,7 @@ Only counts and the few kept rows reach the driver; everything before the last t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from mnemoweave.functions import combined_score, cosine, day, distance_weight, path_stem, quoted, score_weight
 from mnemoweave.operators.aggregates import hops_of_chunks, statistics
-from mnemoweave.operators.relations import chunks_of_entities
+from mnemoweave.operators.relations import chunks_of_entities, prefix_search
+from mnemoweave.plans.embedding import embedded
 from mnemoweave.plans.traversal import expand, hops_over, in_time
 from mnemoweave.state import GraphState
 from mnemoweave.storage import materialise
@@ -166,3 +168,10 @@ def recent_events(state: GraphState, members: DataFrame, hops: int = 2, limit: i
     """Chunks around members within ``hops`` over edges in time, newest first."""
     near = expand(in_time(state.edges, since, until), members.select(F.lit(None).cast("string").alias("anchor"), "id"), hops).select("id")
     return chunks_of_entities(state, near).orderBy(F.coalesce("timestamp", F.lit(0)).desc(), "id").limit(limit)
+
+
+def search_under(state: GraphState, prefix: str, query: list[float], embed: Callable[[list[str]], list[list[float]]], k: int = 5) -> DataFrame:
+    """(id, source_document, text, similarity): the k chunks most similar to a vector of those whose source begins with ``prefix``."""
+    rows = embedded(prefix_search(state, prefix).select("id", "source_document", "text"), "text", embed)
+    q = F.array(*(F.lit(float(x)) for x in query))
+    return rows.select("id", "source_document", "text", cosine(F.col("vector"), q).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)

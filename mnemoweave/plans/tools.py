@@ -85,10 +85,16 @@ class Tools:
         if call.tool not in self.known:
             return f"unknown tool {call.tool}"
         try:
-            rows = self.known[call.tool](*call.args).limit(50).collect()
+            rows = self.known[call.tool](*call.args)
         except TypeError as e:
             return f"wrong arguments: {e}"
-        return "\n".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows)[:RESULT_CHARS]
+        out, chars = [], 0
+        for r in rows.toLocalIterator():  # no more than are shown
+            out.append(", ".join(f"{k}={v}" for k, v in r.asDict().items()))
+            chars += len(out[-1]) + 1
+            if chars > RESULT_CHARS:
+                break
+        return "\n".join(out)[:RESULT_CHARS]
 
 
 def converse(ask, tools: Tools, question: str, rounds: int = ROUNDS) -> str:

@@ -13,6 +13,9 @@ from mnemoweave.functions import path_category
 from mnemoweave.operators.lookups import watched
 from mnemoweave.sources import tree
 
+#: Fixed value: how sources of lore begin.
+LORE = "lore://entry/"
+LORE_MANIFEST = "lore://manifest"
 IGNORED_DIRS = (".git", "node_modules", "target", "__pycache__", ".venv")
 
 
@@ -67,7 +70,7 @@ def overflow(spark: SparkSession, root: str) -> DataFrame:
 def lore(spark: SparkSession, path: str) -> DataFrame:
     """(source_document, text, sha256) of a JSON array of strings."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("i", "text"))
-    return rows.select(F.concat(F.lit("lore://entry/"), F.col("i")).alias("source_document"), "text", F.sha2("text", 256).alias("sha256"))
+    return rows.select(F.concat(F.lit(LORE), F.col("i")).alias("source_document"), "text", F.sha2("text", 256).alias("sha256"))
 
 
 def evaluation_queries(spark: SparkSession, path: str, types: tuple[str, ...]) -> DataFrame:

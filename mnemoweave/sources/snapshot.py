@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from uuid import uuid4
 
 from pyspark.errors import PySparkException
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoweave import schemas
+from mnemoweave.operators.relations import export_subgraph
 from mnemoweave.state import GraphState
 
 KEPT = 4
@@ -134,9 +136,23 @@ def recover(spark: SparkSession, root: str) -> GraphState:
     return load(spark, root, found) if found else GraphState.empty(spark)
 
 
+def write_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """A small text file, such as a report, written aside and moved over an old one."""
+    _Folder(spark, folder).replace(name, text)
+
+
 def json_rows(state: GraphState) -> DataFrame:
     """(kind, json): every row of the graph as JSON."""
-    parts = [df.select(F.lit(name).alias("kind"), F.to_json(F.struct(*df.columns)).alias("json")) for name, df in state._asdict().items()]
+    return _as_json(state._asdict())
+
+
+def subgraph_json(state: GraphState, ids: Sequence[str]) -> DataFrame:
+    """(kind, json): the entities of some ids, the edges between them and the chunks of those, as JSON."""
+    return _as_json(dict(zip(("entities", "edges", "chunks"), export_subgraph(state, ids))))
+
+
+def _as_json(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = [df.select(F.lit(name).alias("kind"), F.to_json(F.struct(*df.columns)).alias("json")) for name, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

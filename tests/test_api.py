@@ -8,7 +8,7 @@ from graphs import core
 from pyspark.sql import functions as F
 
 from mnemoweave.api import Memory
-from mnemoweave.plans import embedding, tools
+from mnemoweave.plans import embedding, evaluation, tools
 from mnemoweave.sources import capture, files, snapshot
 
 
@@ -119,6 +119,26 @@ def test_sessions_are_ingested_and_reingested(spark, tmp_path):
     assert m.reingest(docs, 500).count() == 1 and m.state.chunks.count() == before
 
 
+def test_lore_is_ingested_once_and_searched(spark, tmp_path):
+    (tmp_path / "lore.json").write_text(json.dumps(["We decided that Ann Lee leads Falcon.", "The blue door is locked."]))
+    m = Memory(spark, str(tmp_path / "graph"))
+    assert m.ingest_lore(str(tmp_path / "lore.json"), 100).count() == 2
+    assert m.ingest_lore(str(tmp_path / "lore.json"), 200).count() == 0
+    assert [r["source_document"] for r in m.lore("which door is blue", 1).collect()] == ["lore://entry/1"]
+    (tmp_path / "lore.json").write_text(json.dumps(["We decided that Ann Lee leads Falcon.", "The red door is open."]))
+    assert m.ingest_lore(str(tmp_path / "lore.json"), 300).count() == 1 and m.state.chunks.where("text like '%blue%'").count() == 0
+
+
+def test_reports_and_json_of_a_part(spark, tmp_path):
+    results = [{"name": "precision", "score": 0.5, "baseline_score": 0.4, "error": None}, {"name": "recall", "score": 0.5, "baseline_score": 0.505, "error": None}, {"name": "bad", "error": "division"}]
+    text = evaluation.report_text(results, {"documents": 3})
+    assert "graph ahead in 1 of 2" in text and "- bad: division" in text and text.startswith("3 documents")
+    snapshot.write_text(spark, str(tmp_path), "report.json", evaluation.report_json(results, {"documents": 3}, 7))
+    assert json.loads((tmp_path / "report.json").read_text())["metrics"][0]["name"] == "precision"
+    rows = [(r["kind"], json.loads(r["json"])) for r in snapshot.subgraph_json(core(spark), ["e-nils", "e-atlas"]).collect()]
+    assert {x["id"] for k, x in rows if k == "entities"} == {"e-nils", "e-atlas"} and any(k == "edges" for k, _ in rows)
+
+
 def test_context_of_a_situation(spark):
     """Brief: entities named or similar, relations, open items; full: events too; time bounds the edges that lead to them."""
     from pyspark.sql import functions as F

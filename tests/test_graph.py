@@ -8,7 +8,7 @@ from graphs import T0, core, graph
 from pyspark.sql import functions as F
 
 from mnemoweave import functions as X
-from mnemoweave import schemas
+from mnemoweave import schemas, sqlviews
 from mnemoweave.operators import aggregates, lookups, relations
 from mnemoweave.plans import agent, mutations, ranking, reflection, retrieval, similarity, traversal
 from mnemoweave.sources import snapshot
@@ -204,6 +204,18 @@ def test_hashed_vector_pairs_miss_few_and_do_not_pair_copies(spark):
     assert tables < 400 and 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** planes) ** tables >= 0.99
 
 
+def test_lookups_in_sql(spark):
+    names = sqlviews.register(spark, core(spark), "kg_")
+    assert {"kg_entities", "kg_cooccurrences_of"} <= set(names)
+    rows = lambda q: sorted(tuple(r) for r in spark.sql(q).collect())
+    assert rows("SELECT id FROM kg_entities_named('nils berg')") == [("e-nils",)]
+    near = {r["neighbor"]: r["n"] for r in spark.sql("SELECT * FROM kg_cooccurrences_of('e-nils')").collect()}
+    assert near == {r["id"]: r["count"] for r in relations.neighbour_counts(core(spark), "e-nils").collect()}
+    assert rows("SELECT e.id, c.neighbor FROM kg_entities e, LATERAL kg_cooccurrences_of(e.id) c WHERE e.id = 'e-wasm'") == [("e-wasm", n) for (n,) in rows("SELECT neighbor FROM kg_cooccurrences_of('e-wasm')")]
+    assert rows("SELECT chunk_id FROM kg_evidence_between('e-nils', 'e-kaia')") == rows("SELECT chunk_id FROM kg_evidence_between('e-kaia', 'e-nils')") != []
+    assert len(rows("SELECT id FROM kg_chunks_of('e-nils')")) == relations.temporal_chain(core(spark), "e-nils").count()
+
+
 def test_document_removal_keeps_entities_that_live_elsewhere(spark):
     g = core(spark)
     doc = spark.createDataFrame([("plans/atlas.md",)], "document string")

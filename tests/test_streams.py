@@ -116,6 +116,19 @@ def test_repository_neighbourhood_and_updates(spark):
     assert repo.adaptive(1000, 1000)["listed"] == 75
 
 
+def test_context_files_come_in_tiers(spark):
+    paths = [f"f{i}" for i in range(40)]
+    r = repo.built(spark.createDataFrame([(f"{p}.py", "x") for p in paths], "path string, content string"))
+    r = r._replace(edges=spark.createDataFrame([("f0.py", "f1.py", "SymbolUsage"), ("f1.py", "f2.py", "SymbolUsage"), ("f2.py", "f3.py", "SymbolUsage"), ("f5.py", "f6.py", "Import")], schemas.FILE_EDGES))
+    ranks = r.files.select(F.col("path").alias("id"), F.when(F.col("path") == "f5.py", 1.0).otherwise(0.1).alias("rank"))
+    similar = spark.createDataFrame([("f0.py", 0.9), ("f4.py", 0.6), ("f5.py", 0.55), ("f7.py", 0.1)], "path string, similarity double")
+    asked = spark.createDataFrame([("f9.py",)], "path string")
+    got = {x["path"]: x["tier"] for x in repo.context_files(r, ranks, similar, 2, 2, asked, hops=1).collect()}
+    assert {p for p, t in got.items() if t == 0} == {"f9.py"} and {p for p, t in got.items() if t == 1} == {"f0.py", "f5.py"}  # rank lifts f5 over f4
+    assert {p for p, t in got.items() if t == 2} == {"f1.py", "f6.py"} and {p for p, t in got.items() if t == 3} == {"f2.py"}
+    assert {p for p, t in got.items() if t == 4} == {"f4.py", "f7.py"} and len(got) == 40
+
+
 def test_repository_context_skips_what_does_not_fit(spark):
     r = repo.built(spark.createDataFrame([("a.py", "a" * 400), ("b.py", "b" * 4000), ("c.py", "c" * 40), ("test_x.py", "t"), ("d.py", " ")], "path string, content string"))
     r = r._replace(edges=spark.createDataFrame([("a.py", "b.py", "SymbolUsage"), ("a.py", "c.py", "SymbolUsage"), ("a.py", "test_x.py", "Import")], schemas.FILE_EDGES))
