@@ -38,10 +38,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written to a table in the shared folder and read again, which cuts the lineage and packs columns."""
+def stored(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+    """The rows of ``df`` written to a table in the shared folder and read again, which cuts the lineage and packs columns.
+
+    ``group_bytes`` bounds what a task gathers before it writes, where rows are large.
+    """
     path = f"{shared_folder(df.sparkSession)}/mw-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.size": group_bytes} if group_bytes else {})).parquet(path)
     atexit.register(_remove, df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path

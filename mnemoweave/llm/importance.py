@@ -33,6 +33,7 @@ LEAST_WORDS = 20
 DRAWN_PERCENT = 5
 SEED = 42
 PIECE_CHARS = 400_000  # a longer text is cut between words
+GROUP_BYTES = 16_000_000  # of spilled counts that a task gathers before it writes
 SCORED_ROWS = 512  # whose counts are looked up at once
 SLICE_CHARS = 400_000  # the pieces that one statement takes, at the least
 
@@ -204,7 +205,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = DRAWN_PERCENT, l
 
     ``target`` has a column text.
     """
-    counts = stored(bucket_counts(docs, buckets))
+    counts = stored(bucket_counts(docs, buckets), GROUP_BYTES)
     wanted = stored(bucket_counts(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), buckets))
     hashed = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((hashed + 0.5) / 4294967296.0)))
