@@ -56,7 +56,10 @@ WITH w AS (
 )
 SELECT text, CAST(c % $buckets AS INTEGER) AS bucket, count(*) AS n FROM (SELECT text, unnest([c1, c2, c3]) AS c FROM three WHERE pos > skip) WHERE c IS NOT NULL GROUP BY ALL
 """
-_SPILL = "doc_id long, whole boolean, n_words long, n_features long, buckets array<int>, counts array<int>"
+#: A document's counts are ``packed``: a bucket and its count after the other, as two bytes each; a larger count stands in
+#: several pairs.  Totals of a task have lists.
+_SPILL = "doc_id long, whole boolean, n_words long, n_features long, packed binary, buckets array<int>, counts array<long>"
+_MOST = (1 << 16) - 1
 
 
 def _crc(words: pa.ChunkedArray) -> pa.Array:
@@ -115,24 +118,35 @@ class _Counter:
 
     def totals(self) -> pa.RecordBatch:
         full = np.flatnonzero(self.total)
-        row = _spilled([None], True, [full], [self.total[full]])
+        one = lambda values, kind: pa.array([values], kind)
+        row = [one(None, pa.int64()), one(True, pa.bool_()), one(0, pa.int64()), one(0, pa.int64()), one(None, pa.binary()), one(full, pa.list_(pa.int32())), one(self.total[full], pa.list_(pa.int64()))]
         self.total[:] = 0
-        return row
+        return pa.RecordBatch.from_arrays(row, names=_NAMES)
 
 
-def _spilled(ids: Sequence, whole: bool, buckets: Sequence[np.ndarray], counts: Sequence[np.ndarray]) -> pa.RecordBatch:
-    ends = pa.array(np.append(0, np.cumsum([len(b) for b in buckets])).astype(np.int32))
-    flat = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind))
-    lists = [pa.ListArray.from_arrays(ends, flat(buckets, np.int32)), pa.ListArray.from_arrays(ends, flat(counts, np.int32))]
-    features = np.array([c.sum() for c in counts], np.int64)
+_NAMES = [c.split()[0] for c in _SPILL.split(", ")]
+
+
+def _packed(buckets: np.ndarray, counts: np.ndarray) -> bytes:
+    times = -(-counts // _MOST)
+    pairs = np.empty((int(times.sum()), 2), "<u2")
+    pairs[:, 0] = np.repeat(buckets, times)
+    pairs[:, 1] = _MOST
+    pairs[np.cumsum(times) - 1, 1] = counts - (times - 1) * _MOST
+    return pairs.tobytes()
+
+
+def _spilled(ids: Sequence, found: Sequence[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    features = np.array([c.sum() for _, c in found], np.int64)
     words = np.where(features > 1, features // RUN_WORDS + 1, features)  # n words have n + (n - 1) + (n - 2) runs
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([whole] * len(ids)), pa.array(words), pa.array(features), *lists], names=["doc_id", "whole", "n_words", "n_features", "buckets", "counts"])
+    lists = [pa.nulls(len(ids), pa.list_(kind)) for kind in (pa.int32(), pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([False] * len(ids)), pa.array(words), pa.array(features), pa.array([_packed(*x) for x in found], pa.binary()), *lists], names=_NAMES)
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The spilled counts: a row for each row of (doc_id, text) with ``whole`` false, and a row of totals for each task.
 
-    A task holds one batch of texts, one slice of words, and dense counts of the one text that goes on in the next slice.
+    A task holds one batch of texts, one slice of words, and the counts of the texts in it.  At most 65,536 buckets.
     """
 
     none = np.empty(0, np.int64)
@@ -146,7 +160,7 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             held, chars, given = [], 0, 0
 
             def rows(start: int, end: int) -> pa.RecordBatch:
-                return _spilled(ids[start:end], False, *zip(*[ready.pop(i, (none, none)) for i in range(start, end)]))
+                return _spilled(ids[start:end], [ready.pop(i, (none, none)) for i in range(start, end)])
 
             for i in range(len(ids)):
                 for body, skip in _pieces(texts[i].as_py() or ""):
@@ -191,13 +205,13 @@ def weighted(counts: DataFrame, gain: DataFrame, buckets: int = BUCKETS) -> Data
         for whole in batches:
             for at in range(0, whole.num_rows, SCORED_ROWS):
                 batch = whole.slice(at, SCORED_ROWS)
-                ends = batch.column(3).offsets.to_numpy()
-                bucket, n = (batch.column(c).values.to_numpy()[ends[0] : ends[-1]] for c in (3, 4))  # both have the same offsets
-                run = np.append(0, np.cumsum(held[bucket] * n))
-                sums = run[ends[1:] - ends[0]] - run[ends[:-1] - ends[0]]
+                ends = np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset :][: batch.num_rows + 1]
+                pairs = np.frombuffer(batch.column(3).buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view("<u2").reshape(-1, 2)
+                run = np.append(0, np.cumsum(held[pairs[:, 0]] * pairs[:, 1]))
+                sums = run[(ends[1:] - ends[0]) // 4] - run[(ends[:-1] - ends[0]) // 4]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums)], names=["doc_id", "n_words", "n_features", "weight"])
 
-    return counts.where("not whole").select("doc_id", "n_words", "n_features", "buckets", "counts").mapInArrow(score, "doc_id long, n_words long, n_features long, weight long")
+    return counts.where("not whole").select("doc_id", "n_words", "n_features", "packed").mapInArrow(score, "doc_id long, n_words long, n_features long, weight long")
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = DRAWN_PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
