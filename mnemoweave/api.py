@@ -133,7 +133,7 @@ class Memory:
 
     def _ingested(self, done: ingestion.Ingested) -> DataFrame:
         self._changed(GraphState(*map(materialise, done.state)))  # else plans grow with every call
-        self.review = done.review if self.review is None else self.review.unionByName(done.review)
+        self.review = materialise(done.review if self.review is None else self.review.unionByName(done.review))
         return done.results
 
     def forget(self, reference: str) -> None:

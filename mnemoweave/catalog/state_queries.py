@@ -341,3 +341,34 @@ def _reembedded(g):
 
 
 _add("e4_refreshed_vectors", _reembedded, 'SELECT id AS entity_id, CASE WHEN access_count % 3 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS pass FROM entities WHERE access_count % 5 <> 1')
+
+
+# a repository: regions, nations that import them, customers that use nations' symbols; one region and every tenth customer go
+def _repository(s, d):
+    named = lambda t, c, k: read(s, d, t).select(F.concat(F.lit(k), c, F.lit(".py")).alias("path"))
+    n, c = read(s, d, "nation"), read(s, d, "customer")
+    files = named("region", "r_regionkey", "r").unionByName(named("nation", "n_nationkey", "n")).unionByName(named("customer", "c_custkey", "c"))
+    files = files.select("path", F.lit("Python").alias("language"), F.lit("x").alias("content"), F.lit(0).cast("long").alias("content_hash"))
+    edges = n.select(F.concat(F.lit("n"), "n_nationkey", F.lit(".py")).alias("src"), F.concat(F.lit("r"), "n_regionkey", F.lit(".py")).alias("dst"), F.lit("Import").alias("kind"))
+    edges = edges.unionByName(c.select(F.concat(F.lit("c"), "c_custkey", F.lit(".py")).alias("src"), F.concat(F.lit("n"), "c_nationkey", F.lit(".py")).alias("dst"), F.lit("SymbolUsage").alias("kind")))
+    defs = read(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("symbol"), F.concat(F.lit("n"), "s_nationkey", F.lit(".py")).alias("path"))
+    uses = c.select(F.concat(F.lit("c"), "c_custkey", F.lit(".py")).alias("path"), F.concat(F.lit("s"), (F.col("c_custkey") % 50).cast("string")).alias("symbol"))
+    return repo.RepoState(files, edges, defs, uses, s.createDataFrame([], "target string, importer string"))
+
+
+_leaves = lambda df: df.where("path = 'r2.py' or path rlike '^c[0-9]*3[.]py$'").select("path")
+QUERIES["a2_statistics_of_files"] = (
+    lambda s, d: (lambda r: repo.statistics(repo.without_files(r, _leaves(r.files))))(_repository(s, d)),
+    "SELECT (SELECT count(*) FROM customer WHERE c_custkey % 10 <> 3) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region WHERE r_regionkey <> 2) AS files, (SELECT count(*) FROM nation WHERE n_regionkey <> 2) AS imports, (SELECT count(*) FROM customer WHERE c_custkey % 10 <> 3) AS usages, (SELECT count(*) FROM supplier) AS symbols, (SELECT count(*) FROM customer WHERE c_custkey % 10 <> 3) AS files_with_usages, (SELECT count(*) FROM nation WHERE n_regionkey = 2) AS unresolved",
+)
+QUERIES["f21_unresolved_imports"] = (lambda s, d: (lambda r: repo.unresolved(repo.without_files(r, _leaves(r.files)), 10))(_repository(s, d)), "SELECT 'r2.py' AS target, count(*) AS waiters FROM nation WHERE n_regionkey = 2")
+QUERIES["f23_inconsistencies_of_files"] = (
+    lambda s, d: (lambda r: repo.inconsistencies(r._replace(files=r.files.join(_leaves(r.files), "path", "left_anti"))))(_repository(s, d)),
+    "SELECT 'edge' AS what, 'r2.py' AS path UNION ALL SELECT k, 'c' || c_custkey || '.py' FROM customer, (VALUES ('edge'), ('symbol')) v(k) WHERE c_custkey % 10 = 3",
+)
+QUERIES["j23_waiting_imports"] = (
+    lambda s, d: (lambda r: repo.with_file(repo.without_files(r, _leaves(r.files)), s.createDataFrame([("r2.py", "back")], "path string, content string")).edges)(_repository(s, d)),
+    "SELECT 'n' || n_nationkey || '.py' AS src, 'r' || n_regionkey || '.py' AS dst, 'Import' AS kind FROM nation UNION ALL SELECT 'c' || c_custkey || '.py', 'n' || c_nationkey || '.py', 'SymbolUsage' FROM customer WHERE c_custkey % 10 <> 3",
+)
+_add("w8_rank_listing", lambda g: A.rank_listing(g.entities.select("id", "access_count"), [F.desc("access_count"), F.col("id")], 50), "SELECT row_number() OVER (ORDER BY access_count DESC, id) AS place, id, access_count FROM entities ORDER BY access_count DESC, id LIMIT 50")
+_add("a24_share_of_top", lambda g: A.share_of_top(g.entities.select("id", "access_count"), "access_count").select("id", F.round("share", 9).alias("share")), "SELECT id, round(access_count / (SELECT max(access_count) FROM entities)::DOUBLE, 9) AS share FROM entities")

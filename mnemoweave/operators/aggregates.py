@@ -51,6 +51,17 @@ def top_neighbours(state: GraphState, k: int) -> DataFrame:
     return n.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def rank_listing(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows in order with their ``place``, from 1."""
+    return rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # over k rows
+
+
+def share_of_top(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``share``: a column over its largest value, which counts as 1 where it is 0."""
+    top = rows.agg(F.max(column).alias("_top"))
+    return rows.join(top).withColumn("share", F.col(column) / F.when(F.col("_top") == 0, 1).otherwise(F.col("_top"))).drop("_top")
+
+
 def last_seen(state: GraphState) -> DataFrame:
     """(id, last_seen): the latest dated edge, else the entity's update."""
     latest = state.edges.groupBy(F.col("src").alias("id")).agg(F.max("timestamp").alias("latest"))
