@@ -281,8 +281,8 @@ def test_mentions_query_searches_every_text_for_every_name(spark, data):
 
     e = [(r["id"], r["canonical_name"], list(r["aliases"])) for r in tables(spark, data).entities.select("id", "canonical_name", "aliases").collect()]
     want = {}
-    for text_id, own, _ in e:
-        text = f"About {own}5 and {own}.".lower()
+    for text_id, own, known in e:
+        text = f"About {own}5 and {own}. Bought as x{known[0]}; ring, {own.split(' ')[1]}".lower()
         for i, name, aliases in e:
             for n, match in [(name.lower(), 0.7), *((a.lower(), 0.6) for a in aliases)]:
                 if len(n) >= 3 and n in text:
