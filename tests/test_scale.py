@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemoweave import schemas
 from mnemoweave.operators import aggregates, relations
-from mnemoweave.plans import ingestion, mutations, reflection
+from mnemoweave.plans import ingestion, mutations, ranking, reflection
 
 
 def _edges(spark):
@@ -82,3 +82,32 @@ def test_alias_merges_are_those_of_all_pairs(spark):
         want = {(a, b) for a in names for b in names if a < b and kind[a] == kind[b] and len(names[a] & names[b]) >= threshold * len(names[a] | names[b])}
         assert sorted(tuple(sorted((r["keep_id"], r["merge_id"]))) for r in pairs.collect()) == sorted(want)
         assert key(reflection.alias_merges(g, threshold)) == key(reflection.merge_order(pairs))
+
+
+def test_pagerank_shuffles_vectors_instead_of_edges(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SIDE_NODES", 100, raising=False)
+    monkeypatch.setattr(ranking, "PIECE_EDGES", 500, raising=False)
+    draw = random.Random(3)
+    rows = [(f"n{draw.randrange(300)}", f"n{draw.randrange(300)}", draw.choice((0.0, 0.5, 2.0))) for _ in range(20_000)]
+    rows += [("n1", "gone", 40.0), ("gone", "n2", 40.0), ("n3", None, 9.0), (None, "n4", 9.0), ("n5", "n6", None)]
+    nodes = [f"n{i}" for i in range(310)] + ["n0", None]
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    got = {r["id"]: r["rank"] for r in ranking.pagerank(spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(rows, "src string, dst string, weight double")).collect()}
+    assert written() - before < len(rows)
+    known = set(nodes)
+    out, want = Counter(), dict.fromkeys(known, 1 / len(known))
+    for s, _, w in rows:
+        out[s] += w or 0
+    for _ in range(20):
+        given = Counter()
+        for s, d, w in rows:
+            if s in known and d in known and s and d and out[s] > 0:
+                given[d] += want[s] * (w or 0) / out[s]
+        want = {x: 0.15 / len(known) + 0.85 * given[x] for x in known}
+    assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in known) < 1e-12
