@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemoweave import schemas
 from mnemoweave.operators import aggregates, relations
-from mnemoweave.plans import ingestion, mutations, ranking, reflection
+from mnemoweave.plans import agent, ingestion, mutations, ranking, reflection
 
 
 def _edges(spark):
@@ -21,6 +21,12 @@ def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
+def _shuffled_rows(spark):
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def test_directed_counts_fold_both_directions(spark):
     e = _edges(spark)
     got = {(r["src"], r["dst"]): r["n"] for r in aggregates.directed_counts(e).collect()}
@@ -91,15 +97,9 @@ def test_pagerank_shuffles_vectors_instead_of_edges(spark, monkeypatch):
     rows = [(f"n{draw.randrange(300)}", f"n{draw.randrange(300)}", draw.choice((0.0, 0.5, 2.0))) for _ in range(20_000)]
     rows += [("n1", "gone", 40.0), ("gone", "n2", 40.0), ("n3", None, 9.0), (None, "n4", 9.0), ("n5", "n6", None)]
     nodes = [f"n{i}" for i in range(310)] + ["n0", None]
-    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
-
-    def written():
-        stages = store.stageList(None, False, False, none, None)
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
-
-    before = written()
+    before = _shuffled_rows(spark)
     got = {r["id"]: r["rank"] for r in ranking.pagerank(spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(rows, "src string, dst string, weight double")).collect()}
-    assert written() - before < len(rows)
+    assert _shuffled_rows(spark) - before < len(rows)
     known = set(nodes)
     out, want = Counter(), dict.fromkeys(known, 1 / len(known))
     for s, _, w in rows:
@@ -111,3 +111,29 @@ def test_pagerank_shuffles_vectors_instead_of_edges(spark, monkeypatch):
                 given[d] += want[s] * (w or 0) / out[s]
         want = {x: 0.15 / len(known) + 0.85 * given[x] for x in known}
     assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in known) < 1e-12
+
+
+def test_mentions_by_a_common_alias_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(agent, "PIECE_ENTITIES", 50, raising=False)
+    named = [(f"e{i}", f"Entity {i};", "Concept", ["Common"]) for i in range(400)]
+    g = graph(spark, named, [])
+    texts = spark.createDataFrame([(i, f"a common one, entity {i}; and xentity 7;") for i in range(400)], "text_id int, text string")
+    before = _shuffled_rows(spark)
+    got = {(r["text_id"], r["id"]): r["match"] for r in agent.mentions_in(g, texts).collect()}
+    assert _shuffled_rows(spark) - before < len(got) == 160_000
+    assert got == {(t, f"e{i}"): 1.0 if i == t else 0.7 if i == 7 else 0.6 for t in range(400) for i in range(400)}
+
+
+def test_mentions_of_entities_of_many_names(spark):
+    draw = random.Random(5)
+    words = ["aab", "aabb", "bbc", "ccd", "ab", "bccd", "Dda"]
+    e = [(f"e{i}", draw.choice(words), "Concept", draw.choices(words, k=draw.randrange(4))) for i in range(60)] + [("e1", "ddab", "Concept", ["aab"])]
+    texts = [(draw.choice([None, *"abcdefgh"]), " ".join("".join(draw.choices(words, k=2)) if draw.random() < 0.5 else draw.choice(words) for _ in range(2))) for _ in range(30)]
+    want = {}
+    for t, text in texts:
+        for i, own, _, aliases in e:
+            for n, match in [(own.lower(), 0.7), *((a.lower(), 0.6) for a in aliases)]:
+                if len(n) >= 3 and n in text.lower():
+                    want[t, i] = max(want.get((t, i), 0), 1.0 if match == 0.7 and n in text.lower().split(" ") else match)
+    rows = agent.mentions_in(graph(spark, e, []), spark.createDataFrame(texts, "text_id string, text string")).collect()
+    assert {(r["text_id"], r["id"]): r["match"] for r in rows} == want and len(rows) == len(want)
