@@ -1,6 +1,7 @@
 """Forms that keep shuffles and memory small, against plain counts."""
 
 import random
+import sys
 from collections import Counter
 
 from graphs import core, graph
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemoweave import schemas
 from mnemoweave.operators import aggregates, relations
-from mnemoweave.plans import agent, ingestion, mutations, ranking, reflection
+from mnemoweave.plans import agent, ingestion, labelling, mutations, parsing, ranking, reflection
 
 
 def _edges(spark):
@@ -137,3 +138,25 @@ def test_mentions_of_entities_of_many_names(spark):
                     want[t, i] = max(want.get((t, i), 0), 1.0 if match == 0.7 and n in text.lower().split(" ") else match)
     rows = agent.mentions_in(graph(spark, e, []), spark.createDataFrame(texts, "text_id string, text string")).collect()
     assert {(r["text_id"], r["id"]): r["match"] for r in rows} == want and len(rows) == len(want)
+
+
+class _Counting(labelling.RuleClient):
+    """Tags that tell how many blocks of memory Python has."""
+
+    def tag(self, texts):
+        return [[(f"{i} {sys.getallocatedblocks()}", "concept") for i in range(20)] for _ in texts]
+
+
+def test_tags_are_given_out_a_few_chunks_at_a_time(spark):
+    chunks = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit("d").alias("source_document"), F.col("id").cast("int").alias("position"), F.lit("x").alias("text"))
+    held = [int(r["tags"][0]["name"].split(" ")[1]) for r in labelling.tagged(chunks, _Counting()).collect()]
+    assert len(held) == 4000 and max(held) - min(held) < 100_000
+
+
+def test_only_texts_that_may_be_too_long_are_split_in_python(spark):
+    long, odd = "One more sentence here. " * 40, "a\x1cb " * 60
+    docs = spark.createDataFrame([("a", "Short text.\n\n" + long, "Episodic"), ("b", odd, "Episodic"), ("c", long.replace(". ", " "), "Episodic")], "source_document string, text string, memory_category string")
+    found = parsing.parsed(docs, 100, 20)
+    want = {"a": ["Short text.", *parsing.split_long(long.strip(), 100, 20)], "b": parsing.split_long(odd.strip(), 100, 20), "c": parsing.split_long(long.replace(". ", " ").strip(), 100, 20)}
+    assert {k: [r["text"] for r in found.where(F.col("source_document") == k).orderBy("position").collect()] for k in want} == want and len(want["b"]) > 1
+    assert "split(CASE WHEN" in found._jdf.queryExecution().optimizedPlan().toString()
