@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemoweave import schemas
 from mnemoweave.operators import aggregates, relations
-from mnemoweave.plans import agent, ingestion, labelling, mutations, parsing, ranking, reflection
+from mnemoweave.plans import agent, ingestion, labelling, mutations, parsing, ranking, reflection, traversal
 
 
 def _edges(spark):
@@ -160,3 +160,22 @@ def test_only_texts_that_may_be_too_long_are_split_in_python(spark):
     want = {"a": ["Short text.", *parsing.split_long(long.strip(), 100, 20)], "b": parsing.split_long(odd.strip(), 100, 20), "c": parsing.split_long(long.replace(". ", " ").strip(), 100, 20)}
     assert {k: [r["text"] for r in found.where(F.col("source_document") == k).orderBy("position").collect()] for k in want} == want and len(want["b"]) > 1
     assert "split(CASE WHEN" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_traversal_from_few_starts_does_not_shuffle_edges(spark, request):
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of unknown size
+    edges = spark.range(20_000).select((F.col("id") % 2000).cast("string").alias("src"), ((F.col("id") * 7 + 1) % 2000).cast("string").alias("dst")).distinct()
+    edges = edges.localCheckpoint()
+    start = spark.createDataFrame([("5", "5"), ("9", "9")], "anchor string, id string")
+    before = _shuffled_rows(spark)
+    got = {(r["anchor"], r["id"], r["hop"]) for r in traversal.expand(edges, start, 2, per_anchor=True).collect()}
+    assert _shuffled_rows(spark) - before < edges.count()
+    to = {}
+    for r in edges.collect():
+        to.setdefault(r["src"], set()).add(r["dst"])
+    want = set()
+    for a in ("5", "9"):
+        one = to[a] - {a}
+        want |= {(a, a, 0), *((a, x, 1) for x in one), *((a, x, 2) for x in set().union(*(to[x] for x in one)) - one - {a})}
+    assert got == want
