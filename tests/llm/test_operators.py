@@ -317,6 +317,42 @@ def test_lines_too_far_in_length_make_no_pair(monkeypatch):
     assert joined[-1] == near and len(joined) == 2 * line_dedup.STARS + 1
 
 
+def test_pieces_far_from_their_place_tell_lines_apart():
+    """The bound on places never rules out a pair within its limit, and rules out most unlike ones of the same letters."""
+    r = random.Random(9)
+    texts = ["".join(r.choice("aaabbcdefghij  é") for _ in range(r.randint(3, 700))) for _ in range(160)]
+    for t in list(texts):
+        c = list(t)
+        for _ in range(int(len(c) * r.choice((0.05, 0.15, 0.2)))):
+            c[r.randrange(len(c))] = r.choice(("", "xy", "q"))
+        texts.append("".join(c[r.choice((0, 3)) :]) or "z")
+    linked = line_dedup._Linked(texts)
+    a, b = map(np.array, zip(*[(i, j) for i in range(len(texts)) for j in range(i) if abs(len(texts[i]) - len(texts[j])) <= line_dedup.limit_of(texts[i], texts[j])]))
+    limit = np.maximum(linked.limit[a], linked.limit[b])
+    apart = line_dedup._pieces_apart(linked.pieces, linked.start, linked.size, a, b, limit)
+    near = np.array([line_dedup.within(texts[i], texts[j], int(n)) for i, j, n in zip(a.tolist(), b.tolist(), limit.tolist())])
+    assert near.sum() > 80 and not (apart & near).any() and apart.sum() > 0.8 * (~near).sum()
+
+
+def test_texts_of_lines_are_shuffled_once(spark, monkeypatch):
+    """The parts of the groups are joined with texts in buckets: each join shuffles its own side alone."""
+    plans, whole, made = [], line_dedup.stored, line_dedup.in_buckets
+    monkeypatch.setattr(line_dedup, "stored", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or whole(df))
+    tables = []
+    monkeypatch.setattr(line_dedup, "in_buckets", lambda df, key: tables.append(made(df, key)) or tables[-1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = line_rows()
+        got = {(x["doc_id"], x["line"]) for x in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [p for columns, p in plans if columns == ["a1", "a2", "b1", "b2"]]
+    assert got == plain_lines(rows) and len(joins) == line_dedup.SLICES
+    assert all(p.count("Exchange hashpartitioning(h1") == 1 for p in joins), joins[0]
+    assert not spark.catalog.tableExists(tables[0]._table)
+
+
 # 3 language ID
 def test_languages_of_held_out_texts(spark, data):
     found = language_id.query(spark, data)
