@@ -224,6 +224,23 @@ def test_pairs_compared_together_are_judged_like_single_ones():
     assert (linked.similar(a, b) == want).all() and 500 < want.sum() < len(want) - 500 and linked.may(a, b)[want].all()
 
 
+def test_long_lines_are_compared_many_at_a_time(monkeypatch):
+    """Pairs of 3 to 1500 letters near the limit are judged together, as the edit distance of each says."""
+    r, texts = random.Random(4), []
+    for size in (3, 60, 64, 65, 310, 330, 640, 700, 900, 1500):
+        for _ in range(30):
+            line = [r.choice("abcdefg é") for _ in range(size)]
+            texts.append("".join(line))
+            for _ in range(int(size * r.choice((0.1, 0.22, 0.26, 0.3)))):
+                line[r.randrange(size)] = r.choice(("", "xx", "y"))
+            texts.append("".join(line) or "z")
+    a, b = np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)
+    want = np.array([line_dedup.within(texts[i], texts[j], line_dedup.limit_of(texts[i], texts[j])) for i, j in zip(a, b)])
+    monkeypatch.setattr(line_dedup, "within", lambda *x: pytest.fail("a single pair was compared"))
+    got = line_dedup._Linked(texts).similar(a, b)
+    assert (got == want).all() and 80 < want.sum() < len(want) - 80
+
+
 def test_unlike_letters_and_plain_copies_need_no_edit_distance(monkeypatch):
     """Lines of other letters are told apart by the letters' counts, long lines of a few words more or less by going along both."""
     mixed, vowels = " ".join(words("m", 60)), " ".join(words("v", 60, "aeiou"))
