@@ -91,6 +91,24 @@ def test_alias_merges_are_those_of_all_pairs(spark):
         assert key(reflection.alias_merges(g, threshold)) == key(reflection.merge_order(pairs))
 
 
+def test_alias_pairs_of_one_shared_name_carry_no_names(spark, monkeypatch):
+    monkeypatch.setattr(reflection, "PIECE_ROWS", 4)
+    draw = random.Random(11)
+    named = [(f"e{i}", f"Name {i}", draw.choice("xy"), ["one"] if i < 40 else draw.sample(["one", "b1", "b2", "b3"], draw.randrange(4))) for i in range(70)] + [("n1", "Null 1", "x", ["b1", None]), ("n2", "Null 2", "x", ["b1", None])]
+    g = graph(spark, named, [(f"c{k}", "d", "Decision", [f"e{i}"], 1, "") for k, i in enumerate(draw.choices(range(70), k=150))])
+    chunks = Counter(r["entity_id"] for r in g.mentions.collect())
+    names, kind, want = {i: {n.lower(), *a} for i, n, _, a in named}, {i: t for i, _, t, _ in named}, []
+    for a in names:
+        for b in names:
+            both = len(names[a] & names[b])
+            if a < b and kind[a] == kind[b] and both and both / (len(names[a]) + len(names[b]) - both) >= 0.3:
+                want.append(((b, a) if chunks[b] > chunks[a] else (a, b)) + (round(both / (len(names[a]) + len(names[b]) - both), 9),))
+    pairs = reflection.alias_candidates(g, 0.3)
+    assert sorted((r["keep_id"], r["merge_id"], round(r["confidence"], 9)) for r in pairs.collect()) == sorted(want)
+    alone = pairs._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert "Join" in alone and "array_intersect" not in alone
+
+
 def test_pagerank_shuffles_vectors_instead_of_edges(spark, monkeypatch):
     monkeypatch.setattr(ranking, "SIDE_NODES", 100, raising=False)
     monkeypatch.setattr(ranking, "PIECE_EDGES", 500, raising=False)
