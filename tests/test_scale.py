@@ -4,6 +4,8 @@ import random
 import sys
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from graphs import core, graph
 from pyspark.sql import functions as F
 
@@ -132,6 +134,15 @@ def test_pagerank_shuffles_vectors_instead_of_edges(spark, monkeypatch):
     assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in known) < 1e-12
 
 
+def test_hashes_of_groups_go_to_python_once_for_each_block(monkeypatch):
+    monkeypatch.setattr(ranking, "PIECE_EDGES", 4)
+    row = lambda block, at, *arrays: pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at]), *(pa.array([None if x is None else np.array(x, t).tobytes()], pa.binary()) for x, t in zip(arrays, "qqd"))], names=["block", "at", "s", "d", "w"])
+    rows = [row(1, 0, [5, 7, 9], None, None), row(1, 1, None, [2, 4], None), row(1, 2, [9, 5, 6, 7], [4, 3, 2, 2], [1, 2, 3, 4]), row(1, 2, [5, 5], [2, 9], [5, 6])]
+    rows += [row(2, 1, None, [1], None), row(2, 2, [5], [1], [1]), row(3, 0, [8], None, None), row(3, 2, [8], [8], [7])]
+    got = [[b.column(0)[0].as_py(), *(np.frombuffer(c[0].as_buffer(), t).tolist() for c, t in zip(b.columns[1:4], "iid")), b.column(4)[0].as_py()] for b in ranking._placed(iter(rows))]
+    assert got == [[1, [0, 0, 0, 1, 2], [2, 0, 2, 0, 1], [2, 5, 6, 4, 1], 2], [3, [0], [0], [7], 0]]
+
+
 def test_mentions_by_a_common_alias_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(agent, "PIECE_ENTITIES", 50, raising=False)
     named = [(f"e{i}", f"Entity {i};", "Concept", ["Common"]) for i in range(400)]
