@@ -154,6 +154,19 @@ def test_mentions_by_a_common_alias_are_not_shuffled(spark, monkeypatch):
     assert got == {(t, f"e{i}"): 1.0 if i == t else 0.7 if i == 7 else 0.6 for t in range(400) for i in range(400)}
 
 
+def test_texts_of_a_common_name_are_cut_as_its_entities(spark, monkeypatch):
+    monkeypatch.setattr(agent, "PIECE_ENTITIES", 50)
+    monkeypatch.setattr(agent, "PIECE_TEXTS", 50)
+    hits = spark.createDataFrame([(i, "common") for i in range(400)], "text_id int, name string")
+    each = spark.createDataFrame([(f"e{i}", "common") for i in range(400)], "id string, name string")
+    told = spark.createDataFrame([(i, f"e{i}", "common") for i in range(400)], "text_id int, told string, name string")
+    rows = agent._met(hits, each, told).collect()
+    assert len({(r["text_id"], r["id"]) for r in rows}) == len(rows) == 160_000
+    assert max(Counter((r["piece"], r["cut"]) for r in rows).values()) < 10_000
+    assert {(r["text_id"], r["id"]) for r in rows if r["told"] and r["id"] in r["told"]} == {(i, f"e{i}") for i in range(400)}
+    assert sum(r["told"] is not None for r in rows) < 40_000
+
+
 def test_mentions_of_entities_of_many_names(spark):
     draw = random.Random(5)
     words = ["aab", "aabb", "bbc", "ccd", "ab", "bccd", "Dda"]
